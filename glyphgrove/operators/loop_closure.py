@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from glyphgrove.operators.frames import POOL_MICROS, islands
 from glyphgrove.operators.matching import uncovered_words
 from glyphgrove.operators.similarity import score_pairs, similar_frames
-from glyphgrove.runtime import lookup_join
+from glyphgrove.runtime import lookup_join, materialise
 
 #: Below this similarity to the previous frame a query is skipped: the camera moved too much.
 MIN_EXPECTED = 0.1
@@ -34,21 +34,25 @@ def scored_key_frames(
     min_expected: float = MIN_EXPECTED,
     min_normalised: float = MIN_NORMALISED,
 ) -> DataFrame:
-    """``(query_id, frame_id, at, score)``: earlier key frames scoring well against each key frame.
+    """``(query_id, frame_id, time_us, score)``: earlier key frames scoring well against each key frame.
 
-    ``keyframes`` are ``(frame_id, at)`` with ``at`` in microseconds. Scores are divided by the
+    ``keyframes`` are ``(frame_id, time_us)`` with ``time_us`` in microseconds. Scores are divided by the
     expected score, so the bar for the raw score is known per query before any search.
     """
+    # each of these feeds several branches below; written once, they are not computed again per branch
+    keyframes = materialise(keyframes, "keyframes")
     queries = lookup_join(frame_pairs, keyframes, ["frame_id"])
-    expected = expected_scores(bow, queries).filter(F.col("expected") >= min_expected)
-    bags = lookup_join(bow, keyframes, ["frame_id"])
+    expected = materialise(
+        expected_scores(bow, queries).filter(F.col("expected") >= min_expected), "expected"
+    )
+    bags = materialise(lookup_join(bow, keyframes, ["frame_id"]), "keyframe_bags")
     bars = expected.select("frame_id", (F.col("expected") * min_normalised).alias("threshold"))
     hits = similar_frames(
-        bags, bags, bars, carry=("at",), admissible=F.col("at") < F.col("query_at")
+        bags, bags, bars, carry=("time_us",), admissible=F.col("time_us") < F.col("query_time_us")
     )
     normal = lookup_join(hits, expected.withColumnRenamed("frame_id", "query_id"), ["query_id"])
     return lookup_join(normal, keyframes, ["frame_id"]).select(
-        "query_id", "frame_id", "at", (F.col("score") / F.col("expected")).alias("score")
+        "query_id", "frame_id", "time_us", (F.col("score") / F.col("expected")).alias("score")
     )
 
 
@@ -57,7 +61,7 @@ def best_islands(scored: DataFrame, pool: int = POOL_MICROS, **options) -> DataF
 
     ``island_rank`` orders the islands of a query by score, then by start.
     """
-    grouped = islands(scored, ["query_id"], "at", pool, **options)
+    grouped = materialise(islands(scored, ["query_id"], "time_us", pool, **options), "islands")
     totals = grouped.groupBy("query_id", "island_id").agg(
         # rounded, so that equal totals summed in another order stay equal
         F.round(F.sum("score"), 12).alias("island_score"),
@@ -80,7 +84,7 @@ def best_frames(island_rows: DataFrame) -> DataFrame:
         .agg(
             F.max(
                 F.struct(
-                    F.round("score", 12).alias("score"), (-F.col("at")).alias("neg"), "frame_id"
+                    F.round("score", 12).alias("score"), (-F.col("time_us")).alias("neg"), "frame_id"
                 )
             ).alias("_f")
         )
@@ -105,7 +109,7 @@ def loop_closures(
     A loop is closed when every word of the query lies in the word neighbourhood of the match.
     """
     scored = scored_key_frames(bow, keyframes, frame_pairs, min_expected, min_normalised)
-    chosen = best_frames(best_islands(scored, pool))
+    chosen = materialise(best_frames(best_islands(materialise(scored, "scored"), pool)), "chosen")
     checked = uncovered_words(chosen, quantised)
     return lookup_join(chosen, checked, ["query_id", "frame_id"]).select(
         *chosen.columns, "total", "uncovered", (F.col("uncovered") == 0).alias("closed")

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from glyphgrove.runtime import lookup_join
+from glyphgrove.runtime import lookup_join, materialise
 
 #: Slack for sums of weights in floating point; candidates are scored exactly afterwards.
 SLACK = 1e-9
@@ -108,32 +108,41 @@ def similar_frames(
     return scored.filter(F.col("score") > thresholds)
 
 
-def retrieve_best(bow: DataFrame, sequence: DataFrame, exclude_recent: int = 100) -> DataFrame:
+def retrieve_best(
+    bow: DataFrame, sequence: DataFrame, exclude_recent: int = 100, asked: DataFrame | None = None
+) -> DataFrame:
     """Best earlier frame of every frame: ``(frame_id, seq, best_seq, score)``.
 
     ``sequence`` is ``(frame_id, seq)``. Candidates are the frames with ``past_seq <= seq -
     exclude_recent``, the lowest one wins ties; without any overlap ``best_seq`` is null and the
     score 0. A first partner is scored per frame, and its score is the threshold for the search.
+    ``asked`` limits the queries to its ``frame_id`` rows; the database stays whole.
     """
-    bags = lookup_join(bow, sequence, ["frame_id"])
+    bags = materialise(lookup_join(bow, sequence, ["frame_id"]), "bags")
+    queries = bags if asked is None else lookup_join(
+        bags, asked.select("frame_id").distinct(), ["frame_id"], "left_semi"
+    )
     earliest = bags.groupBy("word_index").agg(F.min("seq").alias("first_seq"))
     by_seq = sequence.select(F.col("frame_id").alias("first_frame"), F.col("seq").alias("first_seq"))
     champions = lookup_join(earliest, by_seq, ["first_seq"])
     reach = F.col("seq") - exclude_recent
     # the earliest frame with the heaviest word that an admissible frame has at all
     probes = (
-        lookup_join(bags, champions, ["word_index"])
+        lookup_join(queries, champions, ["word_index"])
         .filter(F.col("first_seq") <= reach)
         .groupBy("frame_id")
         .agg(F.max(F.struct("weight", "first_frame")).alias("_p"))
         .select(F.col("frame_id").alias("query_id"), F.col("_p.first_frame").alias("frame_id"))
     )
     # every frame that has an admissible partner at all has a probe, with a score above 0
-    floor = score_pairs(probes, bow, bow).select(
-        F.col("query_id").alias("frame_id"), (F.col("score") - SLACK).alias("threshold")
+    floor = materialise(
+        score_pairs(probes, bow, bow).select(
+            F.col("query_id").alias("frame_id"), (F.col("score") - SLACK).alias("threshold")
+        ),
+        "floor",
     )
     scored = similar_frames(
-        bags, bags, floor, carry=("seq",),
+        queries, bags, floor, carry=("seq",),
         admissible=F.col("seq") <= F.col("query_seq") - exclude_recent,
     )
     past = sequence.select("frame_id", F.col("seq").alias("past_seq"))
@@ -147,7 +156,10 @@ def retrieve_best(bow: DataFrame, sequence: DataFrame, exclude_recent: int = 100
             ).alias("_b")
         )
     )
-    return lookup_join(sequence, best, ["frame_id"], "left").select(
+    listed = sequence if asked is None else lookup_join(
+        sequence, asked.select("frame_id").distinct(), ["frame_id"], "left_semi"
+    )
+    return lookup_join(listed, best, ["frame_id"], "left").select(
         "frame_id",
         "seq",
         (-F.col("_b.neg")).alias("best_seq"),

@@ -64,11 +64,11 @@ def features(spark: SparkSession, sf_dir: str, convert=vectors.sign_bits) -> Dat
 
 
 def frames(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``(stream_id, frame_id, at, n_points, seq)``, one frame per second."""
+    """``(stream_id, frame_id, time_us, n_points, seq)``, one frame per second."""
     ids = table(spark, sf_dir, "embeddings").select(*feature_columns(F.col("vec_id")))
     counted = ids.groupBy("frame_id").agg(F.count(F.lit(1)).alias("n_points"))
     listed = counted.select(
-        F.lit(0).alias("stream_id"), "frame_id", (F.col("frame_id") * 1_000_000).alias("at"),
+        F.lit(0).alias("stream_id"), "frame_id", (F.col("frame_id") * 1_000_000).alias("time_us"),
         "n_points",
     )
     return with_counter(listed, ["stream_id"], ["frame_id"])

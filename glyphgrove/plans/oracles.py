@@ -204,7 +204,7 @@ BAG = [
 FRAMES = cte(
     "fr",
     f"SELECT frame_id, n_points, row_number() OVER (ORDER BY frame_id) AS seq, lag(frame_id) OVER "
-    f"(ORDER BY frame_id) AS prev_frame_id, frame_id * 1000000 AS at FROM (SELECT vec_id // {FRAME} AS "
+    f"(ORDER BY frame_id) AS prev_frame_id, frame_id * 1000000 AS time_us FROM (SELECT vec_id // {FRAME} AS "
     "frame_id, count(*) AS n_points FROM embeddings GROUP BY 1)",
 )
 
@@ -218,27 +218,27 @@ SIMILARITY = cte(
 )
 
 
-def picks(source: str, key: str, at: str, gap: int, start: int | None, name: str) -> str:
-    """Recursive walk ``{name}(key, at)``: first row, then the next row more than ``gap`` further."""
-    first = f" WHERE {at} > {start} + {gap}" if start is not None else ""
+def picks(source: str, key: str, time_us: str, gap: int, start: int | None, name: str) -> str:
+    """Recursive walk ``{name}(key, time_us)``: first row, then the next row more than ``gap`` further."""
+    first = f" WHERE {time_us} > {start} + {gap}" if start is not None else ""
     return (
-        f"{name} AS (SELECT {key}, min({at}) AS {at} FROM {source}{first} GROUP BY {key} UNION ALL "
-        f"SELECT p.{key}, (SELECT min(s.{at}) FROM {source} s WHERE s.{key} = p.{key} AND s.{at} > "
-        f"p.{at} + {gap}) FROM {name} p WHERE EXISTS (SELECT 1 FROM {source} s WHERE s.{key} = p.{key} "
-        f"AND s.{at} > p.{at} + {gap}))"
+        f"{name} AS (SELECT {key}, min({time_us}) AS {time_us} FROM {source}{first} GROUP BY {key} UNION ALL "
+        f"SELECT p.{key}, (SELECT min(s.{time_us}) FROM {source} s WHERE s.{key} = p.{key} AND s.{time_us} > "
+        f"p.{time_us} + {gap}) FROM {name} p WHERE EXISTS (SELECT 1 FROM {source} s WHERE s.{key} = p.{key} "
+        f"AND s.{time_us} > p.{time_us} + {gap}))"
     )
 
 
 def scored() -> list[str]:
-    """``sc(query_id, frame_id, at, score)`` over key frames of the tree vocabulary."""
+    """``sc(query_id, frame_id, time_us, score)`` over key frames of the tree vocabulary."""
     return [
         *tree_quantised(), *BAG, FRAMES, SIMILARITY,
         cte("el_fr", f"SELECT 0 AS stream_id, seq FROM fr WHERE n_points > {MIN_POINTS}"),
         picks("el_fr", "stream_id", "seq", GAP + 1, 0, "kp"),
-        cte("kf", "SELECT frame_id, prev_frame_id, at FROM fr JOIN kp USING (seq)"),
+        cte("kf", "SELECT frame_id, prev_frame_id, time_us FROM fr JOIN kp USING (seq)"),
         cte("sc",
-            "SELECT k.frame_id AS query_id, o.frame_id, o.at, s.score / e.score AS score FROM kf k JOIN "
-            "sim e ON e.qf = k.frame_id AND e.f = k.prev_frame_id JOIN kf o ON o.at < k.at JOIN sim s ON "
+            "SELECT k.frame_id AS query_id, o.frame_id, o.time_us, s.score / e.score AS score FROM kf k JOIN "
+            "sim e ON e.qf = k.frame_id AND e.f = k.prev_frame_id JOIN kf o ON o.time_us < k.time_us JOIN sim s ON "
             "s.qf = k.frame_id AND s.f = o.frame_id WHERE e.score >= 0.1 AND s.score / e.score > 0.3"),
     ]
 
@@ -246,9 +246,9 @@ def scored() -> list[str]:
 def island_rows() -> list[str]:
     return [
         *scored(),
-        picks("sc", "query_id", "at", POOL, None, "ip"),
-        cte("isl", "SELECT s.*, (SELECT max(p.at) FROM ip p WHERE p.query_id = s.query_id AND p.at <= "
-                   "s.at) AS island_id FROM sc s"),
+        picks("sc", "query_id", "time_us", POOL, None, "ip"),
+        cte("isl", "SELECT s.*, (SELECT max(p.time_us) FROM ip p WHERE p.query_id = s.query_id AND p.time_us <= "
+                   "s.time_us) AS island_id FROM sc s"),
         cte("tot", "SELECT query_id, island_id, round(sum(score), 12) AS island_score, count(*) AS "
                    "island_frames FROM isl GROUP BY 1, 2"),
         cte("rk", "SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY island_score DESC, "
@@ -480,25 +480,25 @@ def oracles() -> dict[str, str]:
         "match_candidates": MATCHES,
         "loop_islands": select(
             island_rows(),
-            "SELECT i.query_id, i.frame_id, i.at, i.island_id, round(i.score, 6) AS score, "
+            "SELECT i.query_id, i.frame_id, i.time_us, i.island_id, round(i.score, 6) AS score, "
             "round(r.island_score, 6) AS island_score, r.island_frames, CASE WHEN r.rn = 1 THEN 1 ELSE 0 "
             "END AS is_best FROM isl i JOIN rk r USING (query_id, island_id)",
         ),
         "session_islands": select(
             [
                 *scored(),
-                cte("gaps", "SELECT *, CASE WHEN at - lag(at) OVER (PARTITION BY query_id ORDER BY at) <= "
+                cte("gaps", "SELECT *, CASE WHEN time_us - lag(time_us) OVER (PARTITION BY query_id ORDER BY time_us) <= "
                             f"{POOL} THEN 0 ELSE 1 END AS opens FROM sc"),
-                cte("ses", "SELECT *, sum(opens) OVER (PARTITION BY query_id ORDER BY at) AS s FROM gaps"),
+                cte("ses", "SELECT *, sum(opens) OVER (PARTITION BY query_id ORDER BY time_us) AS s FROM gaps"),
             ],
-            f"SELECT query_id, min(at) AS start_at, max(at) + {POOL} AS end_at, count(*) AS frames, "
+            f"SELECT query_id, min(time_us) AS start_at, max(time_us) + {POOL} AS end_at, count(*) AS frames, "
             "round(sum(score), 6) AS score FROM ses GROUP BY query_id, s",
         ),
         "loop_closure": select(
             [
                 *island_rows(),
                 cte("bf",
-                    "SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 12) DESC, at) "
+                    "SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 12) DESC, time_us) "
                     "AS fn FROM isl JOIN (SELECT * FROM rk WHERE rn = 1) USING (query_id, island_id)"),
                 cte("used", "SELECT DISTINCT frame_id, word_id FROM q"),
                 cte("cov",
@@ -522,4 +522,9 @@ def oracles() -> dict[str, str]:
             "used u JOIN words n ON " + below("n.word_id", ancestor("u.word_id")) + " GROUP BY 1, 2",
         ),
         "kalman_track": KALMAN,
+        # a stream must end with the result of its batch twin
+        "stream_keyframes": KEYFRAMES,
+        "stream_kalman": KALMAN,
+        "stream_prev_match": MATCHES,
+        "stream_retrieve": RETRIEVE,
     }

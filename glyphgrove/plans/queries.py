@@ -16,10 +16,11 @@ from glyphgrove.operators.medoid_cost import best_candidates, candidate_costs
 from glyphgrove.operators.ordered import dense_ids
 from glyphgrove.plans import inputs
 from glyphgrove.plans.inputs import K
-from glyphgrove.runtime import lookup_join, scratch_path
+from glyphgrove.runtime import lookup_join, materialise, scratch_path
 from glyphgrove.sources import clusters as cluster_files
 from glyphgrove.sources import model as model_files
 from glyphgrove.sources import vocabulary as vocabulary_files
+from glyphgrove.streaming import frames as stream_frames
 
 Query = Callable[[SparkSession, str], DataFrame]
 CATALOGUE: dict[str, Query] = {}
@@ -420,7 +421,7 @@ def _key_frames(spark, sf_dir):
     picked = frames.key_frames(
         inputs.frames(spark, sf_dir), ["stream_id"], gap=inputs.GAP, min_points=inputs.MIN_POINTS
     )
-    return picked.select("frame_id", "at")
+    return picked.select("frame_id", "time_us")
 
 
 def _scored(spark, sf_dir):
@@ -432,9 +433,9 @@ def _scored(spark, sf_dir):
 
 @query
 def loop_islands(spark, sf_dir):
-    rows = loop_closure.best_islands(_scored(spark, sf_dir), POOL)
+    rows = loop_closure.best_islands(materialise(_scored(spark, sf_dir), "scored"), POOL)
     return rows.select(
-        "query_id", "frame_id", "at", "island_id", _r("score").alias("score"),
+        "query_id", "frame_id", "time_us", "island_id", _r("score").alias("score"),
         _r("island_score").alias("island_score"), "island_frames",
         F.col("is_best").cast("int").alias("is_best"),
     )
@@ -442,7 +443,7 @@ def loop_islands(spark, sf_dir):
 
 @query
 def session_islands(spark, sf_dir):
-    timed = _scored(spark, sf_dir).withColumn("ts", F.timestamp_micros("at"))
+    timed = _scored(spark, sf_dir).withColumn("ts", F.timestamp_micros("time_us"))
     rows = frames.session_islands(timed, ["query_id"], "ts")
     return rows.select(
         "query_id",
@@ -482,3 +483,100 @@ def kalman_track(spark, sf_dir):
     return tracked.select(
         "user_id", "event_id", "step", *[_r(c).alias(c) for c in kalman.OUTPUTS]
     )
+
+
+# ---------------------------------------------------------------- streams
+
+
+def _arrivals(spark, rows: DataFrame, order: str, consume: Callable[[DataFrame, str], None]) -> None:
+    """Let ``rows`` arrive in three steps along ``order``, and run the stream after each.
+
+    The three runs share a checkpoint, so the stream also has to restart twice.
+    """
+    path, checkpoint = scratch_path(spark, "arrivals"), scratch_path(spark, "stream")
+    first, second = rows.approxQuantile(order, [1 / 3, 2 / 3], 0.01)
+    position = F.col(order)
+    steps = [position <= first, (position > first) & (position <= second), position > second]
+    for step in steps:
+        rows.filter(step).write.mode("append").parquet(path)
+        consume(stream_frames.read_frames(spark, path, rows.schema), checkpoint)
+
+
+@query
+def stream_keyframes(spark, sf_dir):
+    rows = inputs.table(spark, sf_dir, "events").select(
+        F.col("user_id").alias("stream_id"), vectors.micros(F.col("ts")).alias("time_us"),
+        "event_id", F.col("value").alias("n_points"),
+    )
+    found = scratch_path(spark, "keyframes")
+
+    def consume(stream: DataFrame, checkpoint: str) -> None:
+        picked = stream_frames.keyframe_stream(
+            stream, "stream_id", ["time_us", "event_id"], "n_points"
+        )
+        stream_frames.sink_parquet(picked, found, checkpoint)
+
+    _arrivals(spark, rows, "time_us", consume)
+    return spark.read.parquet(found).select("stream_id", "seq", "event_id", "n_points")
+
+
+@query
+def stream_kalman(spark, sf_dir):
+    rows = inputs.table(spark, sf_dir, "events").select(
+        "user_id", vectors.micros(F.col("ts")).alias("time_us"), "event_id", "value"
+    )
+    found = scratch_path(spark, "tracks")
+
+    def consume(stream: DataFrame, checkpoint: str) -> None:
+        tracked = stream_frames.kalman_stream(stream, "user_id", ["time_us", "event_id"], "value")
+        stream_frames.sink_parquet(tracked, found, checkpoint)
+
+    _arrivals(spark, rows, "time_us", consume)
+    return spark.read.parquet(found).select(
+        "user_id", "event_id", "step", *[_r(c).alias(c) for c in kalman.OUTPUTS]
+    )
+
+
+def _numbered_features(spark, sf_dir) -> DataFrame:
+    numbers = lookup_join(
+        inputs.frames(spark, sf_dir).select("stream_id", "frame_id", "seq"),
+        inputs.frame_pairs(spark, sf_dir), ["frame_id"], "left",
+    )
+    return lookup_join(inputs.features(spark, sf_dir), numbers, ["frame_id"])
+
+
+@query
+def stream_prev_match(spark, sf_dir):
+    grown, _ = inputs.tree_vocabulary(spark, sf_dir)
+    levels = tree.level_vectors(grown)
+    found, tails_path = scratch_path(spark, "matches"), scratch_path(spark, "tails")
+
+    def consume(stream: DataFrame, checkpoint: str) -> None:
+        writer = stream_frames.prev_match_stream(
+            stream, lambda batch: tree.quantise(batch, levels, grown.depth), tails_path, found
+        )
+        stream_frames.run_available(writer, checkpoint)
+
+    _arrivals(spark, _numbered_features(spark, sf_dir), "seq", consume)
+    return spark.read.parquet(found).select("frame_id", "pos", "prev_frame_id", "prev_pos")
+
+
+@query
+def stream_retrieve(spark, sf_dir):
+    flat, vocabulary = inputs.flat_vocabulary(spark, sf_dir)
+    levels = tree.level_vectors(flat)
+    weights = materialise(bow.word_weights(inputs.flat_words(spark, sf_dir)), "weights")
+    found, bags_path = scratch_path(spark, "found"), scratch_path(spark, "stream-bags")
+
+    def to_bags(batch: DataFrame) -> DataFrame:
+        return bow.bag_of_words(tree.quantise(batch, levels, flat.depth), vocabulary, weights)
+
+    def consume(stream: DataFrame, checkpoint: str) -> None:
+        writer = stream_frames.retrieve_stream(stream, to_bags, bags_path, found, EXCLUDE_RECENT)
+        stream_frames.run_available(writer, checkpoint)
+
+    _arrivals(spark, _numbered_features(spark, sf_dir), "seq", consume)
+    return spark.read.parquet(found).select(
+        "frame_id", "seq", "best_seq", _r("score").alias("score"),
+        vectors.floor_cents(_r("score", 9)).alias("shown"),
+    )
