@@ -113,14 +113,14 @@ def previous(ordered: Ordered, columns: dict[str, str]) -> Ordered:
     )
     if ordered.chunked:
         last = ordered.rows.groupBy(*ordered.scope).agg(
-            F.max(F.struct(*ordered.order, *columns)).alias("_last")
+            F.max(F.struct(*ordered.order, F.struct(*columns).alias("_row"))).alias("_last")
         )
         edge = W.partitionBy(*ordered.keys).orderBy(CHUNK)
         last = last.select(*ordered.scope, F.lag("_last").over(edge).alias("_edge"))
         rows = lookup_join(rows, last, ordered.scope)
         for c, new in columns.items():
             rows = rows.withColumn(
-                new, F.when(F.col("_at") == 1, F.col(f"_edge.{c}")).otherwise(F.col(new))
+                new, F.when(F.col("_at") == 1, F.col(f"_edge._row.{c}")).otherwise(F.col(new))
             )
         rows = rows.drop("_edge")
     return ordered.replace(rows.drop("_at"))

@@ -99,10 +99,13 @@ def spaced_picks(
         frame = pd.DataFrame(out, columns=[CHUNK, "_entry"])
         return pd.concat([head] * len(out), ignore_index=True).join(frame)
 
-    slim = ordered.rows.select(*ordered.scope, position)
+    # rows up to the start can never be picked; without them every chunk lies behind its entry
+    slim = ordered.rows.select(*ordered.scope, position).filter(F.col(position) > opening)
     exits = slim.groupBy(*ordered.scope).applyInPandas(leave, exits_schema)
     entries = exits.groupBy(*keys).applyInPandas(
         chain, T.StructType([*key_fields, chunk, T.StructField("_entry", T.LongType())])
     )
-    entered = lookup_join(ordered.rows, entries, ordered.scope)
+    entered = lookup_join(ordered.rows, entries, ordered.scope, "left").withColumn(
+        "_entry", F.coalesce("_entry", F.lit(opening).cast("bigint"))
+    )
     return entered.groupBy(*ordered.scope).applyInPandas(walk, schema)

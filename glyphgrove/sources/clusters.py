@@ -10,11 +10,13 @@ from pyspark.sql import functions as F
 DOCUMENT_ROWS = 100_000
 
 
-def read_clusters_json(spark: SparkSession, path: str) -> DataFrame:
-    """``(cluster, id)`` of objects ``{"clusters": [[ids], ...]}``."""
-    raw = (
-        spark.read.schema("clusters array<array<bigint>>").option("multiLine", True).json(path)
-    )
+def read_clusters_json(spark: SparkSession, path: str, multi_line: bool = False) -> DataFrame:
+    """``(cluster, id)`` of objects ``{"clusters": [[ids], ...]}``, one per line.
+
+    ``multi_line`` reads files that hold one object spread over several lines.
+    """
+    reader = spark.read.schema("clusters array<array<bigint>>")
+    raw = reader.option("multiLine", multi_line).json(path)
     return raw.select(F.posexplode("clusters").alias("cluster", "ids")).select(
         "cluster", F.explode("ids").alias("id")
     )
