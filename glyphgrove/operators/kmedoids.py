@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from glyphgrove.functions.metrics import Metric, resolve
 from glyphgrove.functions.paths import ROOT
-from glyphgrove.operators.assignment import ARROW_ELEMENTS, assign, assign_arrow
+from glyphgrove.operators.assignment import assign, assign_arrow, farthest_arrow, fits_arrow
 from glyphgrove.operators.medoid_cost import Shape, best_candidates, measure
 from glyphgrove.runtime import lookup_join, materialise, pin, vector_bytes
 
@@ -82,7 +82,15 @@ def farthest_first(
     grown = F.array_append(
         "medoids", _entry(F.size("medoids"), -F.col("_top.neg"), F.col("_top.vector"))
     )
+    arrow = fits_arrow(metric, nodes * row_bytes, k * shape.dimension)
     for pos in range(1, k):
+        if arrow:
+            far = _per_node(farthest_arrow(rows, packs, metric), nodes, farthest)
+            packs = pin(
+                packs.join(far, "node_id").select("node_id", grown.alias("medoids")),
+                nodes, row_bytes, "seeds",
+            )
+            continue
         joined = lookup_join(rows, packs, ["node_id"], table_bytes=nodes * row_bytes)
         scored = joined.select("node_id", "id", "vector", near.alias("near"))
         if pos - done >= REFRESH:
@@ -175,11 +183,10 @@ def _place(
     points: DataFrame, packs: DataFrame, metric: Metric, k: int, nodes: int, shape: Shape,
     keep_medoids: bool = False,
 ) -> DataFrame:
-    large = k * shape.dimension >= ARROW_ELEMENTS and metric.additive is not None
-    if nodes == 1 and large and not keep_medoids:
-        rows = packs.select(F.inline("medoids")).collect()  # k rows
-        return assign_arrow(points, [(r.pos, r.id, r.vector) for r in rows], metric)
-    return assign(points, packs, metric, _pack_bytes(nodes, k, shape), keep_medoids)
+    table_bytes = _pack_bytes(nodes, k, shape)
+    if fits_arrow(metric, table_bytes, k * shape.dimension):
+        return assign_arrow(points, packs, metric, keep_medoids)
+    return assign(points, packs, metric, table_bytes, keep_medoids)
 
 
 def update(

@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 import twins
 from glyphgrove.functions import metrics
-from glyphgrove.operators import kmedoids
+from glyphgrove.operators import assignment, kmedoids
 from glyphgrove.operators.assignment import assign, assign_arrow
 from glyphgrove.operators.medoid_cost import candidate_costs, measure
 
@@ -75,24 +75,49 @@ def test_costs_without_bounds_use_the_shuffled_lookup(spark, bytes_):
     assert sorted(map(tuple, bounded)) == sorted(map(tuple, free))
 
 
+def two_nodes(spark, data):
+    """Rows split over two nodes, with medoids in both."""
+    df = frame(spark, data).withColumn("node_id", F.when(F.col("id") < 50, "a").otherwise("b"))
+    points = df.select("node_id", "id", "vector")
+    chosen = points.filter("id % 9 = 0").groupBy("node_id").agg(
+        F.sort_array(F.collect_list(F.struct(
+            F.floor(F.col("id") / 9).cast("int").alias("pos"), "id", "vector"))).alias("medoids")
+    )
+    return points, chosen
+
+
 @pytest.mark.parametrize("metric", ["hamming", "l1", "l2sq", "euclidean"])
-def test_arrow_assignment_is_the_same(spark, bytes_, metric):
-    points = kmedoids.as_node(frame(spark, bytes_))
-    ids = list(range(0, 120, 9))
-    packs = kmedoids.explicit_seeds(points, ids)
-    plain = assign(points, packs, metric)
-    quick = assign_arrow(points, [(p, i, bytes_[i].tolist()) for p, i in enumerate(ids)], metric)
-    columns = ["id", "pos", "dist"]
+@pytest.mark.parametrize("keep", [False, True])
+def test_arrow_assignment_is_the_same(spark, bytes_, metric, keep):
+    points, packs = two_nodes(spark, bytes_)
+    plain = assign(points, packs, metric, keep_medoids=keep)
+    quick = assign_arrow(points, packs, metric, keep_medoids=keep)
+    columns = ["node_id", "id", "pos", "dist"]
+    assert plain.count() == (120 if keep else 106)
     assert sorted(map(tuple, plain.select(columns).collect())) == sorted(
         map(tuple, quick.select(columns).collect())
     )
     assert plain.schema["dist"].dataType == quick.schema["dist"].dataType
 
 
-def test_many_medoids_take_the_arrow_path(spark, bytes_):
+@pytest.mark.parametrize("metric", ["hamming", "l2sq"])
+@pytest.mark.parametrize("elements", [0, 1 << 30])
+def test_both_seeding_forms(spark, metric, elements, monkeypatch):
+    monkeypatch.setattr(assignment, "ARROW_ELEMENTS", elements)
+    data = np.random.default_rng(6).integers(0, 3, (120, 8))
+    points, _ = two_nodes(spark, data)
+    packs = kmedoids.farthest_first(points, 4, metric, nodes=2)
+    got = {r.node_id: [m.id for m in r.medoids] for r in packs.collect()}
+    assert got["a"] == twins.seeds(data[:50], 4, metric)
+    assert got["b"] == [50 + i for i in twins.seeds(data[50:], 4, metric)]
+
+
+def test_wide_comparisons_take_the_arrow_path(spark, bytes_):
     found = kmedoids.fit(frame(spark, np.tile(bytes_, (1, 4))), 40, "hamming", max_iter=1)
-    assert "MapInArrow" in found.assignment()._jdf.queryExecution().toString()
+    assert "ArrowEvalPython" in found.assignment()._jdf.queryExecution().toString()
     assert found.assignment().count() == 80
+    counted = found.assignment().groupBy("node_id").count()
+    assert "ArrowEvalPython" not in counted._jdf.queryExecution().executedPlan().toString()
 
 
 def test_medoid_stays_a_candidate_on_request(spark):
