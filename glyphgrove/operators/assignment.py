@@ -68,17 +68,24 @@ def fits_arrow(metric: Metric, table_bytes: int, elements: int) -> bool:
 
 
 def _distances(kernel: str, rows: np.ndarray, medoids: np.ndarray) -> np.ndarray:
-    """Distances rows x medoids, medoid by medoid so that no cube of elements is held."""
-    out = np.empty((len(rows), len(medoids)), np.int64 if kernel == "hamming" else np.float64)
+    """Distances rows x medoids, added up coordinate by coordinate over all rows of the batch."""
+    columns = np.ascontiguousarray(rows.T)
     if kernel != "hamming":
-        rows = rows.astype(np.float64)
+        columns = columns.astype(np.float64)
+    elif columns.dtype.kind == "i" and columns.size and 0 <= columns.min() and columns.max() < 256:
+        medoids = np.where((medoids < 0) | (medoids > 255), 256, medoids)
+        columns = columns.astype(np.uint8)
+    out = np.empty((len(medoids), len(rows)), np.int64 if kernel == "hamming" else np.float64)
     for i, medoid in enumerate(medoids):
-        if kernel == "hamming":
-            out[:, i] = np.count_nonzero(rows != medoid, axis=1)
-        else:
-            gap = rows - medoid
-            out[:, i] = np.abs(gap).sum(axis=1) if kernel == "l1" else (gap * gap).sum(axis=1)
-    return out
+        total = np.zeros(len(rows), np.int32 if kernel == "hamming" else np.float64)
+        for column, value in zip(columns, medoid.tolist()):
+            if kernel == "hamming":
+                total += column != value
+            else:
+                gap = column - value
+                total += np.abs(gap) if kernel == "l1" else gap * gap
+        out[i] = total
+    return out.T
 
 
 def _ship(packs: DataFrame):

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from glyphgrove.functions.metrics import Metric, resolve
 from glyphgrove.functions.paths import ROOT
 from glyphgrove.operators.assignment import assign, assign_arrow, farthest_arrow, fits_arrow
+from glyphgrove.operators.dense_update import dense_update, fits_dense
 from glyphgrove.operators.medoid_cost import Shape, best_candidates, measure
 from glyphgrove.runtime import lookup_join, materialise, pin, vector_bytes
 
@@ -203,14 +204,19 @@ def update(
 ) -> DataFrame:
     """One medoid update of every node: ``(node_id, medoids, cost)``.
 
-    The assignment is read three times, so it is persisted with ``storage`` until ``keep`` has
-    fixed the result; ``storage=None`` recomputes it instead.
+    Integer vectors of a small value range take the two passes of ``dense_update``. Otherwise the
+    assignment is read three times, so it is persisted with ``storage`` until ``keep`` has fixed
+    the result; ``storage=None`` recomputes it instead.
 
     ``candidates="members+medoid"`` lets a medoid keep its place. ``cost`` is the sum over every
     candidate ("all_pairs") or over the chosen ones ("medoid"). An empty cluster keeps its medoid.
     """
     metric = resolve(metric)
     keep = keep or (lambda df: pin(df, nodes, _pack_bytes(1, k, shape), "medoids"))
+    _cost_column(cost)
+    if fits_dense(metric, nodes * k, shape):
+        stay = candidates == "members+medoid"
+        return keep(dense_update(points, packs, metric, shape, stay, cost == "all_pairs"))
     placed = _place(points, packs, metric, k, nodes, shape, candidates == "members+medoid")
     assigned = placed.select("node_id", "pos", "id", "vector")
     if storage is not None:

@@ -183,7 +183,8 @@ def best_candidates(
         costs.groupBy(*CLUSTER)
         .agg(
             F.min(F.struct("cost", "id")).alias("best"),
-            F.sum("cost").alias("all_pairs"),
+            # as double: the sum over all pairs of a large cluster leaves the range of BIGINT
+            F.sum(F.col("cost").cast("double")).alias("all_pairs"),
             F.count(F.lit(1)).alias("members"),
         )
         .select(

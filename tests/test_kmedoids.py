@@ -20,7 +20,10 @@ def bytes_(spark):
 
 
 @pytest.mark.parametrize("metric", ["hamming", "euclidean", "l2sq"])
-def test_fit_equals_the_sequential_definition(spark, metric):
+@pytest.mark.parametrize("dense", [True, False])
+def test_fit_equals_the_sequential_definition(spark, metric, dense, monkeypatch):
+    if not dense:
+        monkeypatch.setattr(kmedoids, "fits_dense", lambda *a: False)
     high = 4 if metric == "hamming" else 256
     data = np.random.default_rng(3).integers(0, high, (120, 8))
     found = kmedoids.fit(frame(spark, data), 5, metric)
@@ -120,7 +123,10 @@ def test_wide_comparisons_take_the_arrow_path(spark, bytes_):
     assert "ArrowEvalPython" not in counted._jdf.queryExecution().executedPlan().toString()
 
 
-def test_medoid_stays_a_candidate_on_request(spark):
+@pytest.mark.parametrize("dense", [True, False])
+def test_medoid_stays_a_candidate_on_request(spark, dense, monkeypatch):
+    if not dense:
+        monkeypatch.setattr(kmedoids, "fits_dense", lambda *a: False)
     data = np.array([[0, 0], [1, 0], [0, 1], [9, 9], [9, 8]])
     points = kmedoids.as_node(frame(spark, data))
     packs = kmedoids.explicit_seeds(points, [0, 3])
@@ -180,8 +186,10 @@ def test_seeding_beyond_a_refresh(spark, monkeypatch):
 
 def test_large_tables_are_written_instead_of_pinned(spark, bytes_, monkeypatch):
     from glyphgrove import runtime
+    from glyphgrove.operators import dense_update
 
-    monkeypatch.setattr(runtime, "BROADCAST_BYTES", 0)
+    for module in (runtime, assignment, dense_update):
+        monkeypatch.setattr(module, "BROADCAST_BYTES", 0)
     found = kmedoids.fit(frame(spark, bytes_), 4, "hamming", max_iter=2)
     medoids, _, _ = twins.fit(bytes_, 4, "hamming", max_iter=2)
     assert [r.id for r in found.medoids().orderBy("pos").collect()] == medoids
