@@ -41,7 +41,7 @@ def assign(
     Medoids are not members of their own cluster unless ``keep_medoids``.
     """
     metric = resolve(metric)
-    joined = lookup_join(points, packs, ["node_id"], table_bytes=table_bytes)
+    joined = lookup_join(points, packs, ["node_id"], table_bytes=table_bytes, hot=True)
     own = F.filter("medoids", lambda m: m["id"] == F.col("id"))
     if keep_medoids:
         candidates = F.when(F.size(own) > 0, own).otherwise(F.col("medoids"))

@@ -32,11 +32,11 @@ def bag_of_words(
     distinct words first. A word without a weight weighs 1.
     """
     counted = quantised.groupBy("frame_id", "word_id").agg(F.count(F.lit(1)).alias("n"))
-    indexed = lookup_join(counted, words.select("word_id", "word_index"), ["word_id"])
+    indexed = lookup_join(counted, words.select("word_id", "word_index"), ["word_id"], hot=True)
     if weights is None:
         raw = indexed.withColumn("raw", F.col("n").cast("double"))
     else:
-        raw = lookup_join(indexed, weights.select("word_id", "weight"), ["word_id"], "left")
+        raw = lookup_join(indexed, weights.select("word_id", "weight"), ["word_id"], "left", hot=True)
         raw = raw.withColumn("raw", F.col("n") * F.coalesce("weight", F.lit(1.0)))
     totals = raw.groupBy("frame_id").agg(F.sum("raw").alias("total"))
     return lookup_join(raw.select("frame_id", "word_index", "raw"), totals, ["frame_id"]).select(

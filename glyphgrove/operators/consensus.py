@@ -58,7 +58,7 @@ def sample_group(
     """
     draw = F.pmod(F.xxhash64(*identity, F.lit(random_state)), F.lit(1 << 40))
     sizes = pairs.groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
-    drawn = lookup_join(pairs, sizes, [key]).withColumn("_draw", draw)
+    drawn = lookup_join(pairs, sizes, [key], hot=True).withColumn("_draw", draw)
     near = drawn.filter(F.col("_draw") * F.col("_n").cast("double") <= float(4 * size << 40))
     rank = F.row_number().over(W.partitionBy(key).orderBy("_draw", *identity))
     return near.withColumn("_r", rank).filter(F.col("_r") <= size).drop("_r", "_n", "_draw")
@@ -111,7 +111,7 @@ def consensus_filter(
     models = consensus_models(pairs, key, identity, threshold, **options)
     error = _error(F.col("src_x"), F.col("src_y"), F.col("dst_x"), F.col("dst_y"))
     inlier = F.coalesce(error < threshold**2, F.lit(False)).alias("inlier")
-    return lookup_join(pairs, models, [key], "left").select(*pairs.columns, inlier)
+    return lookup_join(pairs, models, [key], "left", hot=True).select(*pairs.columns, inlier)
 
 
 def tracked(filtered: DataFrame, key: str) -> DataFrame:

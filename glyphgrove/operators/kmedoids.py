@@ -92,7 +92,7 @@ def farthest_first(
                 nodes, row_bytes, "seeds",
             )
             continue
-        joined = lookup_join(rows, packs, ["node_id"], table_bytes=nodes * row_bytes)
+        joined = lookup_join(rows, packs, ["node_id"], table_bytes=nodes * row_bytes, hot=True)
         scored = joined.select("node_id", "id", "vector", near.alias("near"))
         if pos - done >= REFRESH:
             rows, done = materialise(scored, "near"), pos
@@ -292,7 +292,8 @@ def fit_nodes(
     for _ in range(max_iter):
         running = state.select("node_id", F.col("current").alias("medoids"))
         live = points if active == nodes else lookup_join(
-            points, state.select("node_id"), ["node_id"], "left_semi", table_bytes=active * 64
+            points, state.select("node_id"), ["node_id"], "left_semi", table_bytes=active * 64,
+            hot=True,
         )
         previous, rows = state, active
 

@@ -38,19 +38,21 @@ def brute_force(
     pairs themselves never leave a task.
     """
     metric = resolve(metric)
-    current = lookup_join(features.select("frame_id", "pos", "vector"), frame_pairs, ["frame_id"])
+    current = lookup_join(
+        features.select("frame_id", "pos", "vector"), frame_pairs, ["frame_id"], hot=True
+    )
     blocks = F.ceil(F.count(F.lit(1)) / block_rows).cast("int").alias("blocks")
     sized = features.groupBy(F.col("frame_id").alias("prev_frame_id")).agg(blocks)
     packed = (
         lookup_join(
             features.select(F.col("frame_id").alias("prev_frame_id"), "pos", "vector"),
-            sized, ["prev_frame_id"],
+            sized, ["prev_frame_id"], hot=True,
         )
         .withColumn("block", F.pmod(F.xxhash64("pos"), F.col("blocks")).cast("int"))
         .groupBy("prev_frame_id", "block")
         .agg(F.collect_list(F.struct("pos", "vector")).alias("others"))
     )
-    asked = lookup_join(current, sized, ["prev_frame_id"]).withColumn(
+    asked = lookup_join(current, sized, ["prev_frame_id"], hot=True).withColumn(
         "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
     )
     met = lookup_join(asked.drop("blocks"), packed, ["prev_frame_id", "block"])
@@ -95,7 +97,9 @@ def candidate_matches(
         F.explode(prefixes(F.col("word_id"))).alias("ancestor_id"),
         "prev_pos",
     )
-    current = lookup_join(quantised.select("frame_id", "pos", "word_id"), frame_pairs, ["frame_id"])
+    current = lookup_join(
+        quantised.select("frame_id", "pos", "word_id"), frame_pairs, ["frame_id"], hot=True
+    )
     current = current.withColumn("ancestor_id", ancestor(F.col("word_id"), distance))
     return current.join(earlier, ["prev_frame_id", "ancestor_id"]).select(
         "frame_id", "pos", "prev_frame_id", "prev_pos"

@@ -91,7 +91,7 @@ def _l1_terms(
             F.sum(sums["r"]).alias("size"), F.sum(sums["p"]).alias("s1")
         )
         ranked = finish(running(order_rows(histogram, COORDINATE, ["x"]), sums))
-        table = lookup_join(ranked, totals, COORDINATE, table_bytes=totals_bytes)
+        table = lookup_join(ranked, totals, COORDINATE, table_bytes=totals_bytes, hot=True)
     table = table.select(*COORDINATE, "x", cost.alias("term"))
     return lookup_join(elements, table, [*COORDINATE, "x"], table_bytes=table_bytes)
 
@@ -103,7 +103,7 @@ def _l2sq_terms(elements: DataFrame, totals_bytes: int | None) -> DataFrame:
         F.sum(value).alias("s1"),
         F.sum(value * value).alias("s2"),
     )
-    priced = lookup_join(elements, totals, COORDINATE, table_bytes=totals_bytes)
+    priced = lookup_join(elements, totals, COORDINATE, table_bytes=totals_bytes, hot=True)
     term = F.col("s2") - 2 * value * F.col("s1") + F.col("size") * value * value
     return priced.withColumn("term", term)
 
@@ -117,7 +117,7 @@ def _blocked_costs(assigned: DataFrame, metric: Metric, block_rows: int) -> Data
     counts = assigned.groupBy(*CLUSTER).agg(
         F.ceil(F.count(F.lit(1)) / block_rows).cast("int").alias("blocks")
     )
-    sized = lookup_join(assigned.select(*CLUSTER, "id", "vector"), counts, CLUSTER)
+    sized = lookup_join(assigned.select(*CLUSTER, "id", "vector"), counts, CLUSTER, hot=True)
     members = (
         sized.withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
         .groupBy(*CLUSTER, "block")
@@ -166,7 +166,9 @@ def candidate_costs(
     )
     if metric.additive == "hamming":
         sizes = assigned.groupBy(*CLUSTER).agg(F.count(F.lit(1)).alias("size"))
-        costs = lookup_join(costs, sizes, CLUSTER, table_bytes=clusters * 64 if clusters else None)
+        costs = lookup_join(
+            costs, sizes, CLUSTER, table_bytes=clusters * 64 if clusters else None, hot=True
+        )
         costs = costs.withColumn("cost", F.col("length") * F.col("size") + F.col("cost"))
     return costs.select(*CLUSTER, "id", "cost")
 

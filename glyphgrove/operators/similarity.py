@@ -19,7 +19,8 @@ from glyphgrove.runtime import lookup_join, materialise
 #: Slack for sums of weights in floating point; candidates are scored exactly afterwards.
 SLACK = 1e-9
 
-#: Database rows of one word handled by one task of the candidate join.
+#: Rows of one word on either side of a cell of the candidate join: a word found in many frames is
+#: cut into a grid of cells, so that no task meets all of its pairs.
 WORD_ROWS = 20_000
 
 
@@ -42,7 +43,7 @@ def score_pairs(pairs: DataFrame, queries: DataFrame, database: DataFrame) -> Da
 
 def _openers(bags: DataFrame, frequency: DataFrame, bar: Column) -> DataFrame:
     """Words of each frame that can be the rarest shared word of a match above ``bar``."""
-    known = lookup_join(bags, frequency, ["word_index"])
+    known = lookup_join(bags, frequency, ["word_index"], hot=True)
     # at most one row per distinct word in a window
     rest = W.partitionBy("frame_id").orderBy(F.desc("frames"), F.desc("word_index")).rowsBetween(
         W.unboundedPreceding, W.currentRow
@@ -64,10 +65,12 @@ def candidates(
     ``carry`` names frame-level columns kept on both sides as ``query_<c>`` and ``<c>`` for the
     ``admissible`` condition.
     """
+    cells = F.ceil(F.count(F.lit(1)) / WORD_ROWS).cast("int")
+    asked = queries.groupBy("word_index").agg(cells.alias("query_parts"))
     frequency = database.groupBy("word_index").agg(
-        F.count(F.lit(1)).alias("frames"),
-        F.ceil(F.count(F.lit(1)) / WORD_ROWS).cast("int").alias("parts"),
+        F.count(F.lit(1)).alias("frames"), cells.alias("parts")
     )
+    frequency = frequency.join(asked, "word_index")
     if isinstance(thresholds, DataFrame):
         queries = lookup_join(queries, thresholds, ["frame_id"])
         query_bar = F.col("threshold")
@@ -78,15 +81,17 @@ def candidates(
         F.col("frame_id").alias("query_id"),
         "word_index",
         F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"),
+        F.pmod(F.xxhash64("frame_id"), F.col("query_parts")).cast("int").alias("query_part"),
         *[F.col(c).alias(f"query_{c}") for c in carry],
     )
     right = _openers(database, frequency, frame_bar).select(
         "frame_id",
         "word_index",
         F.pmod(F.xxhash64("frame_id"), F.col("parts")).cast("int").alias("part"),
+        F.explode(F.sequence(F.lit(0), F.col("query_parts") - 1)).alias("query_part"),
         *carry,
     )
-    met = left.join(right, ["word_index", "part"])
+    met = left.join(right, ["word_index", "part", "query_part"])
     if admissible is not None:
         met = met.filter(admissible)
     return met.select("query_id", "frame_id").distinct()
@@ -122,13 +127,14 @@ def retrieve_best(
     queries = bags if asked is None else lookup_join(
         bags, asked.select("frame_id").distinct(), ["frame_id"], "left_semi"
     )
-    earliest = bags.groupBy("word_index").agg(F.min("seq").alias("first_seq"))
-    by_seq = sequence.select(F.col("frame_id").alias("first_frame"), F.col("seq").alias("first_seq"))
-    champions = lookup_join(earliest, by_seq, ["first_seq"])
+    first = F.min(F.struct("seq", "frame_id")).alias("_f")
+    champions = bags.groupBy("word_index").agg(first).select(
+        "word_index", F.col("_f.seq").alias("first_seq"), F.col("_f.frame_id").alias("first_frame")
+    )
     reach = F.col("seq") - exclude_recent
     # the earliest frame with the heaviest word that an admissible frame has at all
     probes = (
-        lookup_join(queries, champions, ["word_index"])
+        lookup_join(queries, champions, ["word_index"], hot=True)
         .filter(F.col("first_seq") <= reach)
         .groupBy("frame_id")
         .agg(F.max(F.struct("weight", "first_frame")).alias("_p"))

@@ -80,7 +80,7 @@ def build_tree(
         level = pin(level, bound, 128 + vector_bytes(shape.dimension), "nodes")
         nodes.append(level)
         small = level.filter(F.col("is_leaf") & (F.col("size") <= k)).select("node_id")
-        kept = lookup_join(placed, small, ["node_id"], "left_semi", table_bytes=bound * 64)
+        kept = lookup_join(placed, small, ["node_id"], "left_semi", table_bytes=bound * 64, hot=True)
         # a leaf holds at most k rows, so this window is small by construction
         order = W.partitionBy("node_id").orderBy("id")
         members.append(
@@ -88,7 +88,7 @@ def build_tree(
         )
         wide = level.filter(~F.col("is_leaf")).select("node_id")
         open_nodes = wide.count()
-        points = lookup_join(placed, wide, ["node_id"], "left_semi", table_bytes=bound * 64)
+        points = lookup_join(placed, wide, ["node_id"], "left_semi", table_bytes=bound * 64, hot=True)
     return Tree(_stack(nodes), _stack(members), k, depth, shape)
 
 
@@ -181,7 +181,7 @@ def quantise(
     rows = features.withColumn("word_id", F.lit(ROOT))
     kept = [F.col(c) for c in features.columns]
     for _ in range(depth + 1):
-        met = lookup_join(rows, packs, ["word_id"], "left", table_bytes=table_bytes)
+        met = lookup_join(rows, packs, ["word_id"], "left", table_bytes=table_bytes, hot=True)
         rows = met.select(*kept, step.alias("word_id"))
     return rows
 

@@ -307,8 +307,8 @@ def word_onehot(spark, sf_dir):
     _, vocabulary = inputs.flat_vocabulary(spark, sf_dir)
     rows = inputs.flat_words(spark, sf_dir)
     weights = bow.word_weights(rows)
-    indexed = lookup_join(rows, vocabulary, ["word_id"])
-    weighted = lookup_join(indexed, weights, ["word_id"], "left")
+    indexed = lookup_join(rows, vocabulary, ["word_id"], hot=True)
+    weighted = lookup_join(indexed, weights, ["word_id"], "left", hot=True)
     hot = vectors.one_hot(F.col("word_index"), F.coalesce("weight", F.lit(1.0)), K)
     dense = weighted.select("frame_id", "pos", "word_index", hot.alias("hot"))
     return dense.select(

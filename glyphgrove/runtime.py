@@ -79,16 +79,21 @@ def lookup_join(
     on: list[str],
     how: str = "inner",
     table_bytes: int | None = None,
+    hot: bool = False,
     salts: int = SALTS,
 ) -> DataFrame:
     """Join many ``rows`` to a ``table`` that is unique on ``on``.
 
     ``table_bytes`` is a proven bound of the table: within ``BROADCAST_BYTES`` it is broadcast.
-    Otherwise the table is repeated once per salt and every row goes to one salt, so a key holding
-    a large share of all rows is spread over ``salts`` tasks.
+    ``hot`` says that one key may hold a large share of the rows and that the table is much smaller
+    than they are: it is repeated once per salt, every row goes to one salt, and so a hot key is
+    spread over ``salts`` tasks. Otherwise the join is left to Catalyst and to the adaptive skew
+    split, which repeats only what turns out to be skewed.
     """
     if table_bytes is not None and table_bytes <= BROADCAST_BYTES:
         return rows.join(F.broadcast(table), on, how)
+    if not hot:
+        return rows.join(table, on, how)
     repeated = table.withColumn("_salt", F.explode(F.lit(list(range(salts)))))
     spread = [c for c in rows.columns if c not in on] or on
     # a hash of the row, not a random number: a retried task must send its rows to the same place

@@ -90,7 +90,7 @@ def test_lookup_join_ways_agree(spark, how):
     rows = spark.range(200).selectExpr("id", "case when id < 80 then 0 else id % 7 end k")
     table = spark.createDataFrame([(0, "a"), (3, "b"), (5, "c")], "k bigint, v string")
     sent = runtime.lookup_join(rows, table, ["k"], how, table_bytes=100)
-    salted = runtime.lookup_join(rows, table, ["k"], how)
+    salted = runtime.lookup_join(rows, table, ["k"], how, hot=True)
     plain = rows.join(table, ["k"], how)
     columns = sorted(plain.columns)
     expect = sorted(map(str, plain.select(columns).collect()))
