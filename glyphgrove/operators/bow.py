@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from glyphgrove.runtime import lookup_join
@@ -32,15 +33,18 @@ def bag_of_words(
     distinct words first. A word without a weight weighs 1.
     """
     counted = quantised.groupBy("frame_id", "word_id").agg(F.count(F.lit(1)).alias("n"))
-    indexed = lookup_join(counted, words.select("word_id", "word_index"), ["word_id"], hot=True)
+    dictionary = words.select("word_id", "word_index")
     if weights is None:
-        raw = indexed.withColumn("raw", F.col("n").cast("double"))
+        dictionary = dictionary.withColumn("weight", F.lit(1.0))
     else:
-        raw = lookup_join(indexed, weights.select("word_id", "weight"), ["word_id"], "left", hot=True)
-        raw = raw.withColumn("raw", F.col("n") * F.coalesce("weight", F.lit(1.0)))
-    totals = raw.groupBy("frame_id").agg(F.sum("raw").alias("total"))
-    return lookup_join(raw.select("frame_id", "word_index", "raw"), totals, ["frame_id"]).select(
-        "frame_id", "word_index", (F.col("raw") / F.col("total")).alias("weight")
+        # both sides have one row per word; joined first, the counts are shuffled once
+        dictionary = dictionary.join(weights.select("word_id", "weight"), "word_id", "left")
+    indexed = lookup_join(counted, dictionary, ["word_id"], hot=True)
+    raw = F.col("n") * F.coalesce("weight", F.lit(1.0))
+    # at most one row per distinct word in a frame by now, so the window is bounded
+    total = F.sum("raw").over(W.partitionBy("frame_id"))
+    return indexed.select("frame_id", "word_index", raw.alias("raw")).select(
+        "frame_id", "word_index", (F.col("raw") / total).alias("weight")
     )
 
 

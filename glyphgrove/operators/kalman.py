@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from glyphgrove.operators.ordered import CHUNK, MAX_GROUP_ROWS, number, order_rows
+from glyphgrove.operators.ordered import CHUNK, MAX_GROUP_ROWS, number, order_rows, scan
 from glyphgrove.runtime import lookup_join
 
 #: Columns added to each measurement.
@@ -85,20 +85,13 @@ def kalman_track(
     """
     ordered = number(order_rows(df, keys, order, max_group_rows), "step")
     table = gain_table(model)
-    schema = T.StructType(
-        [
-            *df.schema.fields,
-            T.StructField("step", T.LongType()),
-            *[T.StructField(c, T.DoubleType()) for c in OUTPUTS],
-        ]
-    )
-
-    def track(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("step", ignore_index=True)
-        state = (rows["_angle"].iloc[0], rows["_rate"].iloc[0])
-        tracked, _ = _track(rows[value].to_numpy(float), int(rows["step"].iloc[0]) - 1, state, table)
-        rows[OUTPUTS] = tracked
-        return rows[schema.fieldNames()]
+    outputs = T.StructType([T.StructField(c, T.DoubleType()) for c in OUTPUTS])
+
+    def track(run: list[np.ndarray], state: tuple | None) -> tuple[list[np.ndarray], tuple]:
+        z, steps, angle, rate = run
+        state = (float(angle[0]), float(rate[0])) if state is None else state
+        tracked, state = _track(z.astype(float), int(steps[0]) - 1, state, table)
+        return list(tracked.T), state
 
     rows = ordered.rows
     if ordered.chunked:
@@ -140,4 +133,6 @@ def kalman_track(
         rows = lookup_join(rows, entries, ordered.scope)
     else:
         rows = rows.select("*", F.lit(0.0).alias("_angle"), F.lit(0.0).alias("_rate"))
-    return rows.groupBy(*ordered.scope).applyInPandas(track, schema)
+    inputs = [value, "step", "_angle", "_rate"]
+    tracked = scan(rows, ordered.scope, ["step"], inputs, outputs, track)
+    return tracked.select(*df.columns, "step", *OUTPUTS)

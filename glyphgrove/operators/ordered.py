@@ -9,11 +9,16 @@ per chunk, and what one chunk needs from the chunks before it travels in a table
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from typing import Any
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from glyphgrove.runtime import lookup_join, materialise
 
@@ -126,6 +131,49 @@ def previous(ordered: Ordered, columns: dict[str, str]) -> Ordered:
     return ordered.replace(rows.drop("_at"))
 
 
+def scan(
+    rows: DataFrame,
+    scope: list[str],
+    order: list[str],
+    inputs: list[str],
+    outputs: T.StructType,
+    advance: Callable[[list[np.ndarray], Any], tuple[list[np.ndarray], Any]],
+) -> DataFrame:
+    """Run a sequential rule along the sorted rows of each scope and append its ``outputs``.
+
+    Sorted partitions are streamed batch by batch. ``advance`` gets the ``inputs`` of a run of rows
+    of one scope and the state it returned for the run before (None at the start of a scope), so
+    many small scopes cost no more than one large one and memory holds one batch.
+    """
+    schema = T.StructType([*rows.schema.fields, *outputs.fields])
+    names = outputs.fieldNames()
+
+    def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        last, state = None, None
+        for batch in batches:
+            if batch.empty:
+                continue
+            keys = batch[scope]
+            moved = (keys.ne(keys.shift()) & ~(keys.isna() & keys.shift().isna())).any(axis=1)
+            starts = np.flatnonzero(moved.to_numpy())
+            if not len(starts) or starts[0]:
+                starts = np.r_[0, starts]
+            first = tuple(keys.iloc[0].fillna("").tolist())
+            values = [batch[c].to_numpy() for c in inputs]
+            parts = []
+            for i, (lo, hi) in enumerate(zip(starts, np.r_[starts[1:], len(batch)])):
+                if i or first != last:
+                    state = None
+                part, state = advance([v[lo:hi] for v in values], state)
+                parts.append(part)
+            last = tuple(keys.iloc[-1].fillna("").tolist())
+            for name, column in zip(names, zip(*parts)):
+                batch[name] = np.concatenate(column)
+            yield batch[schema.fieldNames()]
+
+    return rows.repartition(*scope).sortWithinPartitions(*scope, *order).mapInPandas(walk, schema)
+
+
 def finish(ordered: Ordered) -> DataFrame:
     return ordered.rows.drop(CHUNK)
 

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from glyphgrove.operators.ordered import CHUNK, MAX_GROUP_ROWS, order_rows
+from glyphgrove.operators.ordered import CHUNK, MAX_GROUP_ROWS, order_rows, scan
 from glyphgrove.runtime import lookup_join
 
 
@@ -57,24 +57,23 @@ def spaced_picks(
     any pick have a null anchor.
     """
     ordered = order_rows(df, keys, [position], max_group_rows)
-    schema = T.StructType([*df.schema.fields, T.StructField("anchor", T.LongType())])
     opening = -1 if start is None else start
 
-    def walk(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(position, ignore_index=True)
-        last = int(rows["_entry"].iloc[0])
-        known = None if last < 0 else last
-        anchors = _anchors(rows[position].to_numpy(np.int64), known, gap)
-        rows["anchor"] = pd.array(anchors, dtype="Int64")
+    def walk(run: list[np.ndarray], last: int | None) -> tuple[list[np.ndarray], int]:
+        at, entry = run
+        last = int(entry[0]) if last is None else last
+        anchors = _anchors(at, None if last < 0 else last, gap)
+        return [anchors], int(anchors[-1])
+
+    def marked(entered: DataFrame) -> DataFrame:
+        out = T.StructType([T.StructField("_anchor", T.LongType())])
+        rows = scan(entered, ordered.scope, [position], [position, "_entry"], out, walk)
         # before the first pick there is no anchor
-        rows.loc[rows["anchor"] < 0, "anchor"] = pd.NA
-        if start is not None:
-            rows.loc[rows["anchor"] == start, "anchor"] = pd.NA
-        return rows[schema.fieldNames()]
+        anchor = F.when(F.col("_anchor") > opening, F.col("_anchor")).alias("anchor")
+        return rows.select(*df.columns, anchor)
 
     if not ordered.chunked:
-        entered = ordered.rows.withColumn("_entry", F.lit(opening).cast("bigint"))
-        return entered.groupBy(*ordered.scope).applyInPandas(walk, schema)
+        return marked(ordered.rows.withColumn("_entry", F.lit(opening).cast("bigint")))
 
     key_fields = [df.schema[c] for c in keys]
     chunk = T.StructField(CHUNK, T.IntegerType())
@@ -108,4 +107,4 @@ def spaced_picks(
     entered = lookup_join(ordered.rows, entries, ordered.scope, "left").withColumn(
         "_entry", F.coalesce("_entry", F.lit(opening).cast("bigint"))
     )
-    return entered.groupBy(*ordered.scope).applyInPandas(walk, schema)
+    return marked(entered)

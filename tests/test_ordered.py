@@ -129,3 +129,24 @@ def test_kalman_equals_the_matrix_form(spark, stream, limit):
 def test_gain_table_settles():
     table = kalman.gain_table(kalman.Model())
     assert len(table) < 10_000 and np.isfinite(table).all()
+
+
+@pytest.mark.parametrize("limit", [40, 10_000])
+def test_rules_carry_their_state_over_batches(spark, stream, limit):
+    df, rows = stream
+    wide = kalman.kalman_track(df, ["k"], ["t"], "v", max_group_rows=limit)
+    want = sorted(map(tuple, wide.select("t", *kalman.OUTPUTS).collect()))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        narrow = kalman.kalman_track(df, ["k"], ["t"], "v", max_group_rows=limit)
+        got = sorted(map(tuple, narrow.select("t", *kalman.OUTPUTS).collect()))
+        marked = spaced_picks(df.select("k", "t"), ["k"], "t", 12, None, limit).collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert got == [pytest.approx(w) for w in want]
+    picked = {}
+    for r in marked:
+        if r.anchor == r.t:
+            picked.setdefault(r.k, set()).add(r.t)
+    for k, items in by_key(rows).items():
+        assert picked[k] == set(walk([t for t, _ in items], 12, None))
