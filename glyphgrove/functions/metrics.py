@@ -5,10 +5,13 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 Pair = Callable[[Column, Column], Column]
+Kernel = Callable[[np.ndarray, np.ndarray], np.ndarray]
 
 
 def _total(terms: Column, zero: Column) -> Column:
@@ -52,12 +55,17 @@ class Metric:
 
     ``additive`` names the linear-time cost formula (see ``operators.medoid_cost``); ``None`` means
     that only the blocked pairwise sum of ``cost`` is known to be right.
+
+    ``kernel`` and ``cost_kernel`` are the numpy forms of a metric without column builders: they
+    take a matrix of rows and one vector, and return one distance per row.
     """
 
     name: str
     point: Pair
     cost: Pair
     additive: str | None = None
+    kernel: Kernel | None = None
+    cost_kernel: Kernel | None = None
 
 
 _REGISTRY: dict[str, Metric] = {
@@ -84,3 +92,37 @@ def resolve(metric: str | Metric) -> Metric:
 def custom(name: str, point: Pair, cost: Pair | None = None) -> Metric:
     """A metric given by column builders only; its medoid costs are summed block by block."""
     return Metric(name, point, cost or point)
+
+
+def from_numpy(name: str, kernel: Kernel, cost_kernel: Kernel | None = None) -> Metric:
+    """A metric given by a numpy function ``(rows, vector) -> distances``.
+
+    It runs on Arrow batches, so the medoids of a level must fit the broadcast bound; like any
+    metric without a linear formula its medoid costs are summed block by block.
+    """
+    cost_kernel = cost_kernel or kernel
+    return Metric(name, _pairwise(kernel), _pairwise(cost_kernel), None, kernel, cost_kernel)
+
+
+def _pairwise(kernel: Kernel) -> Pair:
+    @F.arrow_udf("double")
+    def distance(a: pa.Array, b: pa.Array) -> pa.Array:
+        pairs = zip(a.to_pylist(), b.to_pylist())
+        return pa.array([float(kernel(np.array([x]), np.array(y))[0]) for x, y in pairs], pa.float64())
+
+    return distance
+
+
+def block_total(kernel: Kernel) -> Pair:
+    """Sum of the distances of a vector to each vector of an array."""
+
+    @F.arrow_udf("double")
+    def total(vectors: pa.Array, members: pa.Array) -> pa.Array:
+        sums = []
+        for vector, block in zip(vectors, members):
+            inner = block.values
+            rows = inner.flatten().to_numpy(zero_copy_only=False).reshape(len(inner), -1)
+            sums.append(float(kernel(rows, np.array(vector.as_py())).sum()))
+        return pa.array(sums, pa.float64())
+
+    return total

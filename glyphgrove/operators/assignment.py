@@ -19,12 +19,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from glyphgrove.functions.metrics import Metric, resolve
+from glyphgrove.functions.metrics import Kernel, Metric, resolve
 from glyphgrove.runtime import BROADCAST_BYTES, lookup_join
 
 #: From this many array elements compared per row on, the Arrow form is used.
 ARROW_ELEMENTS = 128
 
+#: Up to this many elements compared, one numpy call over the whole cube is cheaper than a loop.
+SMALL_CUBE = 1 << 18
+
 #: Metrics the Arrow form knows, with the distance that places rows.
 KERNELS = {"hamming": "hamming", "l1": "l1", "l2sq": "l2sq", "euclidean": "l2sq"}
 
@@ -61,14 +64,31 @@ def assign(
     )
 
 
+def _kernel(metric: str | Metric) -> str | Kernel:
+    metric = resolve(metric)
+    return metric.kernel or KERNELS[metric.name]
+
+
 def fits_arrow(metric: Metric, table_bytes: int, elements: int) -> bool:
     """Whether the Arrow form applies: known kernel, bounded table, enough work per row."""
+    if metric.kernel is not None:
+        if table_bytes > BROADCAST_BYTES:
+            raise ValueError(f"metric {metric.name!r} needs a node table within the broadcast bound")
+        return True
     known = metric.name in KERNELS and metric.additive is not None
     return known and table_bytes <= BROADCAST_BYTES and elements >= ARROW_ELEMENTS
 
 
-def _distances(kernel: str, rows: np.ndarray, medoids: np.ndarray) -> np.ndarray:
-    """Distances rows x medoids, added up coordinate by coordinate over all rows of the batch."""
+def _distances(kernel: str | Kernel, rows: np.ndarray, medoids: np.ndarray) -> np.ndarray:
+    """Distances rows x medoids, each added up in the order of the coordinates."""
+    if callable(kernel):
+        return np.stack([kernel(rows, m) for m in medoids], axis=1).astype(np.float64)
+    if len(rows) * medoids.size <= SMALL_CUBE:
+        if kernel == "hamming":
+            return (rows[:, None] != medoids).sum(axis=2, dtype=np.int64)
+        gap = rows[:, None].astype(np.float64) - medoids
+        return (np.abs(gap) if kernel == "l1" else gap * gap).cumsum(axis=2)[:, :, -1]
+    # many rows: one pass over all rows of the batch per coordinate
     columns = np.ascontiguousarray(rows.T)
     if kernel != "hamming":
         columns = columns.astype(np.float64)
@@ -120,7 +140,7 @@ def assign_arrow(
     keep_medoids: bool = False,
 ) -> DataFrame:
     """``assign`` for node tables within the broadcast bound."""
-    kernel = KERNELS[resolve(metric).name]
+    kernel = _kernel(metric)
     counts = kernel == "hamming"
     shared = _ship(packs)
 
@@ -165,7 +185,7 @@ def farthest_arrow(points: DataFrame, packs: DataFrame, metric: str | Metric) ->
     """One candidate ``(node_id, near, id, vector)`` per batch and node: its row farthest from the
     node's seeds, lowest id on ties. The caller takes the maximum over batches.
     """
-    kernel = KERNELS[resolve(metric).name]
+    kernel = _kernel(metric)
     shared = _ship(packs)
     element = points.schema["vector"].dataType.elementType.simpleString()
 
@@ -192,3 +212,38 @@ def farthest_arrow(points: DataFrame, packs: DataFrame, metric: str | Metric) ->
     return points.select("node_id", "id", "vector").mapInArrow(
         reduce, f"node_id string, near double, id bigint, vector array<{element}>"
     )
+
+
+def descend_arrow(
+    features: DataFrame, levels: DataFrame, metric: str | Metric, root: str, word: str = "word_id"
+) -> DataFrame:
+    """Add the path that the nearest entry at each node leads to, for level tables within the
+    broadcast bound: the whole descent is one function of the vector, without any join.
+    """
+    kernel = _kernel(metric)
+    packed = levels.groupBy("node_id").agg(
+        F.sort_array(F.collect_list(F.struct("pos", "vector"))).alias("entries")
+    )
+    shared = features.sparkSession.sparkContext.broadcast({
+        r.node_id: ([e.pos for e in r.entries], np.array([e.vector for e in r.entries]))
+        for r in packed.collect()
+    })
+
+    @F.arrow_udf("string")
+    def path(vectors: pa.Array) -> pa.Array:
+        found = np.empty(len(vectors), object)
+        rows = _vectors(vectors) if len(vectors) else None
+        waiting = [(root, np.arange(len(vectors)))] if len(vectors) else []
+        while waiting:
+            node, part = waiting.pop()
+            if node not in shared.value:
+                found[part] = node
+                continue
+            positions, entries = shared.value[node]
+            best = _distances(kernel, rows[part], entries).argmin(axis=1)
+            for b in np.unique(best).tolist():
+                child = str(positions[b]) if node == root else f"{node}-{positions[b]}"
+                waiting.append((child, part[best == b]))
+        return pa.array(found, pa.string())
+
+    return features.select("*", path("vector").alias(word))

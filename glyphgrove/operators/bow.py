@@ -20,7 +20,7 @@ def present(features: DataFrame) -> DataFrame:
 def word_weights(quantised: DataFrame) -> DataFrame:
     """``(word_id, weight)``: share of all rows that fall on the word."""
     counts = quantised.groupBy("word_id").agg(F.count(F.lit(1)).alias("n"))
-    total = quantised.agg(F.count(F.lit(1)).alias("n")).scalar()
+    total = counts.agg(F.sum("n")).scalar()
     return counts.select("word_id", (F.col("n") / total).alias("weight"))
 
 

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from glyphgrove.functions.metrics import Metric, resolve
+from glyphgrove.functions.metrics import Metric, block_total, resolve
 from glyphgrove.operators.ordered import finish, order_rows, running
 from glyphgrove.runtime import lookup_join
 
@@ -124,11 +124,14 @@ def _blocked_costs(assigned: DataFrame, metric: Metric, block_rows: int) -> Data
         .agg(F.collect_list("vector").alias("members"))
     )
     candidates = sized.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    part = F.aggregate(
-        "members",
-        F.lit(0.0),
-        lambda acc, other: acc + metric.cost(F.col("vector"), other).cast("double"),
-    )
+    if metric.cost_kernel is not None:
+        part = block_total(metric.cost_kernel)(F.col("vector"), F.col("members"))
+    else:
+        part = F.aggregate(
+            "members",
+            F.lit(0.0),
+            lambda acc, other: acc + metric.cost(F.col("vector"), other).cast("double"),
+        )
     met = lookup_join(candidates.drop("blocks"), members, [*CLUSTER, "block"])
     return met.select(*CLUSTER, "id", part.alias("cost")).groupBy(*CLUSTER, "id").agg(
         F.sum("cost").alias("cost")

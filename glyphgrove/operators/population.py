@@ -21,22 +21,16 @@ def sample_rows(df: DataFrame, n: int, random_state: int = 0) -> DataFrame:
 
 def population(assignment: DataFrame) -> DataFrame:
     """``(node_id, pos, members, share)`` of all assigned rows."""
-    total = assignment.agg(F.count(F.lit(1)).alias("n")).scalar()
-    return (
-        assignment.groupBy("node_id", "pos")
-        .agg(F.count(F.lit(1)).alias("members"))
-        .select("node_id", "pos", "members", (F.col("members") / total).alias("share"))
-    )
+    counts = assignment.groupBy("node_id", "pos").agg(F.count(F.lit(1)).alias("members"))
+    total = counts.agg(F.sum("members")).scalar()
+    return counts.select("node_id", "pos", "members", (F.col("members") / total).alias("share"))
 
 
 def population_of_lists(clusters: DataFrame) -> DataFrame:
     """``(cluster, members, share)`` of a saved clustering in long form ``(cluster, id)``."""
-    total = clusters.agg(F.count(F.lit(1)).alias("n")).scalar()
-    return (
-        clusters.groupBy("cluster")
-        .agg(F.count(F.lit(1)).alias("members"))
-        .select("cluster", "members", (F.col("members") / total).alias("share"))
-    )
+    counts = clusters.groupBy("cluster").agg(F.count(F.lit(1)).alias("members"))
+    total = counts.agg(F.sum("members")).scalar()
+    return counts.select("cluster", "members", (F.col("members") / total).alias("share"))
 
 
 def members_of(assignment: DataFrame, node_id: str, pos: int) -> DataFrame:

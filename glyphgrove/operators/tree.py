@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from glyphgrove.functions.metrics import Metric, resolve
 from glyphgrove.functions.paths import ROOT, ancestor, child, prefixes, steps
+from glyphgrove.operators.assignment import ARROW_ELEMENTS, descend_arrow, fits_arrow
 from glyphgrove.operators.kmedoids import as_node, farthest_first, fit_nodes
 from glyphgrove.operators.medoid_cost import Shape, measure
 from glyphgrove.operators.ordered import dense_ids
@@ -161,9 +162,13 @@ def quantise(
 ) -> DataFrame:
     """Add ``word_id`` by greedy descent: the nearest entry at each node, lowest ``pos`` on ties.
 
-    One lookup join per level in one plan; rows whose node has no entries keep it as their word.
+    ``table_bytes`` is a proven bound of ``levels``. Within the broadcast bound the descent is one
+    function over Arrow batches; otherwise there is one lookup join per level, all in one plan.
+    Rows whose node has no entries keep it as their word.
     """
     metric = resolve(metric)
+    if table_bytes is not None and fits_arrow(metric, table_bytes, ARROW_ELEMENTS):
+        return descend_arrow(features, levels, metric, ROOT)
     packs = levels.groupBy(F.col("node_id").alias("word_id")).agg(
         F.sort_array(F.collect_list(F.struct("pos", "vector"))).alias("_entries")
     )

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from glyphgrove.functions import vectors
-from glyphgrove.operators.bow import bag_of_words, word_weights
+from glyphgrove.operators.bow import bag_of_words, present, word_weights
 from glyphgrove.operators.frames import with_counter, with_previous
 from glyphgrove.operators.kmedoids import as_node, farthest_first
 from glyphgrove.operators.medoid_cost import Shape, measure
@@ -140,7 +140,7 @@ def words_of_features(spark: SparkSession, sf_dir: str, tree: Tree) -> DataFrame
     """``(frame_id, pos, x, y, word_id)``."""
     nodes = sum(tree.k**d for d in range(tree.depth + 1))
     rows = quantise(
-        features(spark, sf_dir), level_vectors(tree), tree.depth,
+        present(features(spark, sf_dir)), level_vectors(tree), tree.depth,
         table_bytes=nodes * _table_bytes(tree.k, tree.shape),
     )
     return rows.drop("vector")

@@ -86,6 +86,7 @@ def sink_model_roundtrip(spark, sf_dir):
     path = scratch_path(spark, "model")
     model_files.write_model(model_files.build_model(grown, weights, vocabulary), path)
     model = model_files.read_model(spark, path)
+    # without a size bound: the form with one lookup join per level
     rows = tree.quantise(inputs.features(spark, sf_dir), model.levels, model.depth)
     bag = bow.bag_of_words(rows, model.words, model.weights)
     return bag.select("frame_id", "word_index", _r("weight").alias("weight"))
@@ -412,7 +413,7 @@ def match_consensus(spark, sf_dir):
         {"frame_id": "prev_frame_id", "pos": "prev_pos", "x": "dst_x", "y": "dst_y"}
     )
     placed = lookup_join(matched, source, ["frame_id", "pos"])
-    placed = lookup_join(placed, target, ["prev_frame_id", "prev_pos"])
+    placed = materialise(lookup_join(placed, target, ["prev_frame_id", "prev_pos"]), "pairs")
     kept = consensus.consensus_filter(placed, "frame_id", ["pos", "prev_pos"], trials=50)
     return consensus.tracked(kept, "frame_id")
 

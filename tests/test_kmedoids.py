@@ -90,8 +90,10 @@ def two_nodes(spark, data):
 
 
 @pytest.mark.parametrize("metric", ["hamming", "l1", "l2sq", "euclidean"])
-@pytest.mark.parametrize("keep", [False, True])
-def test_arrow_assignment_is_the_same(spark, bytes_, metric, keep):
+@pytest.mark.parametrize("keep, cube", [(False, 0), (True, 1 << 18)])
+def test_arrow_assignment_is_the_same(spark, bytes_, metric, keep, cube, monkeypatch):
+    # the switch is read where the tasks are pickled, by value, from this process
+    monkeypatch.setattr(assignment, "SMALL_CUBE", cube)
     points, packs = two_nodes(spark, bytes_)
     plain = assign(points, packs, metric, keep_medoids=keep)
     quick = assign_arrow(points, packs, metric, keep_medoids=keep)
@@ -200,3 +202,16 @@ def test_list_blocks_are_bounded(spark, bytes_):
     lists = kmedoids.cluster_lists(found.assignment(), found.medoids(), block=10)
     assert lists.agg(F.max(F.size("members"))).first()[0] <= 10
     assert lists.agg(F.sum(F.size("members"))).first()[0] == 118
+
+
+def test_numpy_metric_in_every_step(spark, bytes_):
+    """A metric without column builders: same result as the built-in one it repeats."""
+    plain = metrics.from_numpy("manhattan", lambda rows, v: np.abs(rows - v).sum(axis=1))
+    found = kmedoids.fit(frame(spark, bytes_), 4, plain, max_iter=3)
+    medoids, placed, history = twins.fit(bytes_, 4, "l1", max_iter=3)
+    assert [r.id for r in found.medoids().orderBy("pos").collect()] == medoids
+    assert found.costs == history
+    got = {r.id: r.pos for r in found.assignment().select("id", "pos").collect()}
+    assert got == {i: p for i, p in enumerate(placed) if p >= 0}
+    pair = spark.sql("select array(1, 2) a, array(4, 0) b")
+    assert pair.select(plain.point(F.col("a"), F.col("b"))).first()[0] == 5
