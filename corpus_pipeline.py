@@ -6,18 +6,24 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from glyphgrove.llm import near_dedup
-from glyphgrove.llm.common import materialise
+from glyphgrove.llm import near_dedup, toxicity
+from glyphgrove.llm.common import materialise, read
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
+def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the toxicity model rejects go."""
+    return toxicity.drop_toxic(docs, toxicity.train(docs, read(spark, sf_dir, "labels")))
+
+
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates stays."""
     return near_dedup.deduplicate(docs, shingle=5, percent=80)
 
 
 STAGES: list[tuple[str, Stage]] = [
+    ("toxicity", toxic),
     ("near duplicates", near_duplicates),
 ]
 

@@ -23,6 +23,8 @@ _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _WHITE = np.zeros(256, dtype=bool)
 _WHITE[[9, 10, 11, 12, 13, 32]] = True
+_SIGNS = _WHITE.copy()
+_SIGNS[:128] = [not (chr(c).isalnum()) for c in range(128)]
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -62,28 +64,40 @@ def word_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
     A word is a run of characters other than space and \\t to \\r, with A-Z lower-cased.
     """
+    return _tokens(texts, _WHITE)[:2]
+
+
+def token_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The same for runs of letters, digits and characters beyond ASCII, so without punctuation.
+
+    Also gives each token's first byte within its text and its length in bytes.
+    """
+    return _tokens(texts, _SIGNS)
+
+
+def _tokens(texts: pa.Array, between: np.ndarray) -> tuple[np.ndarray, ...]:
+    nothing = np.zeros(0, np.uint64), np.zeros(len(texts), np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
     if isinstance(texts, pa.ChunkedArray):
         texts = texts.combine_chunks()
     wide = np.int64 if pa.types.is_large_string(texts.type) else np.int32
     _, places, data = texts.buffers()
     n = len(texts)
     if n == 0 or data is None:
-        return np.zeros(0, np.uint64), np.zeros(n, np.int64)
+        return nothing
     offsets = np.frombuffer(places, wide)[texts.offset : texts.offset + n + 1].astype(np.int64)
     raw = np.frombuffer(data, np.uint8)[offsets[0] : offsets[-1]]
     offsets = offsets - offsets[0]
     if len(raw) == 0:
-        return np.zeros(0, np.uint64), np.zeros(n, np.int64)
-    inside = ~_WHITE[raw]
+        return nothing
+    inside = ~between[raw]
     start = inside.copy()
     start[1:] &= ~inside[:-1]
     heads = offsets[:-1][offsets[1:] > offsets[:-1]]
     start[heads] = inside[heads]
     kept = np.flatnonzero(inside)
     first = np.flatnonzero(start[kept])
-    counts = np.zeros(n, np.int64)
     if len(first) == 0:
-        return np.zeros(0, np.uint64), counts
+        return nothing
     lengths = np.diff(np.append(first, len(kept)))
     at = np.arange(len(kept)) - np.repeat(first, lengths)
     longest = int(lengths.max())
@@ -91,7 +105,8 @@ def word_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     value = (_LOWER[raw[kept]].astype(np.uint64) + np.uint64(1)) * power[at]
     hashes = mix(np.add.reduceat(value, first) + lengths.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
     before = np.concatenate([[0], np.cumsum(start)])
-    return hashes, before[offsets[1:]] - before[offsets[:-1]]
+    counts = before[offsets[1:]] - before[offsets[:-1]]
+    return hashes, counts, kept[first] - np.repeat(offsets[:-1], counts), lengths
 
 
 def shingle_hashes(words: np.ndarray, counts: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -189,5 +204,5 @@ def schema_of(*columns: tuple[str, T.DataType]) -> T.StructType:
 
 __all__ = [
     "SLICE_BYTES", "binary_search", "distinct_sets", "materialise", "mix", "read", "running_position",
-    "schema_of", "shingle_hashes", "slices", "spread", "word_hashes",
+    "schema_of", "shingle_hashes", "slices", "spread", "token_hashes", "word_hashes",
 ]

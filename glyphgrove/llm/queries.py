@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from glyphgrove.llm import fingerprints, near_dedup
+from glyphgrove.llm import fingerprints, near_dedup, toxicity
 from glyphgrove.llm.common import read
 
 
@@ -14,12 +15,26 @@ def op1_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.edit_probe(read(spark, sf_dir, "documents"))
 
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    found = toxicity.score(docs, toxicity.train(docs, read(spark, sf_dir, "labels")))
+    return found.select(
+        "doc_id",
+        F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 4 == 2, F.lit(False)).alias("held_out"),
+        "score",
+        F.when(F.col("score") >= toxicity.REJECT, 1).otherwise(0).alias("predicted"),
+        "n_tokens",
+        "passages",
+    )
+
+
 def op7_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(read(spark, sf_dir, "documents"), shingle=2, percent=80)
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_fingerprints": op1_fingerprints,
+    "op2_toxicity": op2_toxicity,
     "op7_near_dedup": op7_near_dedup,
 }
 
