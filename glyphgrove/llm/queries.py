@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from glyphgrove.llm import fingerprints, near_dedup, toxicity
+from glyphgrove.llm import fingerprints, near_dedup, packing, toxicity
 from glyphgrove.llm.common import read
 
 
@@ -32,10 +32,15 @@ def op7_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(read(spark, sf_dir, "documents"), shingle=2, percent=80)
 
 
+def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(read(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_fingerprints": op1_fingerprints,
     "op2_toxicity": op2_toxicity,
     "op7_near_dedup": op7_near_dedup,
+    "op8_packing": op8_packing,
 }
 
 #: DuckDB SQL for the queries that SQL can express.
