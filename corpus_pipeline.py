@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from glyphgrove.llm import near_dedup, toxicity
+from glyphgrove.llm import mixing, near_dedup, packing, secret_scan, toxicity
 from glyphgrove.llm.common import materialise, read
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
@@ -22,9 +22,27 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     return near_dedup.deduplicate(docs, shingle=5, percent=80)
 
 
+def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Secrets are replaced in the text; every document stays."""
+    return secret_scan.redact(docs, secret_scan.train(docs))
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Stretches of documents, in number by the target weights of their sources."""
+    return mixing.mixture(docs)
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token pieces with the sequence they are packed into and their place in it."""
+    return packing.pack(docs, keep_ids=True)
+
+
 STAGES: list[tuple[str, Stage]] = [
     ("toxicity", toxic),
     ("near duplicates", near_duplicates),
+    ("secrets", secrets),
+    ("mixing", mix),
+    ("packing", pack),
 ]
 
 #: The stages train models and approximate nothing that SQL could restate.

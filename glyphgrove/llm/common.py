@@ -175,6 +175,14 @@ def running_position(
     )
 
 
+def free_name(df: DataFrame, base: str) -> str:
+    """A column name that ``df`` does not have."""
+    taken = {c.lower() for c in df.columns}
+    while base.lower() in taken:
+        base += "_"
+    return base
+
+
 def spread(spark: SparkSession, factor: int = 4) -> int:
     """Number of pieces a hot group is cut into: grows with the shuffle partitions of the session."""
     return factor * int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -203,6 +211,6 @@ def schema_of(*columns: tuple[str, T.DataType]) -> T.StructType:
 
 
 __all__ = [
-    "SLICE_BYTES", "binary_search", "distinct_sets", "materialise", "mix", "read", "running_position",
+    "SLICE_BYTES", "binary_search", "distinct_sets", "free_name", "materialise", "mix", "read", "running_position",
     "schema_of", "shingle_hashes", "slices", "spread", "token_hashes", "word_hashes",
 ]
