@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from glyphgrove.llm import fingerprints, mixing, near_dedup, packing, secret_scan, toxicity
+from glyphgrove.llm import (
+    fingerprints, license_scan, line_quality, mixing, near_dedup, packing, secret_scan, toxicity,
+)
 from glyphgrove.llm.common import read
 
 
@@ -28,6 +30,11 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    return license_scan.scan(docs, license_scan.build_index(docs))
+
+
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.amounts(read(spark, sf_dir, "documents"))
 
@@ -40,6 +47,10 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(read(spark, sf_dir, "documents"))
 
 
+def op9_line_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_quality.judge(read(spark, sf_dir, "documents"))
+
+
 def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
     return secret_scan.findings(docs, secret_scan.train(docs))
@@ -48,11 +59,15 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_fingerprints": op1_fingerprints,
     "op2_toxicity": op2_toxicity,
+    "op3_license_scan": op3_license_scan,
     "op5_mixing": op5_mixing,
     "op7_near_dedup": op7_near_dedup,
     "op8_packing": op8_packing,
+    "op9_line_quality": op9_line_quality,
     "op10_secret_scan": op10_secret_scan,
 }
 
 #: DuckDB SQL for the queries that SQL can express.
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op9_line_quality": line_quality.ORACLE,
+}
