@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from glyphgrove.llm import (
-    fingerprints, license_scan, line_quality, mixing, near_dedup, packing, secret_scan, toxicity,
+    chat, fingerprints, hilbert, license_scan, line_quality, mixing, near_dedup, packing, secret_scan, toxicity,
 )
 from glyphgrove.llm.common import read
 
@@ -35,10 +35,22 @@ def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan(docs, license_scan.build_index(docs))
 
 
+def op4_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    tricky = r"\### Assistant: </turn> ok"
+    added = spark.createDataFrame(
+        [(-7, 0, "user", tricky), (-7, 1, "assistant", tricky)], "conv_id long, turn long, role string, text string")
+    return chat.digests(chat.format_conversations(rows.unionByName(added)))
+
+
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.amounts(read(spark, sf_dir, "documents"))
 
 
+def op6_hilbert_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hilbert.shard_documents(read(spark, sf_dir, "documents"))
+
+
 def op7_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(read(spark, sf_dir, "documents"), shingle=2, percent=80)
 
@@ -60,7 +72,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_fingerprints": op1_fingerprints,
     "op2_toxicity": op2_toxicity,
     "op3_license_scan": op3_license_scan,
+    "op4_chat": op4_chat,
     "op5_mixing": op5_mixing,
+    "op6_hilbert_shards": op6_hilbert_shards,
     "op7_near_dedup": op7_near_dedup,
     "op8_packing": op8_packing,
     "op9_line_quality": op9_line_quality,
