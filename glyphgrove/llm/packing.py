@@ -205,24 +205,39 @@ def fillings(room: int, counts: np.ndarray, width: int = WIDTH) -> list[tuple[in
     return out
 
 
+def lower_bound(counts: np.ndarray, capacity: int) -> int:
+    """Sequences that any packing needs: for each limit, long pieces that exclude each other, and what the
+    middling ones need beyond the room these leave."""
+    length = np.arange(capacity + 1)
+    best = 0
+    for limit in range(capacity // 2 + 1):
+        long = length > capacity - limit
+        half = (length > capacity / 2) & ~long
+        rest = (length >= limit) & (length <= capacity / 2)
+        apart = int(counts[half].sum())
+        over = int((counts * length)[rest].sum()) - (apart * capacity - int((counts * length)[half].sum()))
+        best = max(best, int(counts[long].sum()) + apart + max(0, -(-over // capacity)))
+    return best
+
+
 def bin_completion(histogram: dict[int, int], capacity: int = CAPACITY, nodes: int = NODES) -> list[Pattern]:
     """Pack ``histogram`` (length: count) into as few sequences of ``capacity`` as the search finds.
 
     The longest length left opens a sequence, its undominated fillings are tried least waste first, and
     a filling is repeated for as many sequences as its lengths allow. A branch ends when its waste shows
     that it cannot beat the best solution so far, which starts as best-fit decreasing. The search ends
-    when the bound ceil(total / capacity) is met, or after ``nodes`` choices beyond a descent or two.
+    when ``lower_bound`` is met, or after ``nodes`` choices beyond a descent or two.
     """
     histogram = {int(k): int(v) for k, v in histogram.items() if v}
     if not histogram:
         return []
     total = sum(k * v for k, v in histogram.items())
-    bound = -(-total // capacity)
-    best = best_fit(histogram, capacity)
-    fewest = sum(p.times for p in best)
     counts = np.zeros(capacity + 1, np.int64)
     for length, n in histogram.items():
         counts[length] = n
+    bound = lower_bound(counts, capacity)
+    best = best_fit(histogram, capacity)
+    fewest = sum(p.times for p in best)
     stack, tried = [_State(counts)], 0
     while stack and fewest > bound and tried < nodes + 2 * capacity:
         state = stack.pop()
