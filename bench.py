@@ -12,6 +12,7 @@ import re
 import sys
 import time
 
+from glyphgrove.plans import inputs
 from glyphgrove.plans.queries import CATALOGUE
 from glyphgrove.runtime import session
 
@@ -38,6 +39,12 @@ def main() -> None:
     spark.sparkContext.setLogLevel("ERROR")
     spark.read.parquet(f"{sf_dir}/embeddings.parquet").count()
     times = {}
+    if names == HEADLINE:
+        # the vocabulary that many queries share is trained first and timed on its own
+        inputs.forget()
+        start = time.perf_counter()
+        inputs.bags(spark, sf_dir).count()
+        times["vocabulary_training"] = round(time.perf_counter() - start, 3)
     for name in names:
         start = time.perf_counter()
         CATALOGUE[name](spark, sf_dir).write.format("noop").mode("overwrite").save()

@@ -181,9 +181,38 @@ def assign_arrow(
     )
 
 
-def farthest_arrow(points: DataFrame, packs: DataFrame, metric: str | Metric) -> DataFrame:
+def _near(batch: pa.RecordBatch, rows: np.ndarray, part: np.ndarray, medoids: np.ndarray, since: int, kernel) -> np.ndarray:
+    """Distance of some rows of a batch to the nearest seed: the one kept so far, and the seeds from ``since``."""
+    known = np.asarray(batch.column("near"))[part] if "near" in batch.schema.names else None
+    if len(medoids) <= since:
+        return known
+    gaps = _distances(kernel, rows[part], medoids[since:]).min(axis=1)
+    return gaps if known is None else np.minimum(gaps, known)
+
+
+def near_arrow(points: DataFrame, packs: DataFrame, metric: str | Metric, since: int = 0) -> DataFrame:
+    """``points`` with ``near`` brought up to all seeds; only those from ``since`` on are measured."""
+    kernel = _kernel(metric)
+    shared = _ship(packs)
+    element = points.schema["vector"].dataType.elementType.simpleString()
+
+    def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = _vectors(batch.column("vector")) if batch.num_rows else None
+            near = np.zeros(batch.num_rows)
+            for node, part in _node_slices(batch.column("node_id")) if batch.num_rows else ():
+                if node in shared.value:
+                    near[part] = _near(batch, rows, part, shared.value[node][2], since, kernel)
+            held = [batch.column(c) for c in ("node_id", "id", "vector")]
+            yield pa.RecordBatch.from_arrays([*held, pa.array(near)], names=["node_id", "id", "vector", "near"])
+
+    return points.mapInArrow(measure, f"node_id string, id bigint, vector array<{element}>, near double")
+
+
+def farthest_arrow(points: DataFrame, packs: DataFrame, metric: str | Metric, since: int = 0) -> DataFrame:
     """One candidate ``(node_id, near, id, vector)`` per batch and node: its row farthest from the
-    node's seeds, lowest id on ties. The caller takes the maximum over batches.
+    node's seeds, lowest id on ties. The caller takes the maximum over batches. Where ``points`` keep
+    ``near``, only the seeds from ``since`` on are measured.
     """
     kernel = _kernel(metric)
     shared = _ship(packs)
@@ -198,7 +227,7 @@ def farthest_arrow(points: DataFrame, packs: DataFrame, metric: str | Metric) ->
             for node, part in _node_slices(batch.column("node_id")):
                 if node not in shared.value:
                     continue
-                gaps = _distances(kernel, rows[part], shared.value[node][2]).min(axis=1)
+                gaps = _near(batch, rows, part, shared.value[node][2], since, kernel)
                 far = np.flatnonzero(gaps == gaps.max())
                 picked.append(part[far[ids[part][far].argmin()]])
                 near.append(float(gaps.max()))
@@ -209,7 +238,7 @@ def farthest_arrow(points: DataFrame, packs: DataFrame, metric: str | Metric) ->
                 names=["node_id", "near", "id", "vector"],
             )
 
-    return points.select("node_id", "id", "vector").mapInArrow(
+    return points.mapInArrow(
         reduce, f"node_id string, near double, id bigint, vector array<{element}>"
     )
 

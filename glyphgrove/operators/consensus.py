@@ -1,23 +1,26 @@
 """Consensus filter of match pairs: keep the pairs that one planar model per group explains.
 
-Models are fitted to a bounded random sample of each group, so a group of any size costs one task
-the same; the inlier test then runs on every pair as a plain column expression.
+Each trial fits four pairs drawn from the whole group, and all pairs of the group vote on every model, in
+blocks; the inlier test of the best model then runs on every pair as a plain column expression.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from glyphgrove.runtime import lookup_join
+from glyphgrove.operators.ordered import number, order_rows
+from glyphgrove.runtime import lookup_join, materialise
 
 #: Largest distance, in pixels, between a mapped point and its partner.
 THRESHOLD = 5.0
-SAMPLE = 512
 TRIALS = 200
+#: Pairs that one task tries the models on at once.
+BLOCK = 4096
 MODEL = [f"h{i}" for i in range(9)]
 
 
@@ -48,20 +51,10 @@ def _error(x: Column, y: Column, u: Column, v: Column) -> Column:
     return F.when(w != 0, gap_x * gap_x + gap_y * gap_y)
 
 
-def sample_group(
-    pairs: DataFrame, key: str, identity: list[str], size: int, random_state: int
-) -> DataFrame:
-    """At most ``size`` repeatable random rows per key.
-
-    A first cut by hash keeps about 4 * ``size`` rows of a large group, so the ranking window
-    that makes the size exact is small too.
-    """
-    draw = F.pmod(F.xxhash64(*identity, F.lit(random_state)), F.lit(1 << 40))
-    sizes = pairs.groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
-    drawn = lookup_join(pairs, sizes, [key], hot=True).withColumn("_draw", draw)
-    near = drawn.filter(F.col("_draw") * F.col("_n").cast("double") <= float(4 * size << 40))
-    rank = F.row_number().over(W.partitionBy(key).orderBy("_draw", *identity))
-    return near.withColumn("_r", rank).filter(F.col("_r") <= size).drop("_r", "_n", "_draw")
+def _draws(n: int, trials: int, random_state: int) -> np.ndarray:
+    """Four different row numbers below ``n`` for each trial, the same for the same arguments."""
+    rng = np.random.default_rng([random_state, n])
+    return np.stack([rng.choice(n, 4, replace=False) for _ in range(trials)])
 
 
 def consensus_models(
@@ -70,38 +63,61 @@ def consensus_models(
     identity: list[str],
     threshold: float = THRESHOLD,
     trials: int = TRIALS,
-    sample: int = SAMPLE,
     random_state: int = 0,
 ) -> DataFrame:
-    """``(key, h0..h8)``: per group the model with most inliers in the sample.
+    """``(key, h0..h8)``: per group the model with most inliers among all its pairs.
 
-    ``pairs`` carry ``src_x, src_y, dst_x, dst_y``. Groups of fewer than four pairs have no model.
+    ``pairs`` carry ``src_x, src_y, dst_x, dst_y``. Groups of fewer than four pairs have no model. Every
+    trial fits four pairs drawn from the whole group, and every model is tried on every pair: the group
+    is cut into blocks of ``BLOCK`` pairs whose counts are added up, so no task holds more than one block.
     """
-
-    def fit(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(identity)
-        src = rows[["src_x", "src_y"]].to_numpy(float)
-        dst = rows[["dst_x", "dst_y"]].to_numpy(float)
-        rng = np.random.default_rng(random_state)
-        best, most = None, -1
-        for _ in range(trials if len(rows) >= 4 else 0):
-            pick = rng.choice(len(rows), 4, replace=False)
-            model = _solve(src[pick], dst[pick])
-            if model is None:
-                continue
-            inliers = int((_errors(model, src, dst) < threshold**2).sum())
-            if inliers > most:
-                best, most = model, inliers
-        if best is None:
-            return pd.DataFrame(columns=[key, *MODEL])
-        return pd.DataFrame([[rows[key].iloc[0], *best.ravel()]], columns=[key, *MODEL])
-
     kind = pairs.schema[key].dataType.simpleString()
-    slim = pairs.select(key, *identity, "src_x", "src_y", "dst_x", "dst_y")
-    schema = f"{key} {kind}, " + ", ".join(f"{c} double" for c in MODEL)
-    return sample_group(slim, key, identity, sample, random_state).groupBy(key).applyInPandas(
-        fit, schema
-    )
+    slim = pairs.select(key, *identity, "src_x", "src_y", "dst_x", "dst_y").filter(F.col(key).isNotNull())
+    rows = number(order_rows(slim, [key], identity), "_i").rows.withColumn("_i", F.col("_i") - 1)
+    rows = materialise(rows.select(key, "_i", "src_x", "src_y", "dst_x", "dst_y"), "pairs")
+    sizes = rows.groupBy(key).agg(F.count(F.lit(1)).alias("_n")).filter("_n >= 4")
+
+    def draw(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            for name, n in zip(frame[key], frame["_n"], strict=True):
+                picks = _draws(int(n), trials, random_state)
+                yield pd.DataFrame({
+                    key: name, "_trial": np.repeat(np.arange(trials), 4), "_i": picks.ravel()})
+
+    drawn = sizes.mapInPandas(draw, f"{key} {kind}, _trial int, _i bigint").join(rows, [key, "_i"])
+    four = drawn.groupBy(key, "_trial").agg(
+        F.sort_array(F.collect_list(F.struct("_i", "src_x", "src_y", "dst_x", "dst_y"))).alias("_four"))
+
+    def fit(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            out = []
+            for name, trial, four_ in zip(frame[key], frame["_trial"], frame["_four"], strict=True):
+                points = np.array([[p[c] for c in ("src_x", "src_y", "dst_x", "dst_y")] for p in four_], float)
+                model = _solve(points[:, :2], points[:, 2:])
+                if model is not None:
+                    out.append([name, trial, *model.ravel()])
+            yield pd.DataFrame(out, columns=[key, "_trial", *MODEL])
+
+    columns = ", ".join(f"{c} double" for c in MODEL)
+    models = materialise(four.mapInPandas(fit, f"{key} {kind}, _trial int, {columns}"), "models")
+    blocks = sizes.select(key, F.explode(F.expr(f"sequence(0L, (_n - 1) div {BLOCK})")).alias("_block"))
+    tried = models.join(blocks, key)
+    placed = rows.withColumn("_block", F.expr(f"_i div {BLOCK}"))
+
+    def tally(part: pd.DataFrame, own: pd.DataFrame) -> pd.DataFrame:
+        if part.empty or own.empty:
+            return pd.DataFrame(columns=[key, "_trial", "_inliers"])
+        src, dst = part[["src_x", "src_y"]].to_numpy(float), part[["dst_x", "dst_y"]].to_numpy(float)
+        counts = [
+            int((_errors(m.reshape(3, 3), src, dst) < threshold**2).sum()) for m in own[MODEL].to_numpy(float)]
+        return pd.DataFrame({key: own[key], "_trial": own["_trial"], "_inliers": counts})
+
+    counted = placed.groupBy(key, "_block").cogroup(tried.groupBy(key, "_block")).applyInPandas(
+        tally, f"{key} {kind}, _trial int, _inliers bigint")
+    best = counted.groupBy(key, "_trial").agg(F.sum("_inliers").alias("_inliers")).groupBy(key).agg(
+        F.max(F.struct("_inliers", (-F.col("_trial")).alias("_neg"))).alias("_b"))
+    best = best.select(key, (-F.col("_b._neg")).alias("_trial"))
+    return models.join(best, [key, "_trial"]).drop("_trial")
 
 
 def consensus_filter(

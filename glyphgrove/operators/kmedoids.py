@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
+from itertools import count
 
 from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
@@ -15,7 +16,9 @@ from pyspark.sql import functions as F
 
 from glyphgrove.functions.metrics import Metric, resolve
 from glyphgrove.functions.paths import ROOT
-from glyphgrove.operators.assignment import assign, assign_arrow, farthest_arrow, fits_arrow
+from glyphgrove.operators.assignment import (
+    assign, assign_arrow, farthest_arrow, fits_arrow, near_arrow,
+)
 from glyphgrove.operators.dense_update import dense_update, fits_dense
 from glyphgrove.operators.medoid_cost import Shape, best_candidates, measure
 from glyphgrove.runtime import lookup_join, materialise, pin, vector_bytes
@@ -86,7 +89,9 @@ def farthest_first(
     arrow = fits_arrow(metric, nodes * row_bytes, k * shape.dimension)
     for pos in range(1, k):
         if arrow:
-            far = _per_node(farthest_arrow(rows, packs, metric), nodes, farthest)
+            if pos - done >= REFRESH:
+                rows, done = materialise(near_arrow(rows, packs, metric, done), "near"), pos
+            far = _per_node(farthest_arrow(rows, packs, metric, done), nodes, farthest)
             packs = pin(
                 packs.join(far, "node_id").select("node_id", grown.alias("medoids")),
                 nodes, row_bytes, "seeds",
@@ -120,8 +125,9 @@ def explicit_seeds(points: DataFrame, ids: Sequence[int]) -> DataFrame:
 
 def random_seeds(points: DataFrame, k: int, random_state: int = 0) -> DataFrame:
     """k rows of the root drawn without replacement, repeatable for one ``random_state``."""
+    draw = F.md5(F.concat_ws(":", F.col("id").cast("string"), F.lit(str(random_state))))
     drawn = (
-        points.select("id", F.xxhash64("id", F.lit(random_state)).alias("draw"))
+        points.select("id", draw.alias("draw"))
         .orderBy("draw", "id")
         .limit(k)
         .collect()
@@ -141,6 +147,8 @@ class Clustering:
     shape: Shape
     #: Total cost of the partition seen by each iteration (nodes still running only).
     costs: list[float] = field(default_factory=list)
+    #: False if a caller's ``max_iter`` ended the iteration.
+    converged: bool = True
 
     def medoids(self) -> DataFrame:
         """``(node_id, pos, id, vector)``."""
@@ -266,7 +274,7 @@ def fit_nodes(
     k: int,
     nodes: int,
     shape: Shape,
-    max_iter: int = 50,
+    max_iter: int | None = None,
     candidates: str = "members",
     cost: str = "all_pairs",
     return_policy: str = "reference",
@@ -275,7 +283,8 @@ def fit_nodes(
 
     The cost of an iteration is that of the partition it starts from. With
     ``return_policy="reference"`` a node ends with the partition whose cost failed to drop, with
-    ``"best"`` with the one before it.
+    ``"best"`` with the one before it. Costs fall until they stop, so the loop ends by itself; a
+    caller's ``max_iter`` ends it earlier and leaves ``converged`` false if a node was still moving.
     """
     if return_policy not in ("reference", "best"):
         raise ValueError(f"unknown return_policy {return_policy!r}")
@@ -289,7 +298,7 @@ def fit_nodes(
     finished: DataFrame | None = None
     costs: list[float] = []
     active = nodes
-    for _ in range(max_iter):
+    for _ in count() if max_iter is None else range(max_iter):
         running = state.select("node_id", F.col("current").alias("medoids"))
         live = points if active == nodes else lookup_join(
             points, state.select("node_id"), ["node_id"], "left_semi", table_bytes=active * 64,
@@ -323,7 +332,7 @@ def fit_nodes(
         rest = state.select("node_id", F.col("current").alias("medoids"))
         result = rest if result is None else result.unionByName(rest)
     packs = pin(result, nodes, row_bytes, "clustering")
-    return Clustering(points, packs, metric, k, nodes, shape, costs)
+    return Clustering(points, packs, metric, k, nodes, shape, costs, converged=not active)
 
 
 def fit(

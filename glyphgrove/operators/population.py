@@ -15,7 +15,7 @@ def distinct_vectors(df: DataFrame) -> DataFrame:
 
 def sample_rows(df: DataFrame, n: int, random_state: int = 0) -> DataFrame:
     """n rows without replacement, the same ones for the same ``random_state``."""
-    draw = F.xxhash64("id", F.lit(random_state))
+    draw = F.md5(F.concat_ws(":", F.col("id").cast("string"), F.lit(str(random_state))))
     return df.withColumn("_draw", draw).orderBy("_draw", "id").limit(n).drop("_draw")
 
 

@@ -41,6 +41,20 @@ def score_pairs(pairs: DataFrame, queries: DataFrame, database: DataFrame) -> Da
     return met.groupBy("query_id", "frame_id").agg(F.sum(shared).alias("score"))
 
 
+#: Thresholds are grouped into powers of two, down to this one; smaller ones share the last band.
+BANDS = 30
+
+
+def _band(threshold: Column) -> Column:
+    """Band b holds the thresholds above 2^-(b + 1), the last band also all smaller ones."""
+    return F.when(threshold <= 2.0 ** -BANDS, BANDS).otherwise(
+        F.greatest(F.lit(0), F.least(F.lit(BANDS), F.floor(-F.log2(threshold))))).cast("int")
+
+
+def _floor(band: int) -> float:
+    return 0.0 if band >= BANDS else 2.0 ** -(band + 1)
+
+
 def _openers(bags: DataFrame, frequency: DataFrame, bar: Column) -> DataFrame:
     """Words of each frame that can be the rarest shared word of a match above ``bar``."""
     known = lookup_join(bags, frequency, ["word_index"], hot=True)
@@ -73,25 +87,38 @@ def candidates(
     frequency = frequency.join(asked, "word_index")
     if isinstance(thresholds, DataFrame):
         queries = lookup_join(queries, thresholds, ["frame_id"])
-        query_bar = F.col("threshold")
-        frame_bar = thresholds.agg(F.min("threshold")).scalar()
+        query_bar, query_band = F.col("threshold"), _band(F.col("threshold"))
+        # at most BANDS + 1 numbers
+        bands = sorted(r[0] for r in thresholds.select(_band(F.col("threshold"))).distinct().collect())
+        bars = {b: _floor(b) for b in bands}
     else:
-        query_bar = frame_bar = F.lit(float(thresholds))
+        query_bar, query_band, bars = F.lit(float(thresholds)), F.lit(0), {0: float(thresholds)}
+    if not bars:
+        return queries.select(F.col("frame_id").alias("query_id"), "frame_id").limit(0)
     left = _openers(queries, frequency, query_bar).select(
         F.col("frame_id").alias("query_id"),
         "word_index",
         F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"),
         F.pmod(F.xxhash64("frame_id"), F.col("query_parts")).cast("int").alias("query_part"),
+        query_band.alias("band"),
         *[F.col(c).alias(f"query_{c}") for c in carry],
     )
-    right = _openers(database, frequency, frame_bar).select(
+    # a word of the database takes part in the bands whose least threshold it can reach, so that a query
+    # with a low threshold does not open the frequent words of all frames to every other query
+    reached = F.filter(F.array(*[
+        F.when(F.col("_rest") > bar - SLACK, F.lit(band)) for band, bar in bars.items()
+    ]), lambda b: b.isNotNull())
+    right = _openers(database, frequency, F.lit(min(bars.values()))).withColumn(
+        "band", F.explode(reached)
+    ).select(
         "frame_id",
         "word_index",
+        "band",
         F.pmod(F.xxhash64("frame_id"), F.col("parts")).cast("int").alias("part"),
         F.explode(F.sequence(F.lit(0), F.col("query_parts") - 1)).alias("query_part"),
         *carry,
     )
-    met = left.join(right, ["word_index", "part", "query_part"])
+    met = left.join(right, ["word_index", "band", "part", "query_part"])
     if admissible is not None:
         met = met.filter(admissible)
     return met.select("query_id", "frame_id").distinct()

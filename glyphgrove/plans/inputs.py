@@ -10,19 +10,16 @@ from glyphgrove.operators.bow import bag_of_words, present, word_weights
 from glyphgrove.operators.frames import with_counter, with_previous
 from glyphgrove.operators.kmedoids import as_node, farthest_first
 from glyphgrove.operators.medoid_cost import Shape, measure
-from glyphgrove.operators.tree import (
-    Tree, build_tree, flat_tree, level_vectors, quantise, words,
-)
-from glyphgrove.runtime import materialise, pin, vector_bytes
+from glyphgrove.operators.population import distinct_vectors
+from glyphgrove.operators.tree import Tree, build_tree, level_vectors, quantise, words
+from glyphgrove.runtime import materialise, vector_bytes
 
 #: Features per frame: frame number = vec_id div FRAME.
 FRAME = 10
 
-#: Flat vocabulary and tree used by the catalogue.
+#: Clusters of the k-medoids queries, and children per node of the vocabulary tree.
 K = 8
 TREE_K = 8
-TREE_DEPTH = 2
-TREE_ITER = 1
 
 #: Key-frame rule for frames of FRAME features.
 GAP = 1
@@ -97,11 +94,12 @@ def seeded(spark: SparkSession, sf_dir: str, convert=bits, metric="hamming", k:
     return points, farthest_first(points, k, metric, shape=shape), shape
 
 
-def _table_bytes(k: int, shape: Shape) -> int:
-    return 4 * k * vector_bytes(shape.dimension)
+_trained: dict[tuple, object] = {}
 
 
-_trained: dict[tuple, object] = {}
+def forget() -> None:
+    """Drop all training results, so that the next query trains again."""
+    _trained.clear()
 
 
 def _once(spark: SparkSession, sf_dir: str, label: str, build):
@@ -112,25 +110,11 @@ def _once(spark: SparkSession, sf_dir: str, label: str, build):
     return _trained[key]
 
 
-def flat_vocabulary(spark: SparkSession, sf_dir: str) -> tuple[Tree, DataFrame]:
-    """One-level tree of K farthest-first medoids and its words."""
-
-    def build():
-        _, seeds, shape = seeded(spark, sf_dir)
-        tree = flat_tree(seeds.select("node_id", F.inline("medoids")), K)
-        tree.shape = shape
-        return tree, pin(words(tree), K, 128, "words")
-
-    return _once(spark, sf_dir, "flat", build)
-
-
 def tree_vocabulary(spark: SparkSession, sf_dir: str) -> tuple[Tree, DataFrame]:
-    """Tree of TREE_DEPTH levels with TREE_K children and its words."""
+    """Tree over the distinct descriptors, grown until no cluster has more than TREE_K members; its words."""
 
     def build():
-        tree = build_tree(
-            bits(spark, sf_dir), TREE_K, max_depth=TREE_DEPTH, max_iter=TREE_ITER
-        )
+        tree = build_tree(distinct_vectors(bits(spark, sf_dir)), TREE_K)
         return tree, materialise(words(tree), "words")
 
     return _once(spark, sf_dir, "tree", build)
@@ -138,31 +122,29 @@ def tree_vocabulary(spark: SparkSession, sf_dir: str) -> tuple[Tree, DataFrame]:
 
 def words_of_features(spark: SparkSession, sf_dir: str, tree: Tree) -> DataFrame:
     """``(frame_id, pos, x, y, word_id)``."""
-    nodes = sum(tree.k**d for d in range(tree.depth + 1))
+    levels = level_vectors(tree)
     rows = quantise(
-        present(features(spark, sf_dir)), level_vectors(tree), tree.depth,
-        table_bytes=nodes * _table_bytes(tree.k, tree.shape),
+        present(features(spark, sf_dir)), levels, tree.depth,
+        table_bytes=4 * levels.count() * vector_bytes(tree.shape.dimension),
     )
     return rows.drop("vector")
 
 
-def flat_words(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return words_of_features(spark, sf_dir, flat_vocabulary(spark, sf_dir)[0])
+def tree_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of all features, written once: bags, weights and matches read them several times."""
 
+    def build():
+        return materialise(words_of_features(spark, sf_dir, tree_vocabulary(spark, sf_dir)[0]), "quantised")
 
-def tree_words(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return words_of_features(spark, sf_dir, tree_vocabulary(spark, sf_dir)[0])
+    return _once(spark, sf_dir, "quantised", build)
 
 
-def bags(spark: SparkSession, sf_dir: str, flat: bool = True) -> DataFrame:
+def bags(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``(frame_id, word_index, weight)``, written once per session."""
 
     def build():
-        tree, vocabulary = (flat_vocabulary if flat else tree_vocabulary)(spark, sf_dir)
-        quantised = words_of_features(spark, sf_dir, tree)
-        bow = bag_of_words(quantised, vocabulary, word_weights(quantised))
-        return materialise(bow, "bow")
-
-    return _once(spark, sf_dir, f"bags-{flat}", build)
-
+        _, vocabulary = tree_vocabulary(spark, sf_dir)
+        quantised = tree_words(spark, sf_dir)
+        return materialise(bag_of_words(quantised, vocabulary, word_weights(quantised)), "bow")
 
+    return _once(spark, sf_dir, "bags", build)

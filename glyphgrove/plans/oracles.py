@@ -102,51 +102,93 @@ def assigned(value: str = BITS, metric: str = HAMMING) -> list[str]:
     return [*seeded(value, metric), assignment("pts", "med", "asg")]
 
 
-def fitted(point: str, cost: str, value: str) -> list[str]:
-    """Two iterations; the second counts only if the cost dropped."""
-    parts = [elements(value), distances(point), distances(cost, "cm"), POINTS, *seeds("pts", K, "")]
-    parts += [
-        assignment("pts", "med", "asg0"), costs("asg0", "c0", "cm"), updated("med", "c0", "med1"),
-        assignment("pts", "med1", "asg1"), costs("asg1", "c1", "cm"), updated("med1", "c1", "med2"),
-        cte("better", "SELECT (SELECT sum(cost) FROM c1) < (SELECT sum(cost) FROM c0) AS yes"),
-        cte("fin", "SELECT * FROM med2 WHERE (SELECT yes FROM better) UNION ALL "
-                   "SELECT * FROM med1 WHERE NOT (SELECT yes FROM better)"),
-    ]
+#: Iterations and tree levels the statements are unrolled to; more than the test data need.
+ROUNDS = 8
+LEVELS = 5
+
+
+def converged(points: str, medoids: str, prefix: str, dm: str = "dm", cost: str = "dm", best: bool = False) -> list[str]:
+    """``{prefix}m(node_id, pos, id)``: each node iterated until its cost first fails to drop.
+
+    The node ends with the medoids of that partition, with ``best`` with those of the one before.
+    """
+    parts, now = [], medoids
+    for i in range(ROUNDS):
+        p = f"{prefix}r{i}_"
+        total = (
+            f"SELECT n.node_id, coalesce(sum(c.cost), 0) AS total FROM (SELECT DISTINCT node_id FROM {now}) n "
+            f"LEFT JOIN {p}c c USING (node_id) GROUP BY 1"
+        )
+        parts += [
+            assignment(points, now, f"{p}asg", dm), costs(f"{p}asg", f"{p}c", cost), cte(f"{p}t", total),
+            updated(now, f"{p}c", f"{prefix}r{i + 1}_med"),
+        ]
+        if i == 0:
+            parts.append(cte(f"{prefix}r0_med", f"SELECT * FROM {medoids}"))
+        now = f"{prefix}r{i + 1}_med"
+    stops = " UNION ALL ".join(
+        f"SELECT b.node_id, {i} AS i FROM {prefix}r{i}_t b JOIN {prefix}r{i - 1}_t a USING (node_id) WHERE b.total >= a.total"
+        for i in range(1, ROUNDS)
+    )
+    parts.append(cte(f"{prefix}stop", f"SELECT node_id, min(i) AS i FROM ({stops}) GROUP BY 1"))
+    back = 1 if best else 0
+    parts.append(cte(f"{prefix}m", " UNION ALL ".join(
+        f"SELECT m.node_id, m.pos, m.id FROM {prefix}r{i - back}_med m JOIN {prefix}stop s ON s.node_id = m.node_id "
+        f"AND s.i = {i}" for i in range(1, ROUNDS)
+    )))
     return parts
 
 
+def fitted(point: str, cost: str, value: str, best: bool = False, opening: list[str] | None = None) -> list[str]:
+    """``fin``: K medoids fitted until the cost stops dropping."""
+    return [
+        elements(value), distances(point), distances(cost, "cm"), POINTS, *(opening or seeds("pts", K, "")),
+        *converged("pts", "med", "f_", "dm", "cm", best), cte("fin", "SELECT * FROM f_m"),
+    ]
+
+
+RANDOM = [cte(
+    "med",
+    f"SELECT '{ROOT}' AS node_id, row_number() OVER (ORDER BY md5(vec_id || ':11'), vec_id) - 1 AS pos, vec_id AS id "
+    f"FROM embeddings ORDER BY md5(vec_id || ':11'), vec_id LIMIT {K}",
+)]
+
+#: The distinct descriptors, each under its lowest id.
+DISTINCT_POINTS = cte(
+    "pts",
+    f"SELECT '{ROOT}' AS node_id, min(id) AS id FROM (SELECT id, string_agg(CAST(x AS VARCHAR), '' ORDER BY j) AS v "
+    "FROM el GROUP BY id) GROUP BY v",
+)
+
+
 def tree() -> list[str]:
-    """Two levels of TREE_K children with one update each: nodes, members, words."""
+    """The tree with TREE_K children per node, split while a cluster has more members: nodes, members, words."""
     k = TREE_K
-    parts = [elements(BITS), distances(HAMMING), POINTS]
-    for level, points in ((1, "pts"), (2, "pts2")):
-        p = f"l{level}_"
+    parts = [elements(BITS), distances(HAMMING), DISTINCT_POINTS]
+    child = f"CASE WHEN node_id = '{ROOT}' THEN CAST(pos AS VARCHAR) ELSE node_id || '-' || pos END"
+    for level in range(1, LEVELS + 1):
+        points, p = ("pts" if level == 1 else f"pts{level}"), f"l{level}_"
         parts += [
-            *seeds(points, k, p), assignment(points, f"{p}med", f"{p}asg0"),
-            costs(f"{p}asg0", f"{p}c"), updated(f"{p}med", f"{p}c", f"{p}m"),
-            assignment(points, f"{p}m", f"{p}asg"),
+            *seeds(points, k, p), *converged(points, f"{p}med", p), assignment(points, f"{p}m", f"{p}asg"),
+            cte(f"{p}placed", f"SELECT {child} AS node_id, id FROM {p}asg"),
+            cte(
+                f"{p}nodes",
+                f"SELECT m.node_id, m.parent_id, m.pos, {level} AS depth, m.id, coalesce(s.size, 0) AS size, CASE WHEN "
+                f"coalesce(s.size, 0) <= {k} THEN 1 ELSE 0 END AS is_leaf FROM (SELECT {child} AS node_id, node_id AS "
+                f"parent_id, pos, id FROM {p}m) m LEFT JOIN (SELECT node_id, count(*) AS size FROM {p}placed GROUP BY "
+                "1) s USING (node_id)",
+            ),
+            cte(
+                f"pts{level + 1}",
+                f"SELECT p.node_id, p.id FROM {p}placed p JOIN {p}nodes n USING (node_id) WHERE n.is_leaf = 0",
+            ),
         ]
-        child = f"CASE WHEN node_id = '{ROOT}' THEN CAST(pos AS VARCHAR) ELSE node_id || '-' || pos END"
-        parts.append(cte(f"{p}placed", f"SELECT {child} AS node_id, id FROM {p}asg"))
-        leaf = f"coalesce(s.size, 0) <= {k}" if level == 1 else "true"
-        parts.append(cte(
-            f"{p}nodes",
-            f"SELECT m.node_id, m.parent_id, m.pos, {level} AS depth, m.id, coalesce(s.size, 0) AS "
-            f"size, CASE WHEN {leaf} THEN 1 ELSE 0 END AS is_leaf FROM (SELECT {child} AS node_id, "
-            f"node_id AS parent_id, pos, id FROM {p}m) m LEFT JOIN (SELECT node_id, count(*) AS size "
-            f"FROM {p}placed GROUP BY 1) s USING (node_id)",
-        ))
-        if level == 1:
-            parts.append(cte(
-                "pts2",
-                "SELECT p.node_id, p.id FROM l1_placed p JOIN l1_nodes n USING (node_id) WHERE n.is_leaf = 0",
-            ))
+    every = lambda name: " UNION ALL ".join(f"SELECT * FROM l{i}_{name}" for i in range(1, LEVELS + 1))
     parts += [
-        cte("nodes", "SELECT * FROM l1_nodes UNION ALL SELECT * FROM l2_nodes"),
+        cte("nodes", every("nodes")),
         cte("members",
-            "SELECT p.node_id, row_number() OVER (PARTITION BY p.node_id ORDER BY p.id) - 1 AS pos, "
-            "p.id FROM (SELECT * FROM l1_placed UNION ALL SELECT * FROM l2_placed) p JOIN nodes n "
-            f"ON n.node_id = p.node_id WHERE n.is_leaf = 1 AND n.size <= {k}"),
+            "SELECT p.node_id, row_number() OVER (PARTITION BY p.node_id ORDER BY p.id) - 1 AS pos, p.id FROM ("
+            f"{every('placed')}) p JOIN nodes n ON n.node_id = p.node_id WHERE n.is_leaf = 1"),
         cte("lists",
             "SELECT node_id || '-' || pos AS word_id, node_id AS leaf_id FROM members UNION ALL "
             "SELECT node_id, node_id FROM nodes WHERE is_leaf = 1 AND node_id NOT IN "
@@ -165,7 +207,7 @@ def tree_quantised() -> list[str]:
     """``q(frame_id, pos, id, word_id)`` by descent through ``levels``."""
     parts = tree()
     parts.append(cte("w0", f"SELECT vec_id AS id, '{ROOT}' AS word_id FROM embeddings"))
-    for i in range(3):
+    for i in range(LEVELS + 1):
         parts.append(cte(
             f"w{i + 1}",
             f"SELECT w.id, CASE WHEN b.pos IS NULL THEN w.word_id WHEN w.word_id = '{ROOT}' THEN "
@@ -175,25 +217,11 @@ def tree_quantised() -> list[str]:
             "ON d.a = w.id AND d.b = l.id) WHERE rn = 1) b USING (id)",
         ))
     parts.append(cte(
-        "q", f"SELECT id // {FRAME} AS frame_id, CAST(id % {FRAME} AS INTEGER) AS pos, id, word_id FROM w3"
+        "q", f"SELECT id // {FRAME} AS frame_id, CAST(id % {FRAME} AS INTEGER) AS pos, id, word_id FROM w{LEVELS + 1}"
     ))
     return parts
 
 
-def flat_quantised() -> list[str]:
-    """``q`` and ``words`` of the flat vocabulary."""
-    return [
-        *seeded(),
-        cte("words", "SELECT CAST(pos AS VARCHAR) AS word_id, CAST(pos AS VARCHAR) AS leaf_id, pos AS "
-                     "word_index FROM med"),
-        cte("q",
-            f"SELECT id // {FRAME} AS frame_id, CAST(id % {FRAME} AS INTEGER) AS pos, id, word_id FROM "
-            "(SELECT p.id, CAST(m.pos AS VARCHAR) AS word_id, row_number() OVER (PARTITION BY p.id "
-            "ORDER BY d.d, m.pos) AS rn FROM pts p JOIN med m USING (node_id) JOIN dm d ON d.a = p.id "
-            "AND d.b = m.id) WHERE rn = 1"),
-    ]
-
-
 BAG = [
     cte("wts", "SELECT word_id, count(*) / CAST((SELECT count(*) FROM q) AS DOUBLE) AS weight FROM q GROUP BY 1"),
     cte("raw", "SELECT q.frame_id, w.word_index, sum(t.weight) AS raw FROM q JOIN words w USING (word_id) "
@@ -318,11 +346,11 @@ MATCHES = select(
     f"p ON p.frame_id = f.prev_frame_id WHERE {below('p.word_id', ancestor('q.word_id'))}",
 )
 
-BAGS_FLAT = [*flat_quantised(), *BAG]
+BAGS = [*tree_quantised(), *BAG]
 
 RETRIEVE = select(
     [
-        *BAGS_FLAT, FRAMES, SIMILARITY,
+        *BAGS, FRAMES, SIMILARITY,
         cte("ranked",
             "SELECT a.frame_id, b.seq AS best_seq, s.score, row_number() OVER (PARTITION BY a.frame_id "
             "ORDER BY round(s.score, 12) DESC, b.seq) AS rn FROM fr a JOIN fr b ON b.seq <= a.seq - "
@@ -426,7 +454,12 @@ def oracles() -> dict[str, str]:
             "CAST(sum(cost) AS DOUBLE) AS all_pairs, count(*) AS members FROM (SELECT *, row_number() OVER "
             "(PARTITION BY pos ORDER BY cost, id) AS rn FROM cc) GROUP BY pos",
         ),
-        "kmedoids_fit": select(fit_bits, "SELECT pos, id FROM fin"),
+        "kmedoids_fit": select(fit_bits, "SELECT pos, id, 1 AS converged FROM fin"),
+        "kmedoids_fit_best": select(fitted(HAMMING, HAMMING, BITS, best=True), "SELECT pos, id FROM fin"),
+        "kmedoids_fit_random": select(
+            fitted(HAMMING, HAMMING, BITS, opening=RANDOM), "SELECT pos, id FROM fin"
+        ),
+        "sample_rows": "SELECT vec_id AS id FROM embeddings ORDER BY md5(vec_id || ':7'), vec_id LIMIT 50",
         "kmedoids_fit_euclidean": select(
             [*fitted(L2SQ, L1, BYTES), assignment("pts", "fin", "asg")],
             "SELECT f.pos, f.id, count(a.id) AS members FROM fin f LEFT JOIN asg a USING (pos) GROUP BY 1, 2",
@@ -448,24 +481,24 @@ def oracles() -> dict[str, str]:
             "SELECT a.word_id, b.word_id AS neighbour_id FROM words a JOIN words b ON "
             + below("b.word_id", ancestor("a.word_id")),
         ),
-        "word_weights": select(BAGS_FLAT, "SELECT word_id, round(weight, 6) AS weight FROM wts"),
+        "word_weights": select(BAGS, "SELECT word_id, round(weight, 6) AS weight FROM wts"),
         "word_onehot": select(
-            BAGS_FLAT,
+            BAGS,
             "SELECT q.frame_id, q.pos, w.word_index, 1 AS nonzero, round(t.weight, 6) AS weight FROM q JOIN "
             "words w USING (word_id) JOIN wts t USING (word_id)",
         ),
         "bow_frames": select(
-            BAGS_FLAT,
+            BAGS,
             "SELECT frame_id, word_index, round(weight, 6) AS weight, count(*) OVER (PARTITION BY frame_id) "
             "AS nonzero FROM bow",
         ),
         "bow_similarity": select(
-            [*BAGS_FLAT, FRAMES, SIMILARITY],
+            [*BAGS, FRAMES, SIMILARITY],
             f"SELECT qf AS query_id, f AS frame_id, round(score, 6) AS score FROM sim WHERE f < qf AND "
-            f"score > {MIN_SCORE}",
+            f"round(score, 9) > {MIN_SCORE}",
         ),
         "inverted_index": select(
-            BAGS_FLAT,
+            BAGS,
             "SELECT word_index, frame_id // 4096 AS block, string_agg(CAST(frame_id AS VARCHAR), ',' ORDER "
             "BY frame_id) AS frame_ids, round(sum(weight), 6) AS total FROM bow GROUP BY 1, 2",
         ),

@@ -25,10 +25,10 @@ from glyphgrove.streaming import frames as stream_frames
 Query = Callable[[SparkSession, str], DataFrame]
 CATALOGUE: dict[str, Query] = {}
 
-#: Frames left out of retrieval, island time, and the score bar of the similarity report.
+#: Frames left out of retrieval, island time, and the score that reported pairs exceed.
 EXCLUDE_RECENT = 5
 POOL = 5_000_000
-MIN_SCORE = 0.3
+MIN_SCORE = 0.0
 
 
 def query(function: Query) -> Query:
@@ -223,13 +223,25 @@ def kmedoids_update(spark, sf_dir):
 
 @query
 def kmedoids_fit(spark, sf_dir):
-    fitted = kmedoids.fit(inputs.bits(spark, sf_dir), K, "hamming", max_iter=2)
+    fitted = kmedoids.fit(inputs.bits(spark, sf_dir), K, "hamming")
+    return fitted.medoids().select("pos", "id", F.lit(int(fitted.converged)).alias("converged"))
+
+
+@query
+def kmedoids_fit_best(spark, sf_dir):
+    fitted = kmedoids.fit(inputs.bits(spark, sf_dir), K, "hamming", return_policy="best")
+    return fitted.medoids().select("pos", "id")
+
+
+@query
+def kmedoids_fit_random(spark, sf_dir):
+    fitted = kmedoids.fit(inputs.bits(spark, sf_dir), K, "hamming", seeding="random", random_state=11)
     return fitted.medoids().select("pos", "id")
 
 
 @query
 def kmedoids_fit_euclidean(spark, sf_dir):
-    fitted = kmedoids.fit(inputs.bytes_(spark, sf_dir), K, "euclidean", max_iter=2)
+    fitted = kmedoids.fit(inputs.bytes_(spark, sf_dir), K, "euclidean")
     sizes = fitted.assignment().groupBy("pos").agg(F.count(F.lit(1)).alias("members"))
     return fitted.medoids().join(sizes, "pos", "left").select(
         "pos", "id", F.coalesce("members", F.lit(0)).alias("members")
@@ -258,10 +270,7 @@ def kmeans_baseline(spark, sf_dir):
 
 @query
 def tree_build(spark, sf_dir):
-    grown = tree.build_tree(
-        inputs.bits(spark, sf_dir), inputs.TREE_K, max_depth=inputs.TREE_DEPTH,
-        max_iter=inputs.TREE_ITER,
-    )
+    grown, _ = inputs.tree_vocabulary(spark, sf_dir)
     return grown.nodes.select(
         "node_id", "parent_id", "pos", "depth", "id", "size", F.col("is_leaf").cast("int").alias("is_leaf")
     )
@@ -299,18 +308,18 @@ def tree_neighbourhood(spark, sf_dir):
 
 @query
 def word_weights(spark, sf_dir):
-    weights = bow.word_weights(inputs.flat_words(spark, sf_dir))
+    weights = bow.word_weights(inputs.tree_words(spark, sf_dir))
     return weights.select("word_id", _r("weight").alias("weight"))
 
 
 @query
 def word_onehot(spark, sf_dir):
-    _, vocabulary = inputs.flat_vocabulary(spark, sf_dir)
-    rows = inputs.flat_words(spark, sf_dir)
+    _, vocabulary = inputs.tree_vocabulary(spark, sf_dir)
+    rows = inputs.tree_words(spark, sf_dir)
     weights = bow.word_weights(rows)
     indexed = lookup_join(rows, vocabulary, ["word_id"], hot=True)
     weighted = lookup_join(indexed, weights, ["word_id"], "left", hot=True)
-    hot = vectors.one_hot(F.col("word_index"), F.coalesce("weight", F.lit(1.0)), K)
+    hot = vectors.one_hot(F.col("word_index"), F.coalesce("weight", F.lit(1.0)), vocabulary.count())
     dense = weighted.select("frame_id", "pos", "word_index", hot.alias("hot"))
     return dense.select(
         "frame_id",
@@ -323,10 +332,8 @@ def word_onehot(spark, sf_dir):
 
 @query
 def bow_frames(spark, sf_dir):
-    _, vocabulary = inputs.flat_vocabulary(spark, sf_dir)
-    rows = inputs.words_of_features(
-        spark, sf_dir, inputs.flat_vocabulary(spark, sf_dir)[0]
-    )
+    _, vocabulary = inputs.tree_vocabulary(spark, sf_dir)
+    rows = inputs.tree_words(spark, sf_dir)
     bag = bow.bag_of_words(rows, vocabulary, bow.word_weights(rows))
     counts = bow.nonzero_words(bag)
     return lookup_join(bag, counts, ["frame_id"]).select(
@@ -414,7 +421,7 @@ def match_consensus(spark, sf_dir):
     )
     placed = lookup_join(matched, source, ["frame_id", "pos"])
     placed = materialise(lookup_join(placed, target, ["prev_frame_id", "prev_pos"]), "pairs")
-    kept = consensus.consensus_filter(placed, "frame_id", ["pos", "prev_pos"], trials=50)
+    kept = consensus.consensus_filter(placed, "frame_id", ["pos", "prev_pos"])
     return consensus.tracked(kept, "frame_id")
 
 
@@ -427,7 +434,7 @@ def _key_frames(spark, sf_dir):
 
 def _scored(spark, sf_dir):
     return loop_closure.scored_key_frames(
-        inputs.bags(spark, sf_dir, flat=False), _key_frames(spark, sf_dir),
+        inputs.bags(spark, sf_dir), _key_frames(spark, sf_dir),
         inputs.frame_pairs(spark, sf_dir),
     )
 
@@ -458,7 +465,7 @@ def session_islands(spark, sf_dir):
 @query
 def loop_closures(spark, sf_dir):
     found = loop_closure.loop_closures(
-        inputs.bags(spark, sf_dir, flat=False), inputs.tree_words(spark, sf_dir),
+        inputs.bags(spark, sf_dir), inputs.tree_words(spark, sf_dir),
         _key_frames(spark, sf_dir), inputs.frame_pairs(spark, sf_dir), POOL,
     )
     return found.select(
@@ -564,13 +571,13 @@ def stream_prev_match(spark, sf_dir):
 
 @query
 def stream_retrieve(spark, sf_dir):
-    flat, vocabulary = inputs.flat_vocabulary(spark, sf_dir)
-    levels = tree.level_vectors(flat)
-    weights = materialise(bow.word_weights(inputs.flat_words(spark, sf_dir)), "weights")
+    grown, vocabulary = inputs.tree_vocabulary(spark, sf_dir)
+    levels = tree.level_vectors(grown)
+    weights = materialise(bow.word_weights(inputs.tree_words(spark, sf_dir)), "weights")
     found, bags_path = scratch_path(spark, "found"), scratch_path(spark, "stream-bags")
 
     def to_bags(batch: DataFrame) -> DataFrame:
-        return bow.bag_of_words(tree.quantise(batch, levels, flat.depth), vocabulary, weights)
+        return bow.bag_of_words(tree.quantise(batch, levels, grown.depth), vocabulary, weights)
 
     def consume(stream: DataFrame, checkpoint: str) -> None:
         writer = stream_frames.retrieve_stream(stream, to_bags, bags_path, found, EXCLUDE_RECENT)

@@ -1,4 +1,5 @@
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -215,3 +216,28 @@ def test_numpy_metric_in_every_step(spark, bytes_):
     assert got == {i: p for i, p in enumerate(placed) if p >= 0}
     pair = spark.sql("select array(1, 2) a, array(4, 0) b")
     assert pair.select(plain.point(F.col("a"), F.col("b"))).first()[0] == 5
+
+
+def test_seeding_keeps_distances_and_measures_only_new_seeds(spark, monkeypatch):
+    data = np.random.default_rng(8).integers(0, 256, (150, 6))
+    asked = []
+    plain = assignment._distances
+
+    def counted(kernel, rows, medoids):
+        asked.append(len(medoids))
+        return plain(kernel, rows, medoids)
+
+    monkeypatch.setattr(kmedoids, "REFRESH", 4)
+    points = kmedoids.as_node(frame(spark, data))
+    found = kmedoids.farthest_first(points, 20, "euclidean").select(F.inline("medoids")).orderBy("pos").collect()
+    assert [r.id for r in found] == twins.seeds(data, 20, "euclidean")
+    # one batch by hand: with distances kept, only the seeds since then are compared
+    monkeypatch.setattr(assignment, "_distances", counted)
+    batch = pa.RecordBatch.from_pydict({"near": [5.0, 1.0]})
+    near = assignment._near(batch, data[:2], np.arange(2), data[:20], 18, "l2sq")
+    assert asked == [2] and (near <= [5.0, 1.0]).all()
+
+
+def test_a_bound_on_iterations_is_reported(spark, bytes_):
+    assert kmedoids.fit(frame(spark, bytes_), 4, "euclidean").converged
+    assert not kmedoids.fit(frame(spark, bytes_), 4, "euclidean", max_iter=1).converged

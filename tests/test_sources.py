@@ -70,19 +70,19 @@ def planted(spark):
 
 
 def test_consensus_finds_the_planted_inliers(planted):
-    kept = consensus.consensus_filter(planted, "g", ["i"], sample=200).collect()
+    kept = consensus.consensus_filter(planted, "g", ["i"]).collect()
     for r in kept:
         assert r.inlier == (r.good and r.g != 3), r
     counts = {r.g: (r.pairs, r.tracked) for r in consensus.tracked(
-        consensus.consensus_filter(planted, "g", ["i"], sample=200), "g").collect()}
+        consensus.consensus_filter(planted, "g", ["i"]), "g").collect()}
     assert counts == {0: (1500, 1125), 1: (60, 45), 2: (20, 15), 3: (3, 0)}
 
 
-def test_group_samples_are_bounded_and_repeatable(planted):
-    drawn = consensus.sample_group(planted.select("g", "i"), "g", ["i"], 50, 1)
-    assert {r.g: r["count"] for r in drawn.groupBy("g").count().collect()} == {0: 50, 1: 50, 2: 20, 3: 3}
-    again = consensus.sample_group(planted.select("g", "i").repartition(7), "g", ["i"], 50, 1)
-    assert sorted(drawn.collect()) == sorted(again.collect())
+def test_consensus_is_the_same_in_small_blocks_and_any_partitioning(planted, monkeypatch):
+    whole = sorted(map(str, consensus.consensus_models(planted, "g", ["i"]).collect()))
+    monkeypatch.setattr(consensus, "BLOCK", 100)
+    parts = sorted(map(str, consensus.consensus_models(planted.repartition(7), "g", ["i"]).collect()))
+    assert whole == parts and len(whole) == 3
 
 
 @pytest.mark.parametrize("how", ["inner", "left", "left_semi", "left_anti"])
