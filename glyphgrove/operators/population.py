@@ -7,6 +7,8 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from glyphgrove.runtime import materialise
+
 
 def distinct_vectors(df: DataFrame) -> DataFrame:
     """One row per vector, under its lowest id. Copies meet in partial aggregates first."""
@@ -64,7 +66,7 @@ def kmeans_baseline(
 ):
     """k-means from random centres, the cheapest of several attempts: ``(model, predictions)``."""
     rows = df.select("id", array_to_vector(F.transform("vector", lambda x: x.cast("double"))).alias("features"))
-    rows = rows.persist()
+    rows = materialise(rows, "vectors")
     best = None
     for attempt in range(attempts):
         model = KMeans(
@@ -73,5 +75,4 @@ def kmeans_baseline(
         if best is None or model.summary.trainingCost < best.summary.trainingCost:
             best = model
     placed = best.transform(rows).select("id", F.col("prediction").alias("cluster"))
-    rows.unpersist()
     return best, placed

@@ -185,8 +185,12 @@ def quantise(
     )
     rows = features.withColumn("word_id", F.lit(ROOT))
     kept = [F.col(c) for c in features.columns]
-    for _ in range(depth + 1):
-        met = lookup_join(rows, packs, ["word_id"], "left", table_bytes=table_bytes, hot=True)
+    for level in range(depth + 1):
+        if level == 0:
+            # all rows ask for the root's one pack of entries: one row, so it goes to them
+            met = rows.join(F.broadcast(packs.filter(F.col("word_id") == ROOT)), ["word_id"], "left")
+        else:
+            met = lookup_join(rows, packs, ["word_id"], "left", table_bytes=table_bytes, hot=True)
         rows = met.select(*kept, step.alias("word_id"))
     return rows
 

@@ -15,6 +15,7 @@ BYTES = "CAST(floor((CAST(e AS DOUBLE) + 1) * 127.5) AS INTEGER)"
 
 HAMMING = "sum(CASE WHEN a.x <> b.x THEN 1 ELSE 0 END)"
 L1 = "sum(abs(CAST(a.x AS DOUBLE) - CAST(b.x AS DOUBLE)))"
+CHEBYSHEV = "max(abs(CAST(a.x AS DOUBLE) - CAST(b.x AS DOUBLE)))"
 L2SQ = "sum((CAST(a.x AS DOUBLE) - b.x) * (CAST(a.x AS DOUBLE) - b.x))"
 
 
@@ -428,6 +429,7 @@ def oracles() -> dict[str, str]:
             "SELECT pos, count(*) AS members, sum(dist) AS dist FROM asg GROUP BY pos",
         ),
         "kmedoids_assign": select(assigned(), "SELECT id, pos, dist FROM asg"),
+        "kmedoids_custom_metric": select(assigned(BYTES, CHEBYSHEV), "SELECT id, pos, dist FROM asg"),
         "kmedoids_check": select(
             assigned(),
             f"SELECT (SELECT count(*) FROM asg) AS placed, (SELECT count(*) FROM embeddings) - {K} AS "

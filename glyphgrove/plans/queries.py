@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -165,6 +166,17 @@ def kmedoids_assign(spark, sf_dir):
     return fitted.assignment().select("id", "pos", "dist")
 
 
+def _farthest_coordinate(rows: np.ndarray, vector: np.ndarray) -> np.ndarray:
+    return np.abs(rows.astype(float) - vector).max(axis=1)
+
+
+@query
+def kmedoids_custom_metric(spark, sf_dir):
+    metrics.register(metrics.from_numpy("chebyshev", _farthest_coordinate))
+    fitted, _ = _assigned(spark, sf_dir, inputs.bytes_, "chebyshev")
+    return fitted.assignment().select("id", "pos", "dist")
+
+
 @query
 def kmedoids_check(spark, sf_dir):
     fitted, _ = _assigned(spark, sf_dir)
@@ -504,7 +516,8 @@ def _arrivals(spark, rows: DataFrame, order: str, consume: Callable[[DataFrame,
     path, checkpoint = scratch_path(spark, "arrivals"), scratch_path(spark, "stream")
     first, second = rows.approxQuantile(order, [1 / 3, 2 / 3], 0.01)
     position = F.col(order)
-    steps = [position <= first, (position > first) & (position <= second), position > second]
+    steps = [position <= first, (position > first) & (position <= second),
+             (position > second) | position.isNull()]
     for step in steps:
         rows.filter(step).write.mode("append").parquet(path)
         consume(stream_frames.read_frames(spark, path, rows.schema), checkpoint)

@@ -15,15 +15,19 @@ def read_vocabulary(
 ) -> DataFrame:
     """``(vector)`` rows, each vector once with ``dedup``. ``dense_ids`` gives them numbers.
 
-    The header is recognised by its token count, so files can be split freely. ``dimension=None``
-    accepts any line with at least one vector element and more tokens than a four-token header.
+    The header is recognised by its four tokens, so files can be split freely; blank lines are passed
+    over. ``dimension=None`` accepts any line with at least one vector element. Any other line raises an
+    error when the rows are read: none is left out in silence.
     """
     tokens = F.split("value", " ", -1)
     width = F.size("tokens") - LEAD - TRAIL
-    valid = width == dimension if dimension else width > 0
+    fits = width == dimension if dimension else width > 0
+    skipped = (F.size("tokens") == LEAD + TRAIL) | (F.trim("value") == "")
+    wrong = F.raise_error(F.concat(F.lit("bad vocabulary line: "), F.col("value"))).cast("boolean")
+    valid = F.when(fits, True).when(skipped, False).otherwise(wrong)
     vectors = (
         spark.read.text(path)
-        .select(tokens.alias("tokens"))
+        .select("value", tokens.alias("tokens"))
         .filter(valid)
         .select(
             F.transform(
