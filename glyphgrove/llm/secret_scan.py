@@ -241,11 +241,14 @@ def train(docs: DataFrame, findings: DataFrame | None = None, id_column: str = "
     before, after = [r["before"] for r in rows], [r["after"] for r in rows]
     model = Forest([], [], [], [], [], _odds(before, marks), _odds(after, marks), known)
     x = model.rows([r["shape"] for r in rows], before, after)
+    # both classes weigh the same, however rare secrets are among the findings
+    weight = len(marks) / (2.0 * np.bincount(marks, minlength=2))
     data = spark.createDataFrame(
-        [(v.tolist(), float(m)) for v, m in zip(x, marks, strict=True)], "x array<double>, y double"
-    ).select(array_to_vector("x").alias("features"), F.col("y").alias("label")).repartition(1)
+        [(v.tolist(), float(m), float(weight[m])) for v, m in zip(x, marks, strict=True)],
+        "x array<double>, y double, weight double",
+    ).select(array_to_vector("x").alias("features"), F.col("y").alias("label"), "weight").repartition(1)
     fitted = RandomForestClassifier(
-        numTrees=trees, maxDepth=depth, seed=SEED, featureSubsetStrategy="sqrt", subsamplingRate=1.0).fit(data)
+        weightCol="weight", numTrees=trees, maxDepth=depth, seed=SEED, featureSubsetStrategy="sqrt", subsamplingRate=1.0).fit(data)
     return _flatten(spark, fitted, model)
 
 
