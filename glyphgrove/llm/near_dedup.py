@@ -7,20 +7,22 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
 from glyphgrove.llm import minhash
 from glyphgrove.llm.common import (
-    distinct_sets, materialise, mix, schema_of, shingle_hashes, slices, word_hashes,
+    distinct_sets, free_name, materialise, mix, schema_of, shingle_hashes, slices, word_hashes,
 )
 from glyphgrove.llm.components import components
 
 #: 50 bands of 7 bins: a pair of similarity 0.8 shares no bucket with probability (1 - 0.8^7)^50 = 8e-6,
 #: a pair of similarity 0.1 shares one with 5e-6.
 BANDS, ROWS = 50, 7
+#: New stars in each bucket that still holds several components after the first confirmation.
+DRAWS = 4
 
 
 def _list_array(values: np.ndarray, sizes: np.ndarray) -> pa.Array:
@@ -98,25 +100,28 @@ def _confirm(edges: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The edges (u, v) whose whole sets have 100 * intersection >= percent * union."""
     a = sets.select(F.col("node").alias("u"), F.col("set").alias("_a"))
     b = sets.select(F.col("node").alias("v"), F.col("set").alias("_b"))
-    both = edges.select("u", "v").join(a, "u").join(b, "v")
+    both = edges.join(a, "u").join(b, "v")
     shared = F.size(F.array_intersect("_a", "_b"))
     union = F.size("_a") + F.size("_b") - shared
-    return both.where(100 * shared >= percent * union).select("u", "v")
+    return both.where(100 * shared >= percent * union).drop("_a", "_b")
 
 
-def _across(pairs: DataFrame, roots: DataFrame) -> DataFrame:
-    """Pairs whose ends are not yet in one component."""
-    ru = roots.select(F.col("node").alias("u"), F.col("root").alias("_ru"))
-    rv = roots.select(F.col("node").alias("v"), F.col("root").alias("_rv"))
-    return (
-        pairs.join(ru, "u", "left").join(rv, "v", "left")
-        .where(~(F.coalesce("_ru", "u") == F.coalesce("_rv", "v"))).drop("_ru", "_rv")
-    )
+def _drawn(bucket: W, turn: int, member: Column) -> Column:
+    """One of each bucket's members, drawn by a hash of node, band and ``turn``."""
+    ticket = F.struct(F.xxhash64("node", "band", F.lit(turn)).alias("h"), member.alias("m"))
+    return F.min(ticket).over(bucket).getField("m")
+
+
+def _pairs(stars: DataFrame, percent: int, *more: Column) -> DataFrame:
+    """(u, v, ``more``) from (node, n, center): pairs whose sizes alone do not rule the similarity out."""
+    near = 100 * F.least("n", "center.n") >= percent * F.greatest("n", "center.n")
+    return stars.where((F.col("node") != F.col("center.node")) & near).select(
+        F.greatest("node", "center.node").alias("u"), F.least("node", "center.node").alias("v"), *more)
 
 
 def near_duplicates(
     docs: DataFrame, id_column: str = "doc_id", text: str = "text", shingle: int = 5,
-    percent: int = 80, bands: int = BANDS, rows: int = ROWS,
+    percent: int = 80, bands: int = BANDS, rows: int = ROWS, draws: int = DRAWS,
 ) -> DataFrame:
     """Return (doc_id, n_shingles, component_id, kept), one row per row of ``docs``.
 
@@ -130,9 +135,11 @@ def near_duplicates(
 
     Rows with the same set become one node, so groups of copies of any size cost one node. Nodes that
     share a band are candidates; a bucket gives stars, not pairs: all members with its least node and
-    all members with a member drawn by hash. A node's most frequent edge is confirmed first; then the
-    edges that still lead from one component to another; then, in buckets that still hold several
-    components, their remaining cross pairs, so a bucket loses no link. Sets are confirmed whole.
+    all members with a member drawn by hash. A node's most frequent edge is confirmed first. Where a bucket
+    then still holds several components, the other edges of its stars and those of ``draws`` new stars are
+    confirmed. Sets are confirmed whole, so no false link is made; pairs grow with the bucket entries,
+    never with the square of a bucket. A link goes unseen only if its ends share no bucket, or if no centre
+    of their buckets joins them, which takes a document with hardly any other partner in a large group.
     """
     prints = materialise(signatures(docs, id_column, text, shingle, bands, rows), "signatures")
     nodes = prints.where("node is not null").groupBy("node").agg(
@@ -142,69 +149,50 @@ def near_duplicates(
         nodes.select(F.col("node").alias("_node"), F.col("doc_id").alias("_id")),
         (F.col("node") == F.col("_node")) & F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi",
     )
-    entries = heads.select("node", F.explode("bands").alias("band"))
+    entries = heads.select("node", F.col("n_shingles").alias("n"), F.explode("bands").alias("band"))
     bucket = W.partitionBy("band")
-    drawn = F.struct(F.xxhash64("node", "band").alias("h"), F.col("node").alias("node"))
     stars = entries.select(
-        "band", "node", F.min("node").over(bucket).alias("least"), F.max("node").over(bucket).alias("most"),
-        F.min(drawn).over(bucket).getField("node").alias("drawn"),
-    ).where("least <> most")
-    stars = materialise(stars.distinct(), "buckets")
-    edges = (
-        stars.select("node", F.explode(F.array_distinct(F.array("least", "drawn"))).alias("center"))
-        .where("node <> center")
-        .groupBy(F.greatest("node", "center").alias("u"), F.least("node", "center").alias("v"))
-        .agg(F.count(F.lit(1)).alias("times"))
-    )
-    size = nodes.select("node", "n")
-
-    def fits(pairs: DataFrame) -> DataFrame:
-        """Pairs whose sizes alone do not rule the similarity out."""
-        nu = size.select(F.col("node").alias("u"), F.col("n").alias("_nu"))
-        nv = size.select(F.col("node").alias("v"), F.col("n").alias("_nv"))
-        both = pairs.join(nu, "u").join(nv, "v")
-        return both.where(
-            100 * F.least("_nu", "_nv") >= percent * F.greatest("_nu", "_nv")
-        ).drop("_nu", "_nv")
-
-    edges = materialise(fits(edges), "edges")
+        "band", "node", "n", F.min(F.struct("node", "n")).over(bucket).alias("least"),
+        F.max("node").over(bucket).alias("most"), _drawn(bucket, 0, F.struct("node", "n")).alias("drawn"),
+    ).where("least.node <> most").drop("most").distinct()
+    stars = materialise(stars, "buckets")
+    pairs = stars.select("node", "n", F.explode(F.array("least", "drawn")).alias("center"))
+    edges = _pairs(pairs, percent).groupBy("u", "v").agg(F.count(F.lit(1)).alias("times"))
     members = stars.select("node").distinct()
     wanted = nodes.select("node", "doc_id").join(members, "node", "left_semi")
     sets = materialise(full_sets(docs, wanted, text, id_column, shingle), "sets")
 
-    ends = edges.select(F.col("u").alias("node"), "u", "v", "times").unionByName(
-        edges.select(F.col("v").alias("node"), "u", "v", "times"))
+    ends = edges.select("times", "u", "v", F.explode(F.array("u", "v")).alias("node"))
     best = ends.groupBy("node").agg(F.max(F.struct("times", "u", "v")).alias("b"))
-    first = best.select("b.u", "b.v").distinct()
-    linked = materialise(_confirm(first, sets, percent), "links")
-    roots = components(linked)
-
-    rest = _across(edges.join(first, ["u", "v"], "left_anti"), roots)
-    more = materialise(_confirm(rest, sets, percent), "links")
-    if not more.isEmpty():
-        linked = linked.unionByName(more)
-        roots = components(linked)
-
-    # buckets that hold several components: whoever is outside the bucket's largest meets all others
-    placed = stars.select("band", "node").join(roots, "node", "left").select(
-        "band", "node", F.coalesce("root", "node").alias("root"))
-    shares = placed.groupBy("band", "root").agg(F.count(F.lit(1)).alias("c"))
-    main = shares.groupBy("band").agg(
-        F.max(F.struct("c", "root")).getField("root").alias("main"), F.count(F.lit(1)).alias("parts"))
-    mixed = placed.join(main.where("parts > 1"), "band")
-    minor = mixed.where("root <> main").select("band", F.col("node").alias("x"), F.col("root").alias("_rx"))
-    cross = (
-        minor.join(mixed.select("band", F.col("node").alias("y"), F.col("root").alias("_ry")), "band")
-        .where("_rx <> _ry")
-        .select(F.greatest("x", "y").alias("u"), F.least("x", "y").alias("v")).distinct()
-    )
-    cross = fits(cross).join(edges.select("u", "v"), ["u", "v"], "left_anti")
-    last = materialise(_confirm(cross, sets, percent), "links")
-    if not last.isEmpty():
-        roots = components(linked.unionByName(last))
+    first = materialise(best.select("b.u", "b.v").distinct(), "edges")
+    roots = components(materialise(_confirm(first, sets, percent), "links"))
+
+    # buckets that hold several components: the stars so far and new ones around other members, but only
+    # the edges that lead from one component to another
+    placed = stars.select("band", "node", "n").join(roots, "node", "left").withColumn(
+        "root", F.coalesce("root", "node"))
+    member = F.struct("node", "n", "root")
+    mixed = placed.select(
+        "node", "n", "root", F.min("root").over(bucket).alias("_a"), F.max("root").over(bucket).alias("_b"),
+        F.min(member).over(bucket).alias("least"),
+        *[_drawn(bucket, k, member).alias(f"draw{k}") for k in range(draws + 1)],
+    ).where("_a <> _b")
+    centers = F.array("least", *[f"draw{k}" for k in range(draws + 1)])
+    apart = F.filter(F.array_distinct(centers), lambda c: c["root"] != F.col("root"))
+    # the others come to the component of a bucket's first draw, most often its largest; it need not go to them
+    mixed = mixed.where(F.col("root") != F.col("draw0.root"))
+    crossing = mixed.select("node", "n", "root", F.explode(apart).alias("center"))
+    ends = (F.least("root", "center.root").alias("a"), F.greatest("root", "center.root").alias("b"))
+    more = _pairs(crossing, percent, *ends).distinct().join(first, ["u", "v"], "left_anti")
+    found = materialise(_confirm(more, sets, percent), "links")
+    # from here on a component is one node: its root
+    bridges = found.select(F.col("a").alias("u"), F.col("b").alias("v")).distinct()
+    merged = components(bridges).select(F.col("node").alias("root"), F.col("root").alias("_merged"))
 
     labelled = nodes.select("node", "doc_id").join(roots, "node", "left").select(
         "node", F.coalesce("root", "node").alias("root"), "doc_id")
+    labelled = labelled.join(merged, "root", "left").select(
+        "node", F.coalesce("_merged", "root").alias("root"), "doc_id")
     least = labelled.groupBy("root").agg(F.min("doc_id").alias("component_id"))
     labels = labelled.join(least, "root").select(F.col("node").alias("_node"), "component_id")
     out = prints.select("doc_id", "n_shingles", "node").join(labels, F.col("node") == F.col("_node"), "left")
@@ -221,8 +209,9 @@ def deduplicate(docs: DataFrame, id_column: str = "doc_id", text: str = "text",
     """
     found = near_duplicates(docs, id_column, text, shingle, percent)
     kept = found.where("kept")
-    ids = kept.select(F.coalesce("doc_id", F.lit(-1 << 63)).alias("_kept")).distinct()
-    stay = docs.join(ids, F.coalesce(docs[id_column], F.lit(-1 << 63)) == F.col("_kept"), "left_semi")
+    name = free_name(docs, "_kept")
+    ids = kept.select(F.coalesce("doc_id", F.lit(-1 << 63)).alias(name)).distinct()
+    stay = docs.join(ids, F.coalesce(docs[id_column], F.lit(-1 << 63)) == F.col(name), "left_semi")
     repeated = kept.where("n_shingles > 0").groupBy("doc_id").count().where("count > 1")
     if repeated.isEmpty():
         return stay
