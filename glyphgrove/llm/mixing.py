@@ -170,7 +170,7 @@ def slots(sources: DataFrame, block: int = BLOCK, shard_slots: int = SHARD_SLOTS
 
 def plan(rows: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, passes: int = PASSES,
          block: int = BLOCK, shard_slots: int = SHARD_SLOTS, seed: int = SEED) -> tuple[DataFrame, DataFrame]:
-    """The mix of ``rows`` (_row, doc_id, source, size): (sources, taken).
+    """The mix of ``rows`` (_row, doc_id, tie, source, size): (sources, taken).
 
     ``taken`` has a row for each stretch of a document in the mix: (_row, pass, shard, slot, first, words),
     ``first`` being the document's word it starts with. A source's documents lie one after another in
@@ -181,8 +181,9 @@ def plan(rows: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = S
         "key", F.xxhash64(F.coalesce("source", F.lit("")), F.col("source").isNull()))
     sources = materialise(sources.withColumn("size", F.col("source_size")), "targets")
     keyed = rows.where("size > 0").select(
-        "_row", "doc_id", "size", F.xxhash64(F.coalesce("source", F.lit("")), F.col("source").isNull()).alias("key"))
-    order = [F.coalesce("doc_id", F.lit(-1)), F.col("_row")]
+        "_row", "doc_id", "tie", "size", F.xxhash64(F.coalesce("source", F.lit("")), F.col("source").isNull()).alias("key"))
+    # by content alone: row numbers depend on how the input was split
+    order = [F.coalesce("doc_id", F.lit(-1)), F.col("tie")]
     laid = running_position(keyed, ["key"], order, F.col("size"), "start", spread(spark))
     cut = laid.select(
         "_row", "key", "start", "size",
@@ -194,7 +195,8 @@ def plan(rows: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = S
         (F.least(edge + block, F.col("start") + F.col("size")) - edge).alias("_to"),
         (F.greatest(edge, F.col("start")) - F.col("start")).alias("first"))
     shown = slots(sources, block, shard_slots, seed)
-    taken = cut.join(shown, ["key", "block"]).withColumn(
+    # Spark takes the slots to be as few as the sources they are drawn for, so say that both sides are large
+    taken = cut.join(shown.hint("merge"), ["key", "block"]).withColumn(
         "words", F.least("_to", "words") - F.col("_from")).where("words > 0")
     return sources, taken.select("_row", "pass", "shard", "slot", "first", "words")
 
@@ -206,11 +208,12 @@ def amounts(docs: DataFrame, id_column: str = "doc_id", text: str = "text", sour
     ``size`` counts words, ``taken`` those the mix takes, repeats counted: at most ``PASSES`` times the
     size. Null texts have no words and nothing is taken. Null is a source of its own, the last. Repeated rows
     and null ids are rows like others. Extra columns are ignored; no rows give no rows. The draws depend on
-    seed, source and order of ids alone, so reruns agree.
+    seed, source, ids and texts alone, so reruns agree however the input is split.
     """
     narrow = docs.select(
         F.col(id_column).cast("long").alias("doc_id"), F.col(source).cast("string").alias("source"),
-        F.coalesce(F.regexp_count(F.col(text), F.lit(WORD)), F.lit(0)).cast("long").alias("size"))
+        F.coalesce(F.regexp_count(F.col(text), F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
+        F.xxhash64(text).alias("tie"))
     rows = number_rows(narrow)
     sources, taken = plan(rows, **options)
     sums = taken.groupBy("_row").agg(F.sum("words").alias("taken"))
@@ -218,7 +221,7 @@ def amounts(docs: DataFrame, id_column: str = "doc_id", text: str = "text", sour
         rows.withColumn("key", F.xxhash64(F.coalesce("source", F.lit("")), F.col("source").isNull())),
         sources.select("key", "source_size", "target"), ["key"],
         table_bytes=64 * sources.count())
-    return known.join(sums, "_row", "left").select(
+    return known.join(sums.hint("merge"), "_row", "left").select(
         "doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).alias("taken"))
 
 
@@ -234,12 +237,12 @@ def mixture(docs: DataFrame, id_column: str = "doc_id", text: str = "text", sour
     rows = number_rows(docs, row)
     size = F.coalesce(F.regexp_count(F.col(text), F.lit(WORD)), F.lit(0)).cast("long")
     narrow = rows.select(F.col(row).alias("_row"), F.col(id_column).cast("long").alias("doc_id"),
-                         F.col(source).cast("string").alias("source"), size.alias("size"))
+                         F.col(source).cast("string").alias("source"), size.alias("size"), F.xxhash64(text).alias("tie"))
     _, taken = plan(narrow, **options)
     # one row per document: its blocks number its size / BLOCK, times the passes
     parts = taken.groupBy(F.col("_row").alias(row)).agg(
         F.sort_array(F.collect_list(F.struct("pass", "first", "words"))).alias(held))
-    joined = rows.join(parts, row).drop(row)
+    joined = rows.join(parts.hint("merge"), row).drop(row)
     schema = docs.schema
     length = n_chars if n_chars in schema.names else None
 
