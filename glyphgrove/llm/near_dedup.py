@@ -23,6 +23,9 @@ from glyphgrove.llm.components import components
 BANDS, ROWS = 50, 7
 #: New stars in each bucket that still holds several components after the first confirmation.
 DRAWS = 4
+#: Shingles are ranked by counts in so many cells of their hash, 8 MB in all, packed by so many; a shingle's
+#: members are joined in blocks of about so many.
+CELLS, CELL_BLOCK, BLOCK = 1 << 20, 1 << 14, 4096
 
 
 def _list_array(values: np.ndarray, sizes: np.ndarray) -> pa.Array:
@@ -119,6 +122,108 @@ def _pairs(stars: DataFrame, percent: int, *more: Column) -> DataFrame:
         F.greatest("node", "center.node").alias("u"), F.least("node", "center.node").alias("v"), *more)
 
 
+def _set_slices(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+    """(all shingles of the sets of a batch, ends of the sets)."""
+    lists = batch.column("set")
+    sizes = np.asarray(lists.value_lengths(), np.int64)
+    return np.asarray(lists.flatten()).view(np.uint64), np.cumsum(sizes)
+
+
+def _cells(shingles: np.ndarray) -> np.ndarray:
+    return (shingles >> np.uint64(64 - CELLS.bit_length() + 1)).astype(np.int64)
+
+
+def _frequencies(rest: DataFrame) -> np.ndarray:
+    """How often the shingles of each cell are met in the sets of ``rest``: bounds each shingle's count."""
+    part = schema_of(("block", T.IntegerType()), ("cell", T.ArrayType(T.LongType())), ("times", T.ArrayType(T.LongType())))
+    whole = schema_of(("block", T.IntegerType()), ("times", T.BinaryType()))
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(CELLS, np.int64)
+        for batch in batches:
+            total += np.bincount(_cells(_set_slices(batch)[0]), minlength=CELLS)
+        for block in range(CELLS // CELL_BLOCK):
+            own = total[block * CELL_BLOCK : (block + 1) * CELL_BLOCK]
+            met = np.flatnonzero(own)
+            if len(met):
+                yield pa.RecordBatch.from_pylist(
+                    [{"block": block, "cell": met.tolist(), "times": own[met].tolist()}],
+                    schema=pa.schema([("block", pa.int32()), ("cell", pa.list_(pa.int64())), ("times", pa.list_(pa.int64()))]))
+
+    def add(table: pa.Table) -> pa.Table:
+        out = np.zeros(CELL_BLOCK, np.int64)
+        for cell, times in zip(table.column("cell").to_pylist(), table.column("times").to_pylist(), strict=True):
+            out[cell] += times
+        return pa.table({"block": pa.array([table.column("block")[0].as_py()], pa.int32()), "times": pa.array([out.tobytes()], pa.binary())})
+
+    total = np.zeros(CELLS, np.int64)
+    for r in rest.select("set").mapInArrow(count, part).groupBy("block").applyInArrow(add, whole).collect():
+        total[r["block"] * CELL_BLOCK : (r["block"] + 1) * CELL_BLOCK] = np.frombuffer(r["times"], np.int64)
+    return total
+
+
+def _prefixes(rest: DataFrame, percent: int) -> DataFrame:
+    """(token, at, n, node, root): the rarest shingles of each set that a linked set must share one of.
+
+    In one order of all shingles, the first one that two linked sets share stands among the first
+    n - ceil(n * percent / 100) + 1 of both. A shingle met once is shared by nobody and left out.
+    """
+    schema = schema_of(("token", T.LongType()), ("at", T.LongType()), ("n", T.LongType()),
+                       ("node", T.BinaryType()), ("root", T.BinaryType()))
+    shared = rest.sparkSession.sparkContext.broadcast(_frequencies(rest))
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            shingles, ends = _set_slices(batch)
+            times = shared.value[_cells(shingles)]
+            tokens, places, sizes, rows, start = [], [], [], [], 0
+            for row, end in enumerate(ends.tolist()):
+                n = end - start
+                order = np.lexsort((shingles[start:end], times[start:end]))[: n - (n * percent + 99) // 100 + 1]
+                at = np.flatnonzero(times[start:end][order] > 1)
+                tokens.append(shingles[start:end][order[at]])
+                places.append(at)
+                sizes.append(np.full(len(at), n))
+                rows.append(np.full(len(at), row))
+                start = end
+            if tokens:
+                row = pa.array(np.concatenate(rows))
+                yield pa.RecordBatch.from_arrays([
+                    pa.array(np.concatenate(tokens).view(np.int64)), pa.array(np.concatenate(places)),
+                    pa.array(np.concatenate(sizes)), batch.column("node").take(row), batch.column("root").take(row),
+                ], names=schema.names)
+
+    return rest.select("node", "root", "set").mapInArrow(work, schema)
+
+
+def _unlinked(rest: DataFrame, percent: int) -> DataFrame:
+    """(u, v, a, b): all pairs of ``rest`` (node, root, set) with unequal roots a, b that may be linked.
+
+    None of the linked pairs is missing. A shingle held by many is joined as a grid of blocks.
+    """
+    prefix = materialise(_prefixes(rest, percent), "prefixes")
+    held = prefix.groupBy("token").agg(
+        F.count(F.lit(1)).alias("times"), F.min("root").alias("_a"), F.max("root").alias("_b"))
+    held = held.where("_a <> _b").select("token", F.ceil(F.col("times") / BLOCK).cast("int").alias("blocks"))
+    rows = prefix.join(held, "token").withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    every = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    x = rows.select("token", F.col("own").alias("p"), every.alias("q"), *[F.col(c).alias(f"x_{c}") for c in ("at", "n", "node", "root")])
+    y = rows.select("token", every.alias("p"), F.col("own").alias("q"), *[F.col(c).alias(f"y_{c}") for c in ("at", "n", "node", "root")])
+    # after the first shared shingle no more can be shared than either set has left
+    left = F.least(F.col("x_n") - F.col("x_at"), F.col("y_n") - F.col("y_at"))
+    enough = (100 + percent) * left >= percent * (F.col("x_n") + F.col("y_n"))
+    apart = (F.col("x_node") > F.col("y_node")) & (F.col("x_root") != F.col("y_root"))
+    return x.join(y, ["token", "p", "q"]).where(apart & enough).select(
+        F.col("x_node").alias("u"), F.col("y_node").alias("v"),
+        F.least("x_root", "y_root").alias("a"), F.greatest("x_root", "y_root").alias("b")).distinct()
+
+
+def _merged(found: DataFrame, name: str) -> DataFrame:
+    """(root, ``name``): what the components (a, b) of the links ``found`` come to when one is one node."""
+    bridges = found.select(F.col("a").alias("u"), F.col("b").alias("v")).distinct()
+    return components(bridges).select(F.col("node").alias("root"), F.col("root").alias(name))
+
+
 def near_duplicates(
     docs: DataFrame, id_column: str = "doc_id", text: str = "text", shingle: int = 5,
     percent: int = 80, bands: int = BANDS, rows: int = ROWS, draws: int = DRAWS,
@@ -136,10 +241,11 @@ def near_duplicates(
     Rows with the same set become one node, so groups of copies of any size cost one node. Nodes that
     share a band are candidates; a bucket gives stars, not pairs: all members with its least node and
     all members with a member drawn by hash. A node's most frequent edge is confirmed first. Where a bucket
-    then still holds several components, the other edges of its stars and those of ``draws`` new stars are
-    confirmed. Sets are confirmed whole, so no false link is made; pairs grow with the bucket entries,
-    never with the square of a bucket. A link goes unseen only if its ends share no bucket, or if no centre
-    of their buckets joins them, which takes a document with hardly any other partner in a large group.
+    then still holds several components, edges of its stars and of ``draws`` new stars that lead from one
+    component to another are confirmed. What then still shares a bucket with another component is joined
+    exactly: by the rarest shingles of its set, of which a linked set must hold one, and by how many shingles
+    either set has left after it. Sets are confirmed whole, so no false link is made. A link goes unseen only
+    if its ends share no bucket and no chain of links joins them otherwise.
     """
     prints = materialise(signatures(docs, id_column, text, shingle, bands, rows), "signatures")
     nodes = prints.where("node is not null").groupBy("node").agg(
@@ -172,27 +278,36 @@ def near_duplicates(
     placed = stars.select("band", "node", "n").join(roots, "node", "left").withColumn(
         "root", F.coalesce("root", "node"))
     member = F.struct("node", "n", "root")
-    mixed = placed.select(
-        "node", "n", "root", F.min("root").over(bucket).alias("_a"), F.max("root").over(bucket).alias("_b"),
+    mixed = materialise(placed.select(
+        "band", "node", "n", "root", F.min("root").over(bucket).alias("_a"), F.max("root").over(bucket).alias("_b"),
         F.min(member).over(bucket).alias("least"),
         *[_drawn(bucket, k, member).alias(f"draw{k}") for k in range(draws + 1)],
-    ).where("_a <> _b")
+    ).where("_a <> _b").drop("_a", "_b"), "mixed")
     centers = F.array("least", *[f"draw{k}" for k in range(draws + 1)])
     apart = F.filter(F.array_distinct(centers), lambda c: c["root"] != F.col("root"))
-    # the others come to the component of a bucket's first draw, most often its largest; it need not go to them
-    mixed = mixed.where(F.col("root") != F.col("draw0.root"))
-    crossing = mixed.select("node", "n", "root", F.explode(apart).alias("center"))
+    # the others come to the component of a bucket's first draw, most often its largest; what this leaves out
+    # is left to the exact join below
+    crossing = mixed.where(F.col("root") != F.col("draw0.root")).select(
+        "node", "n", "root", F.explode(apart).alias("center"))
     ends = (F.least("root", "center.root").alias("a"), F.greatest("root", "center.root").alias("b"))
     more = _pairs(crossing, percent, *ends).distinct().join(first, ["u", "v"], "left_anti")
-    found = materialise(_confirm(more, sets, percent), "links")
     # from here on a component is one node: its root
-    bridges = found.select(F.col("a").alias("u"), F.col("b").alias("v")).distinct()
-    merged = components(bridges).select(F.col("node").alias("root"), F.col("root").alias("_merged"))
+    merged = materialise(_merged(materialise(_confirm(more, sets, percent), "links"), "_merged"), "roots")
+
+    # the exact rest: all members of buckets that hold several components even now
+    now = mixed.select("band", "node", "root").join(merged, "root", "left").select(
+        "band", "node", F.coalesce("_merged", "root").alias("root"))
+    bands_left = now.groupBy("band").agg(F.min("root").alias("_a"), F.max("root").alias("_b")).where("_a <> _b")
+    left = now.join(bands_left.select("band"), "band", "left_semi").select("node", "root").distinct()
+    rest = materialise(left.join(sets, "node"), "rest")
+    last = _merged(materialise(_confirm(_unlinked(rest, percent), sets, percent), "links"), "_last")
 
     labelled = nodes.select("node", "doc_id").join(roots, "node", "left").select(
         "node", F.coalesce("root", "node").alias("root"), "doc_id")
     labelled = labelled.join(merged, "root", "left").select(
         "node", F.coalesce("_merged", "root").alias("root"), "doc_id")
+    labelled = labelled.join(last, "root", "left").select(
+        "node", F.coalesce("_last", "root").alias("root"), "doc_id")
     least = labelled.groupBy("root").agg(F.min("doc_id").alias("component_id"))
     labels = labelled.join(least, "root").select(F.col("node").alias("_node"), "component_id")
     out = prints.select("doc_id", "n_shingles", "node").join(labels, F.col("node") == F.col("_node"), "left")

@@ -50,3 +50,24 @@ def test_deduplicate_keeps_one_of_each_group(odd, nothing):
     ids = sorted((r["doc_id"] for r in kept.collect()), key=lambda x: (x is not None, x))
     assert ids == [None, 1, 2, 3, 4, 6, 7, 8]
     assert near_dedup.deduplicate(nothing).count() == 0
+
+
+def test_unlinked_members_of_a_large_group_are_joined_exactly(spark):
+    """Without any drawn centre only the exact join can find links between members that are not centres."""
+    base = [f"w{i}" for i in range(200)]
+    rows = []
+    for k in range(60):
+        pair = list(base)
+        # each pair of documents shares edits that part it from all others; its two members differ by a little
+        for j in range(26):
+            pair[(k * 3 + j * 7) % 200] = f"pair{k}_{j}"
+        other = list(pair)
+        other[(k * 5) % 200], other[(k * 5 + 90) % 200] = f"x{k}", f"y{k}"
+        rows += [(2 * k, " ".join(pair)), (2 * k + 1, " ".join(other))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    want = components([r[0] for r in rows], [shingles(r[1], 1) for r in rows])
+    assert len(set(want.values())) == 60
+    # one-row bands make every member share buckets with all others, so stars see few of the true links
+    for draws in (0, 4):
+        found = near_dedup.near_duplicates(docs, shingle=1, bands=4, rows=1, draws=draws).collect()
+        assert {r["doc_id"]: r["component_id"] for r in found} == want
