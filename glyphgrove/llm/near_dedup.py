@@ -17,6 +17,7 @@ from glyphgrove.llm.common import (
     distinct_sets, free_name, materialise, mix, schema_of, shingle_hashes, slices, word_hashes,
 )
 from glyphgrove.llm.components import components
+from glyphgrove.llm.mixing import number_rows
 
 #: 50 bands of 7 bins: a pair of similarity 0.8 shares no bucket with probability (1 - 0.8^7)^50 = 8e-6,
 #: a pair of similarity 0.1 shares one with 5e-6.
@@ -49,14 +50,15 @@ def _digests(sets: np.ndarray, sizes: np.ndarray) -> pa.Array:
 
 
 def signatures(
-    docs: DataFrame, id_column: str, text: str, shingle: int, bands: int = BANDS, rows: int = ROWS
+    docs: DataFrame, id_column: str, text: str, shingle: int, bands: int = BANDS, rows: int = ROWS,
+    number: Column | None = None,
 ) -> DataFrame:
-    """(doc_id, n_shingles, node, bands): the identity of each shingle set and its band hashes.
+    """(doc_id, row, n_shingles, node, bands): the identity of each shingle set and its band hashes.
 
-    ``node`` is a 128-bit digest of the whole sorted set, null for a text without words.
+    ``node`` is a 128-bit digest of the whole sorted set, null for a text without words; ``row`` is ``number``.
     """
     schema = schema_of(
-        ("doc_id", T.LongType()), ("n_shingles", T.LongType()), ("node", T.BinaryType()),
+        ("doc_id", T.LongType()), ("row", T.LongType()), ("n_shingles", T.LongType()), ("node", T.BinaryType()),
         ("bands", T.ArrayType(T.LongType())),
     )
 
@@ -72,12 +74,15 @@ def signatures(
                 number = np.where(sizes > 0, bands, 0)
                 yield pa.RecordBatch.from_arrays([
                     batch.column("doc_id").slice(at, len(sizes)),
+                    batch.column("row").slice(at, len(sizes)),
                     pa.array(sizes),
                     _digests(sets, sizes),
                     _list_array(folded[sizes > 0].reshape(-1), number),
                 ], names=schema.names)
 
-    narrow = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text).alias("_text"))
+    row = F.lit(None) if number is None else number
+    narrow = docs.select(
+        F.col(id_column).cast("long").alias("doc_id"), row.cast("long").alias("row"), F.col(text).alias("_text"))
     return narrow.mapInArrow(work, schema)
 
 
@@ -247,7 +252,16 @@ def near_duplicates(
     either set has left after it. Sets are confirmed whole, so no false link is made. A link goes unseen only
     if its ends share no bucket and no chain of links joins them otherwise.
     """
-    prints = materialise(signatures(docs, id_column, text, shingle, bands, rows), "signatures")
+    return _judged(docs, id_column, text, shingle, percent, bands, rows, draws).select(
+        "doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
+
+
+def _judged(
+    docs: DataFrame, id_column: str, text: str, shingle: int, percent: int, bands: int = BANDS, rows: int = ROWS,
+    draws: int = DRAWS, number: Column | None = None,
+) -> DataFrame:
+    """(doc_id, row, n_shingles, root, component_id): ``root`` names a row's component, null without words."""
+    prints = materialise(signatures(docs, id_column, text, shingle, bands, rows, number), "signatures")
     nodes = prints.where("node is not null").groupBy("node").agg(
         F.min("doc_id").alias("doc_id"), F.min("n_shingles").alias("n")
     )
@@ -309,26 +323,24 @@ def near_duplicates(
     labelled = labelled.join(last, "root", "left").select(
         "node", F.coalesce("_last", "root").alias("root"), "doc_id")
     least = labelled.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    labels = labelled.join(least, "root").select(F.col("node").alias("_node"), "component_id")
-    out = prints.select("doc_id", "n_shingles", "node").join(labels, F.col("node") == F.col("_node"), "left")
+    labels = labelled.join(least, "root").select(F.col("node").alias("_node"), "root", "component_id")
+    out = prints.select("doc_id", "row", "n_shingles", "node").join(labels, F.col("node") == F.col("_node"), "left")
     component = F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
-    return out.select("doc_id", "n_shingles", component.alias("component_id")).withColumn(
-        "kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+    return out.select("doc_id", "row", "n_shingles", "root", component.alias("component_id"))
 
 
 def deduplicate(docs: DataFrame, id_column: str = "doc_id", text: str = "text", shingle: int = 5,
                 percent: int = 80) -> DataFrame:
-    """Keep one row of each group of near duplicates: the one with the least id, columns as given.
+    """Keep one row of each group of near duplicates: one with the least id, nulls last, columns as given.
 
-    Of rows that share that id one stays. Texts without words are linked with nothing and all stay.
+    Rows are told apart by a row number of their own, so rows that share an id, or have none, are judged each
+    by its own text. Texts without words are linked with nothing and all stay.
     """
-    found = near_duplicates(docs, id_column, text, shingle, percent)
-    kept = found.where("kept")
-    name = free_name(docs, "_kept")
-    ids = kept.select(F.coalesce("doc_id", F.lit(-1 << 63)).alias(name)).distinct()
-    stay = docs.join(ids, F.coalesce(docs[id_column], F.lit(-1 << 63)) == F.col(name), "left_semi")
-    repeated = kept.where("n_shingles > 0").groupBy("doc_id").count().where("count > 1")
-    if repeated.isEmpty():
-        return stay
-    words = F.coalesce(F.col(text), F.lit("")).rlike("[^\\x20\\x09-\\x0D]")
-    return stay.where(~words).unionByName(stay.where(words).dropDuplicates([id_column]))
+    name = free_name(docs, "_number")
+    rows = number_rows(docs, name)
+    found = materialise(
+        _judged(rows, id_column, text, shingle, percent, number=F.col(name)).select("doc_id", "row", "root"), "judged")
+    order = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "row")
+    heads = found.where("root is not null").groupBy("root").agg(F.min(order).alias("head")).select("head.row")
+    stay = heads.unionByName(found.where("root is null").select("row")).withColumnRenamed("row", name)
+    return rows.join(stay, name, "left_semi").drop(name)

@@ -71,3 +71,12 @@ def test_unlinked_members_of_a_large_group_are_joined_exactly(spark):
     for draws in (0, 4):
         found = near_dedup.near_duplicates(docs, shingle=1, bands=4, rows=1, draws=draws).collect()
         assert {r["doc_id"]: r["component_id"] for r in found} == want
+
+
+def test_deduplicate_goes_by_row_not_by_id(spark):
+    first, second, third = (" ".join(f"{k}{i}" for i in range(30)) for k in "abc")
+    rows = [(None, first), (None, second), (None, third), (None, third), (5, second + " more"), (5, "own words only here"),
+            (6, first), (6, "words of another text"), (None, "")]
+    kept = near_dedup.deduplicate(spark.createDataFrame(rows, "doc_id long, text string"), shingle=1)
+    assert sorted((r["doc_id"] or 0, r["text"]) for r in kept.collect()) == sorted([
+        (0, third), (5, second + " more"), (5, "own words only here"), (6, first), (6, "words of another text"), (0, "")])
