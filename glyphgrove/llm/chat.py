@@ -14,8 +14,9 @@ from pyspark.sql import types as T
 #: A template turns a list of (role, text) into one string.
 Template = Callable[[list[tuple[str, str]]], str]
 
-#: A rendering holds so many turns at most; longer conversations are rendered in sections. A black box has
-#: to be rendered once per prefix, so the work on a section grows with the square of its turns.
+#: With a template declared local to the turn a rendering holds so many turns at most, and longer conversations
+#: are rendered in sections. A black box has to be rendered once per prefix of the whole conversation, so the
+#: work grows with the square of its turns.
 SECTION = 64
 
 OPEN, CLOSE = "### ", "</turn>"
@@ -102,8 +103,13 @@ def _columns() -> T.StructType:
 def format_conversations(
     rows: DataFrame, template: Template = turn_template, conv: str = "conv_id", turn: str = "turn",
     role: str = "role", text: str = "text", learn: tuple[str, ...] = ("assistant",), section: int = SECTION,
+    local: bool | None = None,
 ) -> DataFrame:
-    """Return (conv_id, section, formatted, turns, rewrites): conversations rendered in sections.
+    """Return (conv_id, section, formatted, turns, rewrites): each conversation rendered as a whole.
+
+    ``local`` declares that the template renders every turn by itself, whatever stands before and after it;
+    only then are conversations rendered in sections of ``section`` turns. Without a declaration that holds of
+    ``turn_template`` alone; every other template sees true prefixes of the whole conversation.
 
     ``turns`` has for each turn its role, its span and its text's span in ``formatted`` (code points), and
     whether its text is under the loss mask (roles in ``learn``). ``rewrites`` lists the turns of the section at
@@ -111,10 +117,12 @@ def format_conversations(
 
     Rows are taken by turn, then role, then text; repeated rows are repeated turns. Null turns come first,
     null roles and texts are empty, rows without conv_id form one conversation. Extra columns are ignored; no
-    rows give no rows. One shuffle by conversation; rows then stream in order, so a conversation of any length
-    needs the memory of one section. Sections of a conversation follow each other in one partition.
+    rows give no rows. One shuffle by conversation; rows then stream in order, so a conversation needs the
+    memory of one section, or of the whole without sections. Sections of a conversation follow each other in one partition.
     """
     schema = _columns()
+    if not (template is turn_template if local is None else local):
+        section = 0
     narrow = rows.select(
         F.col(conv).cast("long").alias("conv_id"), F.col(turn).cast("long").alias("turn"),
         F.coalesce(F.col(role).cast("string"), F.lit("")).alias("role"),
@@ -146,7 +154,7 @@ def format_conversations(
                     if turns:
                         out.append(render(name, number, turns))
                     number, turns = 0, []
-                elif len(turns) == section:
+                elif section and len(turns) == section:
                     out.append(render(name, number, turns))
                     number, turns = number + 1, []
                 name, any_row = c, True

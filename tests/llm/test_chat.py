@@ -60,3 +60,18 @@ def test_odd_rows_and_long_conversations(spark):
     for section in (1, 64, 1000):
         assert got(docs, section=section) == want([r[:4] for r in rows])
     assert got(docs.limit(0)) == {}
+
+
+def test_black_box_templates_see_the_whole_conversation(spark):
+    def numbered(turns):
+        return "HEAD\n" + "".join(f"{k} {r}: {t}\n" for k, (r, t) in enumerate(turns))
+
+    def shortened(turns):
+        return "".join(f"{r}: {t if k >= len(turns) - 70 else '...'}\n" for k, (r, t) in enumerate(turns))
+
+    turns = [("assistant" if k % 2 else "user", f"turn {k}") for k in range(80)]
+    docs = spark.createDataFrame([(9, k, r, t, 0) for k, (r, t) in enumerate(turns)], ROWS)
+    for template, rewrites in ((numbered, []), (shortened, list(range(70, 80)))):
+        found = chat.format_conversations(docs, template).collect()
+        assert [(r["section"], r["formatted"], r["rewrites"]) for r in found] == [(0, template(turns), rewrites)]
+    assert len(chat.format_conversations(docs, numbered, local=True).collect()) == 2
