@@ -23,13 +23,22 @@ from glyphgrove.runtime import scratch_path
 #: A candidate is a run of so many characters of keys and encodings.
 SHORTEST = 16
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_\-]{%d,}={0,2}" % SHORTEST)
-#: At most so many labelled findings are learned from, and so many of the commonest words make the dictionary.
-MAX_FINDINGS, DICTIONARY = 20_000, 4_000
+#: At most so many labelled findings are learned from.
+MAX_FINDINGS = 20_000
+#: A word is in the dictionary if at least so many documents of a language and at least this share of them hold
+#: it; so a language has at most (mean distinct words of its documents) / share words.
+WORD_DOCS, WORD_SHARE = 2, 0.001
 TREES, DEPTH, SEED, ACCEPT = 30, 8, 7, 0.5
 #: Paths that speak against a live secret, and words around a value that speak for one. Fixed values.
 SAMPLE_PATH = ("test", "example", "sample", "mock", "fixture", "doc", "demo")
 KEY_WORD = ("password", "passwd", "pwd", "secret", "token", "apikey", "api_key", "access_key", "private_key", "auth")
 
+#: A value of any signs assigned to a key word, from so many characters on, is a candidate as well.
+SHORTEST_ASSIGNED = 6
+ASSIGNED = re.compile(
+    r"(?:%s)[A-Za-z0-9_\-]*[\"']?\s*[:=]\s*(?:\"([^\"\n]{%d,})\"|'([^'\n]{%d,})'|[\"']?([^\s\"']\S{%d,}))"
+    % ("|".join(KEY_WORD), *[SHORTEST_ASSIGNED] * 2, SHORTEST_ASSIGNED - 1), re.IGNORECASE)
+
 FEATURES = (
     "length", "digits", "upper", "lower", "signs", "changes", "longest_run", "entropy", "hex",
     "transition", "dictionary", "slashes", "enclosed_extra", "sample_path", "path_depth",
@@ -39,7 +48,7 @@ FEATURES = (
 
 @dataclass(frozen=True)
 class Corpus:
-    """What the features need from the collection: its commonest words and its letter transitions."""
+    """What the features need from the collection: its words and its letter transitions."""
 
     words: frozenset[str]
     transitions: np.ndarray
@@ -62,29 +71,57 @@ class Corpus:
         return hit / max(len(low), 1)
 
 
+#: Letters without case 0-25, digits 26, everything else 27.
+_CODES = np.full(128, 27)
+_CODES[48:58] = 26
+_CODES[65:91] = _CODES[97:123] = np.arange(26)
+
+
 def _code(c: str) -> int:
-    """Letters without case 0-25, digits 26, everything else 27."""
-    low = c.lower()
-    return ord(low) - 97 if "a" <= low <= "z" else 26 if c.isdigit() else 27
+    return int(_CODES[ord(c)]) if ord(c) < 128 else 27
 
 
 def _kind(c: str) -> int:
     return 0 if c.isdigit() else 1 if "A" <= c <= "Z" else 2 if "a" <= c <= "z" else 3
 
 
-def corpus(docs: DataFrame, text: str = "text", words: int = DICTIONARY) -> Corpus:
-    """The ``words`` commonest letter words of all texts (3 to 12 letters), and how letters follow in them.
+def _pairs(text: str) -> np.ndarray:
+    """How often each code follows each within the runs without white space of a text, as 784 numbers."""
+    points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+    codes = _CODES[np.minimum(points, 127)]
+    solid = (points > 32) & (points != 127)
+    both = solid[1:] & solid[:-1]
+    return np.bincount((codes[:-1] * 28 + codes[1:])[both], minlength=784)
+
 
-    Counted over all documents in Spark; only the dictionary, a documented number of words, is collected.
+def corpus(docs: DataFrame, text: str = "text", lang: str = "lang", docs_least: int = WORD_DOCS,
+           share: float = WORD_SHARE) -> Corpus:
+    """The letter words (3 to 12 letters) that enough documents of a language hold, and how characters follow.
+
+    Counted over all documents in Spark. 784 sums of transitions are collected, and the dictionary, whose size
+    ``share`` bounds. Without the column ``lang`` all documents are of one language.
     """
-    letters = docs.select(F.explode(F.split(F.lower(F.coalesce(F.col(text), F.lit(""))), "[^a-z]+")).alias("word"))
-    counts = letters.where(F.length("word").between(3, 12)).groupBy("word").count()
-    rows = counts.orderBy(F.desc("count"), "word").limit(words).collect()
-    table = np.ones((28, 28))
-    for r in rows:
-        codes = [_code(c) for c in r["word"]]
-        for a, b in zip(codes, codes[1:], strict=False):
-            table[a, b] += r["count"]
+    tongue = F.coalesce(F.col(lang).cast("string"), F.lit("")) if lang in docs.columns else F.lit("")
+    body = F.coalesce(F.col(text), F.lit(""))
+    own = F.filter(F.array_distinct(F.split(F.lower(body), "[^a-z]+")), lambda w: F.length(w).between(3, 12))
+    counts = docs.select(tongue.alias("lang"), F.explode(own).alias("word")).groupBy("lang", "word").count()
+    totals = docs.groupBy(tongue.alias("lang")).agg(F.count(F.lit(1)).alias("total"))
+    rows = counts.join(totals, "lang").where(
+        (F.col("count") >= docs_least) & (F.col("count") >= share * F.col("total"))).select("word").distinct().collect()
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(784, np.int64)
+        for batch in batches:
+            for t in batch.column("_text").to_pylist():
+                total += _pairs(t)
+        met = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(met, pa.int64()), pa.array(total[met], pa.int64())], names=["pair", "times"])
+
+    schema = schema_of(("pair", T.LongType()), ("times", T.LongType()))
+    table = np.ones(784)
+    for r in docs.select(body.alias("_text")).mapInArrow(work, schema).groupBy("pair").agg(F.sum("times").alias("times")).collect():
+        table[r["pair"]] += r["times"]
+    table = table.reshape(28, 28)
     return Corpus(frozenset(r["word"] for r in rows), np.log(table / table.sum(axis=1, keepdims=True)))
 
 
@@ -132,14 +169,41 @@ def _shape(value: str, enclosing: str, path: str, known: Corpus) -> list[float]:
     ]
 
 
-def _found(text: str, path: str, known: Corpus) -> Iterator[tuple[int, int, str, str, str, list[float]]]:
-    """(start, stop, value, text before, word after, shape) of each candidate of a text."""
+def _spans(text: str) -> list[tuple[int, int]]:
+    """Spans of the candidates in order; of overlapping ones the whole value assigned to a key word counts."""
+    assigned, at = [], 0
+    while m := ASSIGNED.search(text, at):
+        k = next(i for i in (1, 2, 3) if m[i] is not None)
+        a, b = m.span(k)
+        if k == 3:
+            b = a + max(len(m[k].rstrip("\"'`.,;:)]}>")), SHORTEST_ASSIGNED)
+        assigned.append((a, b))
+        at = b
+    out, k = [], 0
     for m in CANDIDATE.finditer(text):
         a, b = m.span()
+        while k < len(assigned) and assigned[k][1] <= a:
+            out.append(assigned[k])
+            k += 1
+        if k < len(assigned) and assigned[k][0] < b:
+            if assigned[k][0] <= a and b <= assigned[k][1]:
+                continue   # within the value, which comes whole
+            if a <= assigned[k][0] and assigned[k][1] <= b:
+                k += 1     # the run is the longer one
+            else:
+                assigned[k] = (min(a, assigned[k][0]), max(b, assigned[k][1]))
+                continue
+        out.append((a, b))
+    return sorted({*out, *assigned[k:]})
+
+
+def _found(text: str, path: str, known: Corpus) -> Iterator[tuple[int, int, str, str, str, list[float]]]:
+    """(start, stop, value, text before, word after, shape) of each candidate of a text."""
+    for a, b in _spans(text):
         left = text[max(0, a - 48) : a]
         right = text[b : b + 32]
-        enclosing = re.search(r"\S*$", left)[0] + m[0] + re.match(r"\S*", right)[0]
-        yield a, b, m[0], left, _word(right, False), _shape(m[0], enclosing, path, known)
+        enclosing = re.search(r"\S*$", left)[0] + text[a:b] + re.match(r"\S*", right)[0]
+        yield a, b, text[a:b], left, _word(right, False), _shape(text[a:b], enclosing, path, known)
 
 
 @dataclass(frozen=True)

@@ -62,3 +62,20 @@ def test_odd_rows(odd, nothing, model):
     assert sorted(map(str, (r["text"] for r in out.collect()))) == sorted(str(o[1]) for o in ODD)
     empty = secret_scan.train(nothing)
     assert empty.feature == [] and secret_scan.findings(odd, empty).count() == 0
+
+
+def test_short_and_odd_values_after_key_words_are_candidates():
+    def values(text):
+        return [text[a:b] for a, b in secret_scan._spans(text)]
+
+    assert values("password=hunter42 and pwd: 'p@ss w0rd' or Secret = \"a!b#c$d\", done") == ["hunter42", "p@ss w0rd", "a!b#c$d"]
+    assert values("token=p@ss!0123456789abcdef0123, plain words") == ["p@ss!0123456789abcdef0123"]
+    long = "0123456789abcdef0123456789abcdef01234567"
+    assert values(f"{long} token={long}. pwd=abc") == [long, long]
+
+
+def test_corpus_counts_all_texts_and_languages(spark):
+    rows = [(k, "the common words " * 50 + "7+7+7", "en") for k in range(40)] + [(k, "zwölf wörter selten", "de") for k in range(2)]
+    known = secret_scan.corpus(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert {"common", "selten"} <= known.words
+    assert known.transitions[26, 27] > known.transitions[26, 26] and known.transitions[27, 26] > known.transitions[27, 27]
