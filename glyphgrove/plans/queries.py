@@ -273,7 +273,7 @@ def root_mean_descriptor(spark, sf_dir):
 
 @query
 def kmeans_baseline(spark, sf_dir):
-    _, placed = population.kmeans_baseline(inputs.bytes_(spark, sf_dir), k=16, attempts=3)
+    _, placed = population.kmeans_baseline(inputs.bytes_(spark, sf_dir))
     return placed.groupBy("cluster").agg(F.count(F.lit(1)).alias("members"))
 
 
