@@ -104,27 +104,30 @@ def _whole(words: list[str], anchor: int) -> Column:
     return F.transform(hits, lambda p: p - anchor)
 
 
-def _aligned(t: Template, anchors: list[tuple[str, int, float]]) -> Column:
-    """(weight, start) of the best alignment of a notice: most anchor weight at one start.
+def _aligned(t: Template, anchors: list[tuple[str, int, float]], enough: float) -> Column:
+    """(best, starts) of a notice: most anchor weight at one start, and all starts with ``enough`` of the weight.
 
     Each occurrence of an anchor votes for the start it implies; the votes are sorted and added up in one
-    pass. Equal weights go to the later start.
+    pass.
     """
+    need = F.lit(sum(v for _, _, v in anchors))
+
     def vote(word: str, at: int, value: float) -> Column:
         own = F.filter("_places", lambda p: F.get("_words", p) == word)
         return F.transform(own, lambda p: F.struct((p - at).alias("start"), F.lit(value).alias("weight")))
 
     votes = F.flatten(F.array(*[vote(*a) for a in anchors]))
     zero = F.struct(F.lit(-1 << 30).alias("start"), F.lit(0.0).alias("sum"),
-                    F.lit(0.0).alias("best"), F.lit(-1).alias("at"))
+                    F.lit(0.0).alias("best"), F.array().cast("array<int>").alias("starts"))
 
     def add(acc: Column, vote: Column) -> Column:
-        total = F.when(acc["start"] == vote["start"], acc["sum"]).otherwise(0.0) + vote["weight"]
-        better = total >= acc["best"]
+        before = F.when(acc["start"] == vote["start"], acc["sum"]).otherwise(0.0)
+        total = before + vote["weight"]
+        reached = (total / need >= enough) & ((before / need < enough) | (acc["start"] != vote["start"]))
         return F.struct(
             vote["start"].alias("start"), total.alias("sum"),
-            F.when(better, total).otherwise(acc["best"]).alias("best"),
-            F.when(better, vote["start"]).otherwise(acc["at"]).alias("at"))
+            F.greatest(total, acc["best"]).alias("best"),
+            F.when(reached, F.concat(acc["starts"], F.array(vote["start"]))).otherwise(acc["starts"]).alias("starts"))
 
     return F.aggregate(F.array_sort(votes), zero, add)
 
@@ -135,8 +138,8 @@ def scan(docs: DataFrame, index: Index, id_column: str = "doc_id", text: str = "
 
     Words are runs of letters, digits and characters beyond ASCII, A-Z lower-cased. Each text looks up the
     places of its index words; a phrase is counted where its words stand around its rarest one, a notice is
-    named where the anchors' votes meet in one start with ``enough`` of their weight and the mandatory words
-    stand at their relative positions. ``score`` is the best share of weight, 1 for a phrase. Null and empty
+    named where the anchors' votes meet in a start with ``enough`` of their weight and the mandatory words
+    stand at their relative positions there; every such start is tried. ``score`` is the best share of weight, 1 for a phrase. Null and empty
     texts have no words, null places, empty labels and score 0. Repeated rows and null ids are rows like
     others. Extra columns are ignored; no rows give no rows. No shuffle: all work is inside the row.
     """
@@ -153,7 +156,7 @@ def scan(docs: DataFrame, index: Index, id_column: str = "doc_id", text: str = "
         if t.whole:
             base.append((t, _whole(t.words, own[0][1])))
         else:
-            notices.append((t, own, _aligned(t, own)))
+            notices.append((t, own, _aligned(t, own, enough)))
     rows = rows.select(
         "*", *[s.alias(f"_base{k}") for k, (_, s) in enumerate(base)],
         *[F.when(F.size("_places") > 0, a).alias(f"_note{k}") for k, (_, _, a) in enumerate(notices)])
@@ -164,7 +167,7 @@ def scan(docs: DataFrame, index: Index, id_column: str = "doc_id", text: str = "
         best = F.col(f"_note{k}")
         share = F.coalesce(best["best"] / F.lit(sum(v for _, _, v in own)), F.lit(0.0))
         shares.append(share)
-        sure = (share >= enough) & _stands("_words", best["at"] + offset, t.key)
+        sure = F.exists(best["starts"], lambda at: _stands("_words", at + offset, t.key))
         named.append(F.when(sure, F.lit(t.label)))
     all_starts = F.concat(*[F.col(f"_base{k}") for k in range(len(base))])
     own_names = [F.when(F.size(f"_base{k}") > 0, F.lit(t.label)) for k, (t, _) in enumerate(base)]

@@ -58,3 +58,11 @@ def test_odd_rows(odd, nothing):
         assert got in [brute(o[1]) for o in ODD if o[0] == i]
         assert r["labels"] == "" and 0 <= r["score"] <= 1
     assert found(nothing) == []
+
+
+def test_an_altered_notice_after_a_true_one_hides_nothing(spark):
+    mit = license_scan.NOTICES[0][0]
+    altered = mit.replace("permission is", "permission was")
+    rows = [(1, mit), (2, f"{mit}. {altered}"), (3, f"{altered}. {mit}"), (4, f"{altered}. {altered}")]
+    labels = {i: r["labels"] for i, _, r in found(spark.createDataFrame(rows, "doc_id long, text string"))}
+    assert labels[1] and labels[1] == labels[2] == labels[3] and labels[4] == ""
