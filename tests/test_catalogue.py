@@ -27,7 +27,8 @@ def test_query(spark, duck, name):
     got = entry.queries()[name](spark, SF).toPandas()
     sql = entry.oracle_sql().get(name)
     if sql is None:
-        assert len(got.columns) > 0  # a report of findings may be empty on the smallest tables
+        # only the smallest tables hold no secrets
+        assert len(got) > 0 or name == "op10_secret_scan"
         return
     want = duck.execute(sql).df()
     assert sorted(got.columns) == sorted(want.columns)
