@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from glyphgrove.llm import (
-    chat, fingerprints, hilbert, license_scan, line_quality, mixing, near_dedup, packing, secret_scan, toxicity,
+    chat, fingerprints, hilbert, lexical_search, license_scan, line_dedup, line_quality, mixing, near_dedup, packing,
+    periodic_runs, secret_scan, toxicity,
 )
 from glyphgrove.llm.common import read
 
@@ -68,6 +70,50 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.findings(docs, secret_scan.train(docs))
 
 
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = periodic_runs.find_runs(with_periods(read(spark, sf_dir, "documents").select("doc_id", "text")))
+    best = F.array_max(F.transform("runs", lambda r: F.struct(
+        r["length"].alias("length"), (-r["start"]).alias("start"), (-r["period"]).alias("period"))))
+    listing = F.transform("runs", lambda r: F.concat_ws(",", r["start"], r["length"], r["period"]))
+    found = found.withColumn("_best", best)
+    start, length, period = -F.col("_best.start"), F.col("_best.length"), -F.col("_best.period")
+    return found.select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), start.alias("start"), length.alias("length"),
+        period.alias("period"), F.floor(1000 * length / period).alias("exponent_milli"),
+        F.sha2(F.array_join(F.transform(listing, lambda x: F.concat(x, F.lit("\n"))), ""), 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
+def with_periods(docs: DataFrame) -> DataFrame:
+    """The texts to be searched: where crc32(doc_id) ends in 0, the words from some place on repeat with some period."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = batch.column("text").to_pylist()
+            for k, h in enumerate(batch.column("h").to_pylist()):
+                if h is not None and h % 10 == 0 and (words := (texts[k] or "").encode().split()):
+                    g, n = h // 10, len(words)
+                    a = g % n
+                    p = 1 + (n - a) // (3 + g % 8)
+                    texts[k] = b" ".join(words[:a] + [words[a + i % p] for i in range(n - a)]).decode()
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(texts, pa.string())], names=["doc_id", "text"])
+
+    hashed = docs.select("doc_id", F.col("text").cast("string"), F.crc32(F.col("doc_id").cast("string").cast("binary")).alias("h"))
+    return hashed.mapInArrow(work, "doc_id long, text string")
+
+
+def op12_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    index = line_dedup.LineIndex.create(spark, min_docs=10, min_chars=1).insert(docs)
+    return index.drop_lines(docs).select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
+
+
+def op13_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    index = lexical_search.build(read(spark, sf_dir, "documents"))
+    return lexical_search.search(index, read(spark, sf_dir, "benchmark"), top=20)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_fingerprints": op1_fingerprints,
     "op2_toxicity": op2_toxicity,
@@ -79,9 +125,14 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_packing": op8_packing,
     "op9_line_quality": op9_line_quality,
     "op10_secret_scan": op10_secret_scan,
+    "op11_periodic_runs": op11_periodic_runs,
+    "op12_line_dedup": op12_line_dedup,
+    "op13_lexical_search": op13_lexical_search,
 }
 
 #: DuckDB SQL for the queries that SQL can express.
 ORACLES: dict[str, str] = {
     "op9_line_quality": line_quality.ORACLE,
+    "op12_line_dedup": line_dedup.ORACLE,
+    "op13_lexical_search": lexical_search.ORACLE,
 }
