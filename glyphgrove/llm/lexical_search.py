@@ -19,7 +19,7 @@ from glyphgrove.llm.common import materialise, schema_of, slices, token_hashes
 #: Documents returned for a query.
 TOP = 20
 #: Cells of a sketch for each distinct term, fewest and most of them. A cell holds a bound in steps of STEP.
-CELLS, LEAST, MOST, STEP = 4, 64, 1 << 16, 4000
+CELLS, LEAST, MOST, STEP = 8, 64, 1 << 17, 4000
 #: Text of the queries that one pass over the index answers, documents rescored at once, sketch bytes at once.
 QUERY_BYTES, RESCORE, SKETCH_BYTES = 4 << 20, 64, 16 << 20
 #: Ways the rows of one query are split before the last ranking.
@@ -45,8 +45,10 @@ def cell_count(distinct: np.ndarray) -> np.ndarray:
     return np.clip(2 ** bits, LEAST, MOST).astype(np.int64)
 
 
-def _cell(terms: np.ndarray, cells) -> np.ndarray:
-    return ((terms >> np.uint64(20)) & (np.uint64(cells) - np.uint64(1))).astype(np.int64)
+def _cells_of(terms: np.ndarray, cells) -> tuple[np.ndarray, np.ndarray]:
+    """The two cells of each term: both are no less than its impact, so the lesser one bounds it."""
+    last = np.uint64(cells) - np.uint64(1)
+    return tuple(((terms >> np.uint64(shift)) & last).astype(np.int64) for shift in (8, 36))
 
 
 def impacts_of(tf: np.ndarray, n: np.ndarray, documents: int, terms: int) -> np.ndarray:
@@ -101,9 +103,10 @@ def build(docs: DataFrame, id_column: str = "doc_id", text: str = "text") -> Ind
                 impacts = impacts_of(tf, np.repeat(n, distinct), documents, terms)
                 cells = np.where(distinct > 0, cell_count(distinct), 0)
                 ends = np.cumsum(cells)
-                cell = np.repeat(ends - cells, distinct) + _cell(words, np.repeat(np.maximum(cells, 1), distinct))
+                base, bound = np.repeat(ends - cells, distinct), (-(-impacts // STEP)).astype(np.uint8)
                 sketch = np.zeros(int(ends[-1]) if len(ends) else 0, np.uint8)
-                np.maximum.at(sketch, cell, (-(-impacts // STEP)).astype(np.uint8))
+                for cell in _cells_of(words, np.repeat(np.maximum(cells, 1), distinct)):
+                    np.maximum.at(sketch, base + cell, bound)
                 places = pa.array(np.concatenate([[0], np.cumsum(distinct)]), pa.int32())
                 offsets = np.concatenate([[0], ends]).astype(np.int32)
                 yield pa.RecordBatch.from_arrays([
@@ -161,6 +164,23 @@ def _blocks(sizes: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
             yield cells, rows[a : a + step]
 
 
+def _exact(rows: np.ndarray, ends: np.ndarray, terms: np.ndarray, impacts: np.ndarray, q: _Query) -> np.ndarray:
+    """The scores of some documents: their sorted terms are searched for all terms of the query at once."""
+    shape = (len(rows), len(q.terms))
+    low, high = np.broadcast_to(ends[rows][:, None], shape).copy(), np.broadcast_to(ends[rows + 1][:, None], shape)
+    stop, last = high.copy(), len(terms) - 1
+    high = high.copy()
+    while (low < high).any():
+        middle = (low + high) // 2
+        less = (terms[np.minimum(middle, last)] < q.terms) & (low < high)
+        high = np.where(less, high, middle)
+        low = np.where(less, middle + 1, low)
+        high = np.maximum(high, low)
+    at = np.minimum(low, last)
+    met = (low < stop) & (terms[at] == q.terms)
+    return (np.where(met, impacts[at], 0) * q.weights).sum(axis=1)
+
+
 def _search_batch(batch: pa.RecordBatch, queries: list[_Query], best: list[_Best]) -> int:
     """Bring ``best`` up to date with the documents of ``batch``; returns how many pairs were scored exactly."""
     sketches = batch.column("sketch")
@@ -177,8 +197,9 @@ def _search_batch(batch: pa.RecordBatch, queries: list[_Query], best: list[_Best
     for cells, rows in _blocks(sizes):
         table = np.ascontiguousarray(raw[starts[rows][:, None] + np.arange(cells)].T)
         for k, q in enumerate(queries):
+            a, b = _cells_of(q.terms, cells)
             # whole numbers below 2^53, so the sum is exact
-            bounds[k, rows] = (q.weights * STEP).astype(np.float64) @ table[_cell(q.terms, cells)].astype(np.float64)
+            bounds[k, rows] = (q.weights * STEP).astype(np.float64) @ np.minimum(table[a], table[b]).astype(np.float64)
     for k, q in enumerate(queries):
         held = best[k]
         todo = np.flatnonzero(bounds[k] >= held.bar)
@@ -188,16 +209,9 @@ def _search_batch(batch: pa.RecordBatch, queries: list[_Query], best: list[_Best
             part = part[bounds[k][part] >= held.bar]
             if not len(part):
                 break
-            found = []
-            for row in part.tolist():
-                own = terms[ends[row] : ends[row + 1]]
-                at = np.searchsorted(own, q.terms)
-                at[at == len(own)] = 0
-                score = int((q.weights * impacts[ends[row] + at])[own[at] == q.terms].sum())
-                if score >= held.bar:
-                    found.append((score, ids[row]))
+            scores = _exact(part, ends, terms, impacts, q)
             scored += len(part)
-            held.add(found)
+            held.add([(int(v), ids[row]) for row, v in zip(part.tolist(), scores.tolist(), strict=True) if v >= held.bar])
     return scored
 
 
