@@ -97,8 +97,8 @@ def custom(name: str, point: Pair, cost: Pair | None = None) -> Metric:
 def from_numpy(name: str, kernel: Kernel, cost_kernel: Kernel | None = None) -> Metric:
     """A metric given by a numpy function ``(rows, vector) -> distances``.
 
-    It runs on Arrow batches, so the medoids of a level must fit the broadcast bound; like any
-    metric without a linear formula its medoid costs are summed block by block.
+    It runs on Arrow batches, with the medoids of a level broadcast or, beyond that bound, cogrouped with the
+    rows of their node; like any metric without a linear formula its medoid costs are summed block by block.
     """
     cost_kernel = cost_kernel or kernel
     return Metric(name, _pairwise(kernel), _pairwise(cost_kernel), None, kernel, cost_kernel)

@@ -70,11 +70,12 @@ def _kernel(metric: str | Metric) -> str | Kernel:
 
 
 def fits_arrow(metric: Metric, table_bytes: int, elements: int) -> bool:
-    """Whether the Arrow form applies: known kernel, bounded table, enough work per row."""
+    """Whether the broadcast Arrow form applies: known kernel, bounded table, enough work per row.
+
+    A metric given in numpy always takes an Arrow form; beyond the bound that is the grouped one.
+    """
     if metric.kernel is not None:
-        if table_bytes > BROADCAST_BYTES:
-            raise ValueError(f"metric {metric.name!r} needs a node table within the broadcast bound")
-        return True
+        return table_bytes <= BROADCAST_BYTES
     known = metric.name in KERNELS and metric.additive is not None
     return known and table_bytes <= BROADCAST_BYTES and elements >= ARROW_ELEMENTS
 

@@ -1,11 +1,13 @@
 """Consensus filter of match pairs: keep the pairs that one planar model per group explains.
 
 Each trial fits four pairs drawn from the whole group, and all pairs of the group vote on every model, in
-blocks; the inlier test of the best model then runs on every pair as a plain column expression.
+blocks; the inlier test of the best model then runs on every pair as a plain column expression. Draws and models are
+closed formulas, so the result can be stated in SQL.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,23 +26,52 @@ BLOCK = 4096
 MODEL = [f"h{i}" for i in range(9)]
 
 
-def _solve(src: np.ndarray, dst: np.ndarray) -> np.ndarray | None:
-    """Homography of four or more point pairs by the direct linear transform."""
-    x, y, u, v = src[:, 0], src[:, 1], dst[:, 0], dst[:, 1]
-    one, nil = np.ones_like(x), np.zeros_like(x)
-    rows = np.concatenate([
-        np.stack([-x, -y, -one, nil, nil, nil, u * x, u * y, u], axis=1),
-        np.stack([nil, nil, nil, -x, -y, -one, v * x, v * y, v], axis=1),
-    ])
-    model = np.linalg.svd(rows)[2][-1].reshape(3, 3)
-    return model if np.isfinite(model).all() else None
+def _turn(a, b, c):
+    """Twice the area of the triangle a, b, c, signed; zero if they lie on a line."""
+    return (b[0] - a[0]) * (c[1] - a[1]) - (c[0] - a[0]) * (b[1] - a[1])
 
 
-def _errors(model: np.ndarray, src: np.ndarray, dst: np.ndarray) -> np.ndarray:
-    mapped = np.column_stack([src, np.ones(len(src))]) @ model.T
+def solve_four(src: np.ndarray, dst: np.ndarray) -> np.ndarray:
+    """Homographies that map four points each, for arrays of shape (samples, 4, 2), up to scale; (samples, 9).
+
+    The fourth point in terms of the first three gives three factors on either side; the map takes each
+    of the three points to its partner, times the quotient of their factors. A sample with three points on
+    a line has no model: its row is not finite.
+    """
+    p, q = [src[:, i].T for i in range(4)], [dst[:, i].T for i in range(4)]
+
+    def factors(e):
+        return _turn(e[3], e[1], e[2]), _turn(e[0], e[3], e[2]), _turn(e[0], e[1], e[3]), _turn(e[0], e[1], e[2])
+
     with np.errstate(divide="ignore", invalid="ignore"):
-        gap = mapped[:, :2] / mapped[:, 2:] - dst
-    return np.where(np.isfinite(gap).all(axis=1), (gap * gap).sum(axis=1), np.inf)
+        fp, fq = factors(p), factors(q)
+        # the whole triangle's area on both sides must not vanish either
+        flat = (fp[3] == 0) | (fq[3] == 0)
+        for f in fq[:3]:
+            flat |= f == 0
+        scale = [b / a for a, b in zip(fp[:3], fq[:3], strict=True)]
+        cross = [
+            (p[j][1] - p[k][1], p[k][0] - p[j][0], p[j][0] * p[k][1] - p[k][0] * p[j][1])
+            for j, k in ((1, 2), (2, 0), (0, 1))
+        ]
+        out = [
+            scale[0] * point[0] * cross[0][c] + scale[1] * point[1] * cross[1][c] + scale[2] * point[2] * cross[2][c]
+            for point in (*[[q[i][axis] for i in range(3)] for axis in (0, 1)], [1.0, 1.0, 1.0])
+            for c in range(3)
+        ]
+    return np.where(flat[:, None], np.nan, np.stack(out, axis=1))
+
+
+def _errors(models: np.ndarray, src: np.ndarray, dst: np.ndarray) -> np.ndarray:
+    """Squared distances models x pairs between mapped points and their partners."""
+    h = models.T[:, :, None]
+    x, y = src.T[:, None, :]
+    with np.errstate(divide="ignore", invalid="ignore"):
+        w = h[6] * x + h[7] * y + h[8]
+        gap_x = (h[0] * x + h[1] * y + h[2]) / w - dst[:, 0]
+        gap_y = (h[3] * x + h[4] * y + h[5]) / w - dst[:, 1]
+        gap = gap_x * gap_x + gap_y * gap_y
+    return np.where(np.isfinite(gap), gap, np.inf)
 
 
 def _error(x: Column, y: Column, u: Column, v: Column) -> Column:
@@ -51,10 +82,18 @@ def _error(x: Column, y: Column, u: Column, v: Column) -> Column:
     return F.when(w != 0, gap_x * gap_x + gap_y * gap_y)
 
 
-def _draws(n: int, trials: int, random_state: int) -> np.ndarray:
-    """Four different row numbers below ``n`` for each trial, the same for the same arguments."""
-    rng = np.random.default_rng([random_state, n])
-    return np.stack([rng.choice(n, 4, replace=False) for _ in range(trials)])
+def draw_numbers(trials: int, random_state: int) -> np.ndarray:
+    """Four numbers below 2^32 for each trial, from a hash of the trial, the place and ``random_state``."""
+    return np.array([
+        [int(hashlib.md5(f"{t}:{k}:{random_state}".encode()).hexdigest()[:8], 16) for k in range(4)]
+        for t in range(trials)
+    ], np.int64)
+
+
+def draws(n: int, numbers: np.ndarray) -> np.ndarray:
+    """Four different row numbers below ``n`` for each trial: one from each quarter of the rows."""
+    edges = np.array([n * k // 4 for k in range(5)])
+    return edges[:-1] + numbers % np.diff(edges)
 
 
 def consensus_models(
@@ -68,8 +107,8 @@ def consensus_models(
     """``(key, h0..h8)``: per group the model with most inliers among all its pairs.
 
     ``pairs`` carry ``src_x, src_y, dst_x, dst_y``. Groups of fewer than four pairs have no model. Every
-    trial fits four pairs drawn from the whole group, and every model is tried on every pair: the group
-    is cut into blocks of ``BLOCK`` pairs whose counts are added up, so no task holds more than one block.
+    trial fits four pairs drawn by hash, one from each quarter of the group in the order of ``identity``, and
+    every model is tried on every pair; most inliers win, then the first trial. The group is cut into blocks of ``BLOCK`` pairs whose counts are added up, so no task holds more than one block.
     """
     kind = pairs.schema[key].dataType.simpleString()
     slim = pairs.select(key, *identity, "src_x", "src_y", "dst_x", "dst_y").filter(F.col(key).isNotNull())
@@ -77,10 +116,12 @@ def consensus_models(
     rows = materialise(rows.select(key, "_i", "src_x", "src_y", "dst_x", "dst_y"), "pairs")
     sizes = rows.groupBy(key).agg(F.count(F.lit(1)).alias("_n")).filter("_n >= 4")
 
+    numbers = draw_numbers(trials, random_state)
+
     def draw(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             for name, n in zip(frame[key], frame["_n"], strict=True):
-                picks = _draws(int(n), trials, random_state)
+                picks = draws(int(n), numbers)
                 yield pd.DataFrame({
                     key: name, "_trial": np.repeat(np.arange(trials), 4), "_i": picks.ravel()})
 
@@ -90,13 +131,14 @@ def consensus_models(
 
     def fit(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            out = []
-            for name, trial, four_ in zip(frame[key], frame["_trial"], frame["_four"], strict=True):
-                points = np.array([[p[c] for c in ("src_x", "src_y", "dst_x", "dst_y")] for p in four_], float)
-                model = _solve(points[:, :2], points[:, 2:])
-                if model is not None:
-                    out.append([name, trial, *model.ravel()])
-            yield pd.DataFrame(out, columns=[key, "_trial", *MODEL])
+            points = np.array([
+                [[p[c] for c in ("src_x", "src_y", "dst_x", "dst_y")] for p in four_] for four_ in frame["_four"]
+            ], float).reshape(-1, 4, 4)
+            models = solve_four(points[:, :, :2], points[:, :, 2:])
+            good = np.isfinite(models).all(axis=1)
+            out = frame.loc[good, [key, "_trial"]].reset_index(drop=True)
+            out[MODEL] = models[good]
+            yield out
 
     columns = ", ".join(f"{c} double" for c in MODEL)
     models = materialise(four.mapInPandas(fit, f"{key} {kind}, _trial int, {columns}"), "models")
@@ -108,8 +150,7 @@ def consensus_models(
         if part.empty or own.empty:
             return pd.DataFrame(columns=[key, "_trial", "_inliers"])
         src, dst = part[["src_x", "src_y"]].to_numpy(float), part[["dst_x", "dst_y"]].to_numpy(float)
-        counts = [
-            int((_errors(m.reshape(3, 3), src, dst) < threshold**2).sum()) for m in own[MODEL].to_numpy(float)]
+        counts = (_errors(own[MODEL].to_numpy(float), src, dst) < threshold**2).sum(axis=1)
         return pd.DataFrame({key: own[key], "_trial": own["_trial"], "_inliers": counts})
 
     counted = placed.groupBy(key, "_block").cogroup(tried.groupBy(key, "_block")).applyInPandas(

@@ -55,20 +55,35 @@ def gain_table(model: Model) -> np.ndarray:
     return np.array(rows)
 
 
-def step(state: tuple[float, float], z: float, k0: float, k1: float) -> tuple[float, float, float]:
-    """Predict, then correct with ``z``: ``(predicted angle, angle, rate)``."""
-    angle, rate = state[0] + state[1], state[1]
-    residual = z - (angle + rate)
-    return angle, angle + k0 * residual, rate + k1 * residual
+def compose(matrices: np.ndarray, shifts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Prefix compositions of the affine maps x -> matrices[t] x + shifts[t], all at once by doubling."""
+    matrices, shifts, reach = matrices.copy(), shifts.copy(), 1
+    while reach < len(matrices):
+        later, earlier = matrices[reach:], matrices[:-reach]
+        moved = np.einsum("tij,tj->ti", later, shifts[:-reach]) + shifts[reach:]
+        joined = later @ earlier
+        shifts[reach:], matrices[reach:] = moved, joined
+        reach *= 2
+    return matrices, shifts
+
+
+def step_maps(z: np.ndarray, first_step: int, table: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Each step (predict, correct with ``z``) as an affine map of the state, and its covariance."""
+    steps = table[np.minimum(np.arange(first_step, first_step + len(z)), len(table) - 1)]
+    k0, k1 = steps[:, 0], steps[:, 1]
+    matrices = np.stack([np.stack([1 - k0, 1 - 2 * k0], 1), np.stack([-k1, 1 - 2 * k1], 1)], 1)
+    return matrices, np.stack([k0 * z, k1 * z], 1), steps[:, 2:]
 
 
-def _track(z: np.ndarray, first_step: int, state: tuple[float, float], table: np.ndarray):
-    steps = table[np.minimum(np.arange(first_step, first_step + len(z)), len(table) - 1)]
-    out = np.empty((len(z), 3))
-    for i, (value, k0, k1) in enumerate(zip(z.tolist(), steps[:, 0].tolist(), steps[:, 1].tolist())):
-        predicted, *state = step(state, value, k0, k1)
-        out[i] = predicted, *state
-    return np.hstack([out, steps[:, 2:]]), tuple(state)
+def track(z: np.ndarray, first_step: int, state: tuple[float, float], table: np.ndarray):
+    """``OUTPUTS`` of each measurement, and the last state."""
+    if not len(z):
+        return np.empty((0, len(OUTPUTS))), state
+    matrices, shifts, covariance = step_maps(z, first_step, table)
+    matrices, shifts = compose(matrices, shifts)
+    states = matrices @ np.array(state) + shifts
+    before = np.vstack([[state], states[:-1]])
+    return np.column_stack([before.sum(axis=1), states, covariance]), tuple(states[-1].tolist())
 
 
 def kalman_track(
@@ -87,10 +102,10 @@ def kalman_track(
     table = gain_table(model)
     outputs = T.StructType([T.StructField(c, T.DoubleType()) for c in OUTPUTS])
 
-    def track(run: list[np.ndarray], state: tuple | None) -> tuple[list[np.ndarray], tuple]:
+    def follow(run: list[np.ndarray], state: tuple | None) -> tuple[list[np.ndarray], tuple]:
         z, steps, angle, rate = run
         state = (float(angle[0]), float(rate[0])) if state is None else state
-        tracked, state = _track(z.astype(float), int(steps[0]) - 1, state, table)
+        tracked, state = track(z.astype(float), int(steps[0]) - 1, state, table)
         return list(tracked.T), state
 
     rows = ordered.rows
@@ -103,21 +118,20 @@ def kalman_track(
             part = part.sort_values("step")
             first = int(part["step"].iloc[0]) - 1
             z = part[value].to_numpy(float)
-            _, moved = _track(z, first, (0.0, 0.0), table)
-            _, left = _track(np.zeros(len(z)), first, (1.0, 0.0), table)
-            _, right = _track(np.zeros(len(z)), first, (0.0, 1.0), table)
+            matrices, shifts = compose(*step_maps(z, first, table)[:2])
             head = part.iloc[[0]][[*keys, CHUNK]].reset_index(drop=True)
-            head[maps] = [left[0], right[0], left[1], right[1], *moved]
+            head[maps] = [*matrices[-1].ravel(), *shifts[-1]]
             return head
 
         def chain(part: pd.DataFrame) -> pd.DataFrame:
-            state, out = np.zeros(2), []
-            for row in part.sort_values(CHUNK).itertuples(index=False):
-                out.append((getattr(row, "chunk_no"), *state))
-                matrix = np.array([[row.m00, row.m01], [row.m10, row.m11]])
-                state = matrix @ state + np.array([row.c0, row.c1])
-            frame = pd.DataFrame(out, columns=[CHUNK, "_angle", "_rate"])
-            return pd.concat([part.iloc[[0]][keys]] * len(out), ignore_index=True).join(frame)
+            part = part.sort_values(CHUNK, ignore_index=True)
+            matrices = part[maps[:4]].to_numpy(float).reshape(-1, 2, 2)
+            # the filter starts at state 0, so the state after a chunk is the shift of its composition
+            _, after = compose(matrices, part[maps[4:]].to_numpy(float))
+            out = part[keys].copy()
+            out[CHUNK] = part["chunk_no"]
+            out[["_angle", "_rate"]] = np.vstack([np.zeros((1, 2)), after[:-1]])
+            return out
 
         doubles = [T.StructField(c, T.DoubleType()) for c in maps]
         summary = rows.select(*ordered.scope, "step", value).groupBy(*ordered.scope).applyInPandas(
@@ -134,5 +148,5 @@ def kalman_track(
     else:
         rows = rows.select("*", F.lit(0.0).alias("_angle"), F.lit(0.0).alias("_rate"))
     inputs = [value, "step", "_angle", "_rate"]
-    tracked = scan(rows, ordered.scope, ["step"], inputs, outputs, track)
+    tracked = scan(rows, ordered.scope, ["step"], inputs, outputs, follow)
     return tracked.select(*df.columns, "step", *OUTPUTS)

@@ -20,8 +20,11 @@ from glyphgrove.operators.assignment import (
     assign, assign_arrow, farthest_arrow, fits_arrow, near_arrow,
 )
 from glyphgrove.operators.dense_update import dense_update, fits_dense
+from glyphgrove.operators.grouped import (
+    assign_grouped, farthest_grouped, fits_grouped, has_kernel, update_grouped,
+)
 from glyphgrove.operators.medoid_cost import Shape, best_candidates, measure
-from glyphgrove.runtime import lookup_join, materialise, pin, vector_bytes
+from glyphgrove.runtime import BROADCAST_BYTES, lookup_join, materialise, pin, vector_bytes
 
 #: Seeding rounds between two writes of the distance to the nearest seed so far.
 REFRESH = 16
@@ -87,7 +90,15 @@ def farthest_first(
         "medoids", _entry(F.size("medoids"), -F.col("_top.neg"), F.col("_top.vector"))
     )
     arrow = fits_arrow(metric, nodes * row_bytes, k * shape.dimension)
+    apart = not arrow and metric.kernel is not None
     for pos in range(1, k):
+        if apart:
+            far = _per_node(farthest_grouped(rows, packs, metric), nodes, farthest)
+            packs = pin(
+                packs.join(far, "node_id").select("node_id", grown.alias("medoids")),
+                nodes, row_bytes, "seeds",
+            )
+            continue
         if arrow:
             if pos - done >= REFRESH:
                 rows, done = materialise(near_arrow(rows, packs, metric, done), "near"), pos
@@ -195,6 +206,8 @@ def _place(
     table_bytes = _pack_bytes(nodes, k, shape)
     if fits_arrow(metric, table_bytes, k * shape.dimension):
         return assign_arrow(points, packs, metric, keep_medoids)
+    if metric.kernel is not None or (has_kernel(metric) and table_bytes > BROADCAST_BYTES):
+        return assign_grouped(points, packs, metric, keep_medoids)
     return assign(points, packs, metric, table_bytes, keep_medoids)
 
 
@@ -212,7 +225,8 @@ def update(
 ) -> DataFrame:
     """One medoid update of every node: ``(node_id, medoids, cost)``.
 
-    Integer vectors of a small value range take the two passes of ``dense_update``. Otherwise the
+    Integer vectors of a small value range take the two passes of ``dense_update`` or, where the tables of all
+    nodes together are beyond the broadcast bound, those of ``update_grouped``. Otherwise the
     assignment is read three times, so it is persisted with ``storage`` until ``keep`` has fixed
     the result; ``storage=None`` recomputes it instead.
 
@@ -225,6 +239,9 @@ def update(
     if fits_dense(metric, nodes * k, shape):
         stay = candidates == "members+medoid"
         return keep(dense_update(points, packs, metric, shape, stay, cost == "all_pairs"))
+    if fits_grouped(metric, k, shape):
+        stay = candidates == "members+medoid"
+        return keep(update_grouped(points, packs, metric, shape, stay, cost == "all_pairs"))
     placed = _place(points, packs, metric, k, nodes, shape, candidates == "members+medoid")
     assigned = placed.select("node_id", "pos", "id", "vector")
     if storage is not None:

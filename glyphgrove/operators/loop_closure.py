@@ -37,8 +37,10 @@ def scored_key_frames(
     """``(query_id, frame_id, time_us, score)``: earlier key frames scoring well against each key frame.
 
     ``keyframes`` are ``(frame_id, time_us)`` with ``time_us`` in microseconds. Scores are divided by the
-    expected score, so the bar for the raw score is known per query before any search.
+    expected score, so the bar for the raw score is known per query before any search. If ``keyframes`` carry a
+    ``stream_id`` too, a frame is only compared with frames of its own stream.
     """
+    streams = ("stream_id",) if "stream_id" in keyframes.columns else ()
     # each of these feeds several branches below; written once, they are not computed again per branch
     keyframes = materialise(keyframes, "keyframes")
     queries = lookup_join(frame_pairs, keyframes, ["frame_id"])
@@ -47,40 +49,47 @@ def scored_key_frames(
     )
     bags = materialise(lookup_join(bow, keyframes, ["frame_id"]), "keyframe_bags")
     bars = expected.select("frame_id", (F.col("expected") * min_normalised).alias("threshold"))
-    hits = similar_frames(
-        bags, bags, bars, carry=("time_us",), admissible=F.col("time_us") < F.col("query_time_us")
-    )
+    earlier = F.col("time_us") < F.col("query_time_us")
+    for c in streams:
+        earlier = earlier & F.col(f"query_{c}").eqNullSafe(F.col(c))
+    hits = similar_frames(bags, bags, bars, carry=("time_us", *streams), admissible=earlier)
     normal = lookup_join(hits, expected.withColumnRenamed("frame_id", "query_id"), ["query_id"])
     return lookup_join(normal, keyframes, ["frame_id"]).select(
         "query_id", "frame_id", "time_us", (F.col("score") / F.col("expected")).alias("score")
     )
 
 
-def best_islands(scored: DataFrame, pool: int = POOL_MICROS, **options) -> DataFrame:
+def best_islands(
+    scored: DataFrame, pool: int = POOL_MICROS, keys: list[str] | None = None, **options
+) -> DataFrame:
     """Scored key frames of each query with ``island_id``, ``island_score`` and ranks.
 
+    ``keys`` name the query, ``query_id`` unless given.
+
     ``island_rank`` orders the islands of a query by score, then by start.
     """
-    grouped = materialise(islands(scored, ["query_id"], "time_us", pool, **options), "islands")
-    totals = grouped.groupBy("query_id", "island_id").agg(
+    keys = keys or ["query_id"]
+    grouped = materialise(islands(scored, keys, "time_us", pool, **options), "islands")
+    totals = grouped.groupBy(*keys, "island_id").agg(
         # rounded, so that equal totals summed in another order stay equal
         F.round(F.sum("score"), 12).alias("island_score"),
         F.count(F.lit(1)).alias("island_frames"),
     )
-    best = totals.groupBy("query_id").agg(
+    best = totals.groupBy(*keys).agg(
         F.max(F.struct("island_score", (-F.col("island_id")).alias("neg"))).alias("_b")
     )
-    rows = lookup_join(grouped, totals, ["query_id", "island_id"])
-    return lookup_join(rows, best, ["query_id"]).select(
+    rows = lookup_join(grouped, totals, [*keys, "island_id"])
+    return lookup_join(rows, best, keys).select(
         *rows.columns, (F.col("island_id") == -F.col("_b.neg")).alias("is_best")
     )
 
 
-def best_frames(island_rows: DataFrame) -> DataFrame:
+def best_frames(island_rows: DataFrame, keys: list[str] | None = None) -> DataFrame:
     """Best frame of the best island of each query, the earliest on ties."""
+    keys = keys or ["query_id"]
     return (
         island_rows.filter("is_best")
-        .groupBy("query_id", "island_id", "island_score", "island_frames")
+        .groupBy(*keys, "island_id", "island_score", "island_frames")
         .agg(
             F.max(
                 F.struct(
@@ -89,7 +98,7 @@ def best_frames(island_rows: DataFrame) -> DataFrame:
             ).alias("_f")
         )
         .select(
-            "query_id", F.col("_f.frame_id").alias("frame_id"), "island_id", "island_score",
+            *keys, F.col("_f.frame_id").alias("frame_id"), "island_id", "island_score",
             "island_frames", F.col("_f.score").alias("score"),
         )
     )

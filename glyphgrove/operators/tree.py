@@ -18,6 +18,7 @@ from glyphgrove.operators.assignment import ARROW_ELEMENTS, descend_arrow, fits_
 from glyphgrove.operators.kmedoids import as_node, farthest_first, fit_nodes
 from glyphgrove.operators.medoid_cost import Shape, measure
 from glyphgrove.operators.ordered import dense_ids
+from glyphgrove.operators.subtree import grow_nodes, local_rows
 from glyphgrove.runtime import lookup_join, materialise, pin, vector_bytes
 
 
@@ -41,12 +42,14 @@ def build_tree(
     k: int = 4,
     metric: str | Metric = "hamming",
     max_depth: int | None = None,
+    local_bytes: int | None = None,
     **options,
 ) -> Tree:
     """Split ``(id, vector)`` into k clusters, and every cluster of more than k members again.
 
     A cluster left too large at ``max_depth`` becomes one word, as an empty one does. ``options``
-    are those of ``fit_nodes``.
+    are those of ``fit_nodes``. The root and nodes of more than ``local_bytes`` of vectors are split by jobs, all
+    nodes of a level in the same ones; smaller nodes go to tasks as they are and are split to their leaves there.
     """
     metric = resolve(metric)
     points = as_node(df)
@@ -55,6 +58,8 @@ def build_tree(
         raise ValueError(f"k={k} needs between 1 and {shape.rows} rows")
     nodes: list[DataFrame] = []
     members: list[DataFrame] = []
+    handed: list[DataFrame] = []
+    small_rows = local_rows(metric, shape, local_bytes)
     depth, open_nodes = 0, 1
     while open_nodes:
         depth += 1
@@ -87,9 +92,18 @@ def build_tree(
         members.append(
             kept.select("node_id", (F.row_number().over(order) - 1).alias("pos"), "id", "vector")
         )
-        wide = level.filter(~F.col("is_leaf")).select("node_id")
+        wide = level.filter(~F.col("is_leaf")).select("node_id", "size")
+        within = wide.filter(F.col("size") <= small_rows).select("node_id")
+        if not within.isEmpty():
+            handed.append(lookup_join(placed, within, ["node_id"], "left_semi", table_bytes=bound * 64))
+        wide = wide.filter(F.col("size") > small_rows).select("node_id")
         open_nodes = wide.count()
         points = lookup_join(placed, wide, ["node_id"], "left_semi", table_bytes=bound * 64, hot=True)
+    if handed:
+        grown_there = materialise(grow_nodes(_stack(handed), k, metric, shape, max_depth, **options), "subtrees")
+        nodes.append(grown_there.filter("kind = 'node'").select(*nodes[0].columns))
+        members.append(grown_there.filter("kind = 'member'").select("node_id", "pos", "id", "vector"))
+        depth = grown_there.agg(F.max("depth")).first()[0]
     return Tree(_stack(nodes), _stack(members), k, depth, shape)
 
 
@@ -209,3 +223,15 @@ def neighbourhood(words_: DataFrame, distance: int = 1) -> DataFrame:
     keyed = words_.select("word_id", ancestor(F.col("word_id"), distance).alias("ancestor_id"))
     below = words_below(words_).withColumnRenamed("word_id", "neighbour_id")
     return keyed.join(below, "ancestor_id").select("word_id", "neighbour_id")
+
+
+def word_ranges(words_: DataFrame, distance: int = 1) -> DataFrame:
+    """``(word_id, word_index, low, high)``: words are numbered depth first, so those near a word are a range.
+
+    The words that share the ancestor ``distance`` levels up are numbered from ``low`` to ``high`` - 1.
+    """
+    listed = words_.select("word_id", "word_index", ancestor(F.col("word_id"), distance).alias("ancestor_id"))
+    below = words_.select(F.explode(prefixes(F.col("word_id"))).alias("ancestor_id"), "word_index")
+    spans = below.groupBy("ancestor_id").agg(
+        F.min("word_index").alias("low"), (F.max("word_index") + 1).alias("high"))
+    return listed.join(spans, "ancestor_id").select("word_id", "word_index", "low", "high")

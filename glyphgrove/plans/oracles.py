@@ -7,6 +7,8 @@ The statements are assembled from common table expressions. They follow the pair
 from __future__ import annotations
 
 from glyphgrove.functions.paths import ROOT
+from glyphgrove.operators.consensus import TRIALS
+from glyphgrove.operators.postings import BLOCK_FRAMES
 from glyphgrove.plans.inputs import FRAME, GAP, K, MIN_POINTS, TREE_K
 from glyphgrove.plans.queries import EXCLUDE_RECENT, MIN_SCORE, POOL
 
@@ -363,6 +365,100 @@ RETRIEVE = select(
     "r.frame_id = f.frame_id AND r.rn = 1",
 )
 
+CLOSURES = [
+    *island_rows(),
+    cte("bf",
+        "SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 12) DESC, time_us) "
+        "AS fn FROM isl JOIN (SELECT * FROM rk WHERE rn = 1) USING (query_id, island_id)"),
+    cte("used", "SELECT DISTINCT frame_id, word_id FROM q"),
+    cte("cov",
+        "SELECT b.query_id, u.word_id, max(CASE WHEN "
+        + below("u.word_id", ancestor("o.word_id"))
+        + " THEN 1 ELSE 0 END) AS hit FROM bf b JOIN used u ON u.frame_id = b.query_id JOIN used o "
+        "ON o.frame_id = b.frame_id WHERE b.fn = 1 GROUP BY 1, 2"),
+    cte("tt", "SELECT query_id, count(*) AS total, sum(1 - hit) AS uncovered FROM cov GROUP BY 1"),
+]
+
+def kmeans(k: int) -> list[str]:
+    """Ten attempts with centres drawn by hash, one update each: ``won(attempt)`` and ``fin(attempt, id, pos, d)``."""
+    placed = (
+        "SELECT attempt, id, pos, d FROM (SELECT c.attempt, v.id, c.pos, round(list_distance(v.v, c.v) * "
+        "list_distance(v.v, c.v), 6) AS d, row_number() OVER (PARTITION BY c.attempt, v.id ORDER BY round("
+        "list_distance(v.v, c.v) * list_distance(v.v, c.v), 6), c.pos) AS rn FROM {centres} c, vec v) WHERE rn = 1"
+    )
+    value = BYTES.replace("CAST(e AS", "CAST(x AS").replace("AS INTEGER)", "AS DOUBLE)")
+    return [
+        cte("vec", f"SELECT vec_id AS id, [{value} for x in embedding] AS v FROM embeddings"),
+        cte("c0",
+            "SELECT attempt, pos, v FROM (SELECT a.range AS attempt, v.v, row_number() OVER (PARTITION BY a.range ORDER BY "
+            "md5(v.id || ':' || a.range || ':0'), v.id) - 1 AS pos FROM vec v, range(10) a) WHERE pos < " + str(k)),
+        cte("p0", placed.format(centres="c0")),
+        cte("mean",
+            "SELECT attempt, pos, list(m ORDER BY j) AS v FROM (SELECT attempt, pos, j, avg(x) AS m FROM (SELECT "
+            "p.attempt, p.pos, unnest(range(len(v.v))) AS j, unnest(v.v) AS x FROM p0 p JOIN vec v USING (id)) GROUP BY "
+            "1, 2, 3) GROUP BY 1, 2"),
+        cte("c1", "SELECT c0.attempt, c0.pos, coalesce(m.v, c0.v) AS v FROM c0 LEFT JOIN mean m USING (attempt, pos)"),
+        cte("fin", placed.format(centres="c1")),
+        cte("won", "SELECT attempt FROM fin GROUP BY attempt ORDER BY round(sum(d), 3), attempt LIMIT 1"),
+    ]
+
+
+def consensus() -> list[str]:
+    """``kept(frame_id, prev_frame_id, pos, prev_pos, inlier)``: draws, models and votes stated pair by pair."""
+
+    def turn(side: str, a: int, b: int, c: int) -> str:
+        x, y = (lambda i: f"p{i}.{side}x"), (lambda i: f"p{i}.{side}y")
+        return f"(({x(b)} - {x(a)}) * ({y(c)} - {y(a)}) - ({x(c)} - {x(a)}) * ({y(b)} - {y(a)}))"
+
+    corners = ((3, 1, 2), (0, 3, 2), (0, 1, 3), (0, 1, 2))
+    areas = ", ".join(f"{turn(s, *c)} AS {s}{i}" for s in "sd" for i, c in enumerate(corners))
+    rows = [["p0.dx", "p1.dx", "p2.dx"], ["p0.dy", "p1.dy", "p2.dy"], ["1.0", "1.0", "1.0"]]
+
+    def cross(i: int, c: int) -> str:
+        j, k = ((1, 2), (2, 0), (0, 1))[i]
+        return (f"(p{j}.sy - p{k}.sy)", f"(p{k}.sx - p{j}.sx)", f"(p{j}.sx * p{k}.sy - p{k}.sx * p{j}.sy)")[c]
+
+    products = ", ".join(f"{row[i]} * 1.0::DOUBLE AS q{r}{i}, {cross(i, r)} AS x{i}{r}" for r, row in enumerate(rows) for i in range(3))
+    entries = ", ".join(
+        f"(d0 / s0) * q{r}0 * x0{c} + (d1 / s1) * q{r}1 * x1{c} + (d2 / s2) * q{r}2 * x2{c} AS h{3 * r + c}"
+        for r in range(3) for c in range(3))
+    nonzero = " AND ".join(f"{s}{i} <> 0" for s in "sd" for i in range(4))
+    point = ("SELECT vec_id // {f} AS frame_id, CAST(vec_id % {f} AS INTEGER) AS pos, CAST(embedding[-2] AS DOUBLE) * 500 AS x, "
+             "CAST(embedding[-1] AS DOUBLE) * 500 AS y FROM embeddings").format(f=FRAME)
+    error = ("((h0 * {t}sx + h1 * {t}sy + h2) / (h6 * {t}sx + h7 * {t}sy + h8) - {t}dx) ** 2 + ((h3 * {t}sx + h4 * {t}sy + h5) / "
+             "(h6 * {t}sx + h7 * {t}sy + h8) - {t}dy) ** 2").format(t="t.")
+    inside = f"coalesce(isfinite({error}) AND {error} < 25, false)"
+    return [
+        *tree_quantised(), FRAMES,
+        cte("firsts", "SELECT frame_id, word_id, min(pos) AS prev_pos FROM q GROUP BY 1, 2"),
+        cte("pt", point),
+        cte("pr",
+            "SELECT q.frame_id, f.prev_frame_id, q.pos, p.prev_pos, a.x AS sx, a.y AS sy, b.x AS dx, b.y AS dy, row_number() OVER "
+            "(PARTITION BY q.frame_id ORDER BY q.pos, p.prev_pos) - 1 AS i, count(*) OVER (PARTITION BY q.frame_id) AS n FROM q "
+            "JOIN fr f USING (frame_id) JOIN firsts p ON p.frame_id = f.prev_frame_id JOIN pt a ON a.frame_id = q.frame_id AND "
+            "a.pos = q.pos JOIN pt b ON b.frame_id = f.prev_frame_id AND b.pos = p.prev_pos WHERE "
+            + below("p.word_id", ancestor("q.word_id"))),
+        cte("dr",
+            "SELECT g.frame_id, t.range AS t, k.range AS k, g.n * k.range // 4 + CAST('0x' || substr(md5(t.range || ':' || k.range "
+            "|| ':0'), 1, 8) AS BIGINT) % (g.n * (k.range + 1) // 4 - g.n * k.range // 4) AS i FROM (SELECT DISTINCT frame_id, n "
+            f"FROM pr WHERE n >= 4) g, range({TRIALS}) t, range(4) k"),
+        cte("pk", "SELECT d.frame_id, d.t, d.k, p.sx, p.sy, p.dx, p.dy FROM dr d JOIN pr p USING (frame_id, i)"),
+        cte("ar",
+            f"SELECT p0.frame_id, p0.t, {areas}, {products} FROM pk p0 JOIN pk p1 ON p1.frame_id = p0.frame_id AND p1.t = p0.t AND p1.k "
+            "= 1 JOIN pk p2 ON p2.frame_id = p0.frame_id AND p2.t = p0.t AND p2.k = 2 JOIN pk p3 ON p3.frame_id = p0.frame_id AND "
+            "p3.t = p0.t AND p3.k = 3 WHERE p0.k = 0"),
+        cte("md", f"SELECT frame_id, t, {entries} FROM ar WHERE {nonzero}"),
+        cte("vt",
+            f"SELECT m.frame_id, m.t, sum(CASE WHEN {inside} THEN 1 ELSE 0 END) AS votes FROM md m JOIN pr t USING (frame_id) GROUP BY 1, 2"),
+        cte("bm",
+            "SELECT m.* FROM md m JOIN (SELECT frame_id, t, row_number() OVER (PARTITION BY frame_id ORDER BY votes DESC, t) AS rn FROM "
+            "vt) b ON b.frame_id = m.frame_id AND b.t = m.t AND b.rn = 1"),
+        cte("kept",
+            f"SELECT t.frame_id, t.prev_frame_id, t.pos, t.prev_pos, CASE WHEN m.t IS NOT NULL AND {inside} THEN 1 ELSE 0 END AS inlier "
+            "FROM pr t LEFT JOIN bm m USING (frame_id)"),
+    ]
+
+
 MODEL_BAGS = select(
     [*tree_quantised(), *BAG],
     "SELECT frame_id, word_index, round(weight, 6) AS weight FROM bow",
@@ -530,23 +626,36 @@ def oracles() -> dict[str, str]:
             "round(sum(score), 6) AS score FROM ses GROUP BY query_id, s",
         ),
         "loop_closure": select(
-            [
-                *island_rows(),
-                cte("bf",
-                    "SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 12) DESC, time_us) "
-                    "AS fn FROM isl JOIN (SELECT * FROM rk WHERE rn = 1) USING (query_id, island_id)"),
-                cte("used", "SELECT DISTINCT frame_id, word_id FROM q"),
-                cte("cov",
-                    "SELECT b.query_id, u.word_id, max(CASE WHEN "
-                    + below("u.word_id", ancestor("o.word_id"))
-                    + " THEN 1 ELSE 0 END) AS hit FROM bf b JOIN used u ON u.frame_id = b.query_id JOIN used o "
-                    "ON o.frame_id = b.frame_id WHERE b.fn = 1 GROUP BY 1, 2"),
-                cte("tt", "SELECT query_id, count(*) AS total, sum(1 - hit) AS uncovered FROM cov GROUP BY 1"),
-            ],
+            CLOSURES,
             "SELECT b.query_id, b.frame_id, b.island_id, round(b.island_score, 6) AS island_score, "
             "b.island_frames, round(b.score, 6) AS score, t.total, t.uncovered, CASE WHEN t.uncovered = 0 "
             "THEN 1 ELSE 0 END AS closed FROM bf b JOIN tt t USING (query_id) WHERE b.fn = 1",
         ),
+        "stream_process_frame": select(
+            [
+                *CLOSURES,
+                cte("firsts", "SELECT frame_id, word_id, min(pos) AS prev_pos FROM q GROUP BY 1, 2"),
+                cte("mt",
+                    "SELECT q.frame_id, count(*) AS n_matches, string_agg(q.pos || ':' || p.prev_pos, ',' ORDER BY "
+                    "q.pos, p.prev_pos) AS matches FROM q JOIN fr f USING (frame_id) JOIN firsts p ON p.frame_id = "
+                    f"f.prev_frame_id WHERE {below('p.word_id', ancestor('q.word_id'))} AND q.frame_id NOT IN "
+                    "(SELECT frame_id FROM kf) GROUP BY 1"),
+            ],
+            "SELECT f.frame_id, f.seq, CASE WHEN k.frame_id IS NULL THEN 0 ELSE 1 END AS is_key, round(e.score, 6) "
+            "AS expected, coalesce(m.n_matches, 0) AS n_matches, m.matches, b.frame_id AS best_frame, b.island_id, "
+            "round(b.island_score, 6) AS island_score, round(b.score, 6) AS score, t.total, t.uncovered, CASE WHEN "
+            "t.uncovered = 0 THEN 1 WHEN t.uncovered > 0 THEN 0 END AS closed FROM fr f LEFT JOIN kf k ON "
+            "k.frame_id = f.frame_id LEFT JOIN sim e ON e.qf = f.frame_id AND e.f = f.prev_frame_id LEFT JOIN mt m "
+            "ON m.frame_id = f.frame_id LEFT JOIN (SELECT * FROM bf WHERE fn = 1) b ON b.query_id = f.frame_id "
+            "LEFT JOIN tt t ON t.query_id = f.frame_id",
+        ),
+        "stream_index": select(
+            scored(),
+            f"SELECT word_index, seq // {BLOCK_FRAMES} AS block, count(*) AS n_frames, string_agg(CAST(frame_id AS "
+            "VARCHAR), ',' ORDER BY seq) AS frame_ids, round(max(weight), 6) AS most, round(sum(weight), 6) AS total "
+            "FROM bow JOIN (SELECT frame_id, seq FROM fr JOIN kp USING (seq)) USING (frame_id) GROUP BY 1, 2",
+        ),
+        "retrieve_blocks": RETRIEVE,
         "neighbour_words": select(
             [
                 *tree_quantised(),
@@ -556,6 +665,17 @@ def oracles() -> dict[str, str]:
             "SELECT u.frame_id, n.word_id AS neighbour_id, max_by(u.word_id, u.word_index) AS word_id FROM "
             "used u JOIN words n ON " + below("n.word_id", ancestor("u.word_id")) + " GROUP BY 1, 2",
         ),
+        "kmeans_baseline": select(
+            kmeans(1024), "SELECT CAST(pos AS INTEGER) AS cluster, count(*) AS members FROM fin JOIN won USING (attempt) GROUP BY 1"),
+        "kmeans_attempts": select(
+            kmeans(2 * K),
+            "SELECT CAST(c.attempt AS INTEGER) AS attempt, CAST(c.pos AS INTEGER) AS cluster, count(f.id) AS members, "
+            "round(coalesce(sum(f.d), 0), 2) AS dist FROM c0 c JOIN won USING (attempt) LEFT JOIN fin f ON f.attempt = c.attempt AND "
+            "f.pos = c.pos GROUP BY 1, 2"),
+        "match_consensus": select(
+            consensus(), "SELECT frame_id, count(*) AS pairs, CAST(sum(inlier) AS BIGINT) AS tracked FROM kept GROUP BY 1"),
+        "match_inliers": select(
+            consensus(), "SELECT frame_id, prev_frame_id, pos, prev_pos FROM kept WHERE inlier = 1"),
         "kalman_track": KALMAN,
         # a stream must end with the result of its batch twin
         "stream_keyframes": KEYFRAMES,

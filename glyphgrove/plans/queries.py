@@ -10,18 +10,19 @@ from pyspark.sql import functions as F
 
 from glyphgrove.functions import metrics, vectors
 from glyphgrove.operators import (
-    bow, consensus, frames, kalman, kmedoids, loop_closure, matching, population, similarity, tree,
+    bow, consensus, frames, kalman, kmedoids, loop_closure, matching, population, postings, similarity, tree,
 )
 from glyphgrove.operators.assignment import assign
 from glyphgrove.operators.medoid_cost import best_candidates, candidate_costs
 from glyphgrove.operators.ordered import dense_ids
 from glyphgrove.plans import inputs
 from glyphgrove.plans.inputs import K
-from glyphgrove.runtime import lookup_join, materialise, scratch_path
+from glyphgrove.runtime import lookup_join, materialise, scratch_path, vector_bytes
 from glyphgrove.sources import clusters as cluster_files
 from glyphgrove.sources import model as model_files
 from glyphgrove.sources import vocabulary as vocabulary_files
 from glyphgrove.streaming import frames as stream_frames
+from glyphgrove.streaming import process as stream_process
 
 Query = Callable[[SparkSession, str], DataFrame]
 CATALOGUE: dict[str, Query] = {}
@@ -277,6 +278,16 @@ def kmeans_baseline(spark, sf_dir):
     return placed.groupBy("cluster").agg(F.count(F.lit(1)).alias("members"))
 
 
+@query
+def kmeans_attempts(spark, sf_dir):
+    """Few centres, so that the attempts differ: which one wins, at what cost, and its clusters."""
+    centres, placed = population.kmeans_baseline(inputs.bytes_(spark, sf_dir), k=2 * K)
+    sizes = placed.groupBy("cluster").agg(F.count(F.lit(1)).alias("members"), F.sum("dist").alias("dist"))
+    return centres.join(sizes, "cluster", "left").select(
+        "attempt", "cluster", F.coalesce("members", F.lit(0)).alias("members"),
+        F.round(F.coalesce("dist", F.lit(0.0)), 2).alias("dist"))
+
+
 # ---------------------------------------------------------------- vocabulary tree
 
 
@@ -385,6 +396,25 @@ def retrieve_best(spark, sf_dir):
     )
 
 
+@query
+def retrieve_blocks(spark, sf_dir):
+    """The same search through an index of postings blocks, of which most are skipped."""
+    bags = materialise(lookup_join(
+        inputs.bags(spark, sf_dir), inputs.frames(spark, sf_dir).select("stream_id", "frame_id", "seq", "time_us"),
+        ["frame_id"],
+    ), "bags")
+    index = postings.open_index(spark, scratch_path(spark, "postings"))
+    index.append(0, postings.to_blocks(bags))
+    asked = bags.select(
+        "stream_id", F.col("frame_id").alias("query_id"), (F.col("seq") - EXCLUDE_RECENT).alias("until"),
+        "word_index", "weight")
+    best = postings.best_past(index.read(), asked).withColumnRenamed("query_id", "frame_id")
+    listed = inputs.frames(spark, sf_dir).select("frame_id", "seq")
+    score = F.coalesce("score", F.lit(0.0))
+    return listed.join(best, "frame_id", "left").select(
+        "frame_id", "seq", "best_seq", _r(score).alias("score"), vectors.floor_cents(_r(score, 9)).alias("shown"))
+
+
 # ---------------------------------------------------------------- frame streams in batch
 
 
@@ -422,8 +452,7 @@ def match_candidates(spark, sf_dir):
     )
 
 
-@query
-def match_consensus(spark, sf_dir):
+def _consensus(spark, sf_dir):
     rows = inputs.tree_words(spark, sf_dir)
     points = rows.select("frame_id", "pos", "x", "y")
     matched = matching.candidate_matches(rows, inputs.frame_pairs(spark, sf_dir))
@@ -433,8 +462,17 @@ def match_consensus(spark, sf_dir):
     )
     placed = lookup_join(matched, source, ["frame_id", "pos"])
     placed = materialise(lookup_join(placed, target, ["prev_frame_id", "prev_pos"]), "pairs")
-    kept = consensus.consensus_filter(placed, "frame_id", ["pos", "prev_pos"])
-    return consensus.tracked(kept, "frame_id")
+    return consensus.consensus_filter(placed, "frame_id", ["pos", "prev_pos"])
+
+
+@query
+def match_consensus(spark, sf_dir):
+    return consensus.tracked(_consensus(spark, sf_dir), "frame_id")
+
+
+@query
+def match_inliers(spark, sf_dir):
+    return _consensus(spark, sf_dir).filter("inlier").select("frame_id", "prev_frame_id", "pos", "prev_pos")
 
 
 def _key_frames(spark, sf_dir):
@@ -587,13 +625,13 @@ def stream_retrieve(spark, sf_dir):
     grown, vocabulary = inputs.tree_vocabulary(spark, sf_dir)
     levels = tree.level_vectors(grown)
     weights = materialise(bow.word_weights(inputs.tree_words(spark, sf_dir)), "weights")
-    found, bags_path = scratch_path(spark, "found"), scratch_path(spark, "stream-bags")
+    found, index_path = scratch_path(spark, "found"), scratch_path(spark, "stream-index")
 
     def to_bags(batch: DataFrame) -> DataFrame:
         return bow.bag_of_words(tree.quantise(batch, levels, grown.depth), vocabulary, weights)
 
     def consume(stream: DataFrame, checkpoint: str) -> None:
-        writer = stream_frames.retrieve_stream(stream, to_bags, bags_path, found, EXCLUDE_RECENT)
+        writer = stream_frames.retrieve_stream(stream, to_bags, index_path, found, EXCLUDE_RECENT)
         stream_frames.run_available(writer, checkpoint)
 
     _arrivals(spark, _numbered_features(spark, sf_dir), "seq", consume)
@@ -601,3 +639,61 @@ def stream_retrieve(spark, sf_dir):
         "frame_id", "seq", "best_seq", _r("score").alias("score"),
         vectors.floor_cents(_r("score", 9)).alias("shown"),
     )
+
+
+def _processed(spark, sf_dir) -> str:
+    """Run the frame process over the features, arriving in three steps; the folder of its results."""
+    grown, vocabulary = inputs.tree_vocabulary(spark, sf_dir)
+    levels = tree.level_vectors(grown)
+    table_bytes = 4 * levels.count() * vector_bytes(grown.shape.dimension)
+    weights = bow.word_weights(inputs.tree_words(spark, sf_dir))
+    dictionary = materialise(
+        tree.word_ranges(vocabulary).join(weights, "word_id", "left").withColumn(
+            "weight", F.coalesce("weight", F.lit(1.0))),
+        "dictionary")
+    rows = lookup_join(
+        bow.present(inputs.features(spark, sf_dir)),
+        inputs.frames(spark, sf_dir).select(F.col("stream_id").cast("long"), "frame_id", "time_us"), ["frame_id"])
+    folder = scratch_path(spark, "process")
+
+    def consume(stream: DataFrame, checkpoint: str) -> None:
+        quantised = tree.quantise(stream, levels, grown.depth, table_bytes=table_bytes)
+        words = quantised.join(dictionary, "word_id").select(
+            "stream_id", "time_us", "frame_id", F.col("pos").cast("long"), "word_index", "low", "high", "weight")
+        writer = stream_process.process_stream(words, folder, inputs.GAP, inputs.MIN_POINTS, POOL)
+        stream_frames.run_available(writer, checkpoint)
+
+    with stream_frames.state_provider(spark):
+        _arrivals(spark, rows, "time_us", consume)
+    return folder
+
+
+@query
+def stream_process_frame(spark, sf_dir):
+    folder = _processed(spark, sf_dir)
+    keys = ["stream_id", "frame_id"]
+    pair = F.struct("pos", "prev_pos")
+    matches = spark.read.parquet(f"{folder}/matches").groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("n_matches"),
+        F.array_join(F.transform(F.sort_array(F.collect_list(pair)), lambda m: F.concat_ws(
+            ":", m["pos"].cast("string"), m["prev_pos"].cast("string"))), ",").alias("matches"))
+    closed = spark.read.parquet(f"{folder}/closures").select(
+        "stream_id", F.col("query_id").alias("frame_id"), F.col("frame_id").alias("best_frame"), "island_id",
+        "island_score", "score", "total", "uncovered", "closed")
+    frames_ = spark.read.parquet(f"{folder}/frames")
+    return frames_.join(matches, keys, "left").join(closed, keys, "left").select(
+        "frame_id", "seq", F.col("is_key").cast("int").alias("is_key"), _r("expected").alias("expected"),
+        F.coalesce("n_matches", F.lit(0)).alias("n_matches"), "matches", "best_frame", "island_id",
+        _r("island_score").alias("island_score"), _r("score").alias("score"), "total", "uncovered",
+        F.col("closed").cast("int").alias("closed"))
+
+
+@query
+def stream_index(spark, sf_dir):
+    index = postings.open_index(spark, f"{_processed(spark, sf_dir)}/postings").read()
+    rows = postings.merge_blocks(index)
+    return rows.select(
+        "word_index", "block", F.col("frames").alias("n_frames"),
+        _joined(F.col("entries.frame_id")).alias("frame_ids"),
+        _r("most").alias("most"),
+        _r(F.aggregate("entries", F.lit(0.0), lambda a, e: a + e["weight"])).alias("total"))

@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
 import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -59,11 +61,41 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     return f"{scratch_root(spark)}/{label}-{uuid.uuid4().hex}"
 
 
+#: Lists of scratch tables, the innermost collector last.
+_collectors: list[list[str]] = []
+
+
 def materialise(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` once and read it back: cuts lineage, survives executor loss, gives statistics."""
     path = scratch_path(df.sparkSession, label)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    if _collectors:
+        _collectors[-1].append(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._scratch = path
+    return out
+
+
+@contextlib.contextmanager
+def collecting(paths: list[str]) -> Iterator[list[str]]:
+    """Note in ``paths`` the scratch tables that are written inside, so that their owner can delete them."""
+    _collectors.append(paths)
+    try:
+        yield paths
+    finally:
+        _collectors.pop()
+
+
+def delete_scratch(spark: SparkSession, paths: list[str]) -> None:
+    jpath = spark._jvm.org.apache.hadoop.fs.Path
+    for path in paths:
+        target = jpath(path)
+        target.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(target, True)
+
+
+def release(table: DataFrame) -> None:
+    """Delete a table that ``materialise`` wrote; nothing may read it any more."""
+    delete_scratch(table.sparkSession, [table._scratch])
 
 
 def pin(df: DataFrame, rows: int, row_bytes: int, label: str) -> DataFrame:

@@ -5,6 +5,7 @@ Micro-batches must arrive in frame order; within a batch rows may come in any or
 
 from __future__ import annotations
 
+import contextlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -15,11 +16,25 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from glyphgrove.operators import postings
 from glyphgrove.operators.frames import KEYFRAME_GAP, KEYFRAME_POINTS
-from glyphgrove.operators.kalman import OUTPUTS, Model, gain_table, step
+from glyphgrove.operators.kalman import OUTPUTS, Model, gain_table, track
 from glyphgrove.operators.matching import candidate_matches
-from glyphgrove.operators.similarity import retrieve_best
-from glyphgrove.runtime import lookup_join, materialise
+from glyphgrove.runtime import lookup_join, materialise, release
+
+
+STATE_STORE = "spark.sql.streaming.stateStore.providerClass"
+
+
+@contextlib.contextmanager
+def state_provider(spark: SparkSession) -> Iterator[None]:
+    """Streams started inside keep their state in RocksDB, which typed state needs, whatever the session says."""
+    before = spark.conf.get(STATE_STORE, None)
+    spark.conf.set(STATE_STORE, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        yield
+    finally:
+        spark.conf.unset(STATE_STORE) if before is None else spark.conf.set(STATE_STORE, before)
 
 
 def read_frames(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
@@ -44,6 +59,18 @@ def _batch(frames: Iterator[pd.DataFrame], order: list[str]) -> pd.DataFrame:
     return pd.concat(list(frames), ignore_index=True).sort_values(order, ignore_index=True)
 
 
+def pick_key_frames(points: np.ndarray, count: int, inserted: int, gap: int, min_points: int) -> np.ndarray:
+    """Which of the frames numbered from ``count`` + 1 are key frames; one step per key frame, not per frame."""
+    out = np.zeros(len(points), bool)
+    eligible = np.flatnonzero(points > min_points) + count + 1
+    at = np.searchsorted(eligible, inserted + gap + 1, "right")
+    while at < len(eligible):
+        inserted = int(eligible[at])
+        out[inserted - count - 1] = True
+        at = np.searchsorted(eligible, inserted + gap + 1, "right")
+    return out
+
+
 def keyframe_stream(
     frames: DataFrame,
     key: str,
@@ -63,15 +90,9 @@ def keyframe_stream(
     ) -> Iterator[pd.DataFrame]:
         count, last = state.get if state.exists else (0, 0)
         rows = _batch(batches, order)
-        picked = []
-        for i, enough in enumerate((rows[points] > min_points).tolist()):
-            count += 1
-            if enough and count - 1 - last > gap:
-                last = count
-                picked.append((i, count))
-        state.update((count, last))
-        out = rows.iloc[[i for i, _ in picked]].copy()
-        out["seq"] = np.array([c for _, c in picked], dtype=np.int64)
+        picked = np.flatnonzero(pick_key_frames(rows[points].to_numpy(), count, last, gap, min_points))
+        out = rows.iloc[picked].assign(seq=picked + count + 1)
+        state.update((count + len(rows), int(out["seq"].iloc[-1]) if len(out) else last))
         yield out[schema.fieldNames()]
 
     return frames.groupBy(key).applyInPandasWithState(
@@ -97,15 +118,9 @@ def kalman_stream(
     ) -> Iterator[pd.DataFrame]:
         done, angle, rate = state.get if state.exists else (0, 0.0, 0.0)
         rows = _batch(batches, order)
-        out = np.empty((len(rows), len(OUTPUTS)))
-        for i, z in enumerate(rows[value].tolist()):
-            k0, k1, *covariance = table[min(done, len(table) - 1)].tolist()
-            predicted, angle, rate = step((angle, rate), z, k0, k1)
-            out[i] = predicted, angle, rate, *covariance
-            done += 1
-        state.update((done, angle, rate))
-        rows["step"] = np.arange(done - len(rows) + 1, done + 1)
-        rows[OUTPUTS] = out
+        rows[OUTPUTS], (angle, rate) = track(rows[value].to_numpy(float), done, (angle, rate), table)
+        rows["step"] = np.arange(done + 1, done + len(rows) + 1)
+        state.update((done + len(rows), angle, rate))
         yield rows[schema.fieldNames()]
 
     return measurements.groupBy(key).applyInPandasWithState(
@@ -119,10 +134,6 @@ def _store(batch: DataFrame, path: str, batch_id: int) -> None:
     batch.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
 
 
-def _stored(spark: SparkSession, path: str, like: DataFrame) -> DataFrame:
-    return spark.read.schema(like.schema).option("basePath", path).parquet(path).drop("batch")
-
-
 def prev_match_stream(
     features: DataFrame, quantise: Callable[[DataFrame], DataFrame], tails_path: str,
     matches_path: str,
@@ -152,23 +163,33 @@ def prev_match_stream(
 
 
 def retrieve_stream(
-    features: DataFrame, to_bags: Callable[[DataFrame], DataFrame], bags_path: str,
+    features: DataFrame, to_bags: Callable[[DataFrame], DataFrame], index_path: str,
     found_path: str, exclude_recent: int = 100,
 ):
-    """Writer that stores the bags of new frames and looks up their best earlier frame.
+    """Writer that indexes the bags of new frames and looks up their best earlier frame.
 
-    ``features`` carry ``frame_id`` and ``seq``; ``to_bags`` gives ``(frame_id, word_index, weight)``.
+    ``features`` carry ``stream_id``, ``frame_id`` and ``seq``; ``to_bags`` gives ``(frame_id, word_index,
+    weight)``. The index under ``index_path`` grows by a segment per batch; a search reads the bounds of the
+    blocks that hold the words of new frames, and the entries of the blocks that may hold their best frame.
     """
 
     def handle(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        numbers = batch.select("frame_id", "seq").distinct()
-        bags = lookup_join(to_bags(batch), numbers, ["frame_id"])
-        _store(bags, bags_path, batch_id)
-        fresh = spark.read.schema(bags.schema).parquet(f"{bags_path}/batch={batch_id}")
-        known = _stored(spark, bags_path, bags)
-        sequence = known.select("frame_id", "seq").distinct()
-        best = retrieve_best(known.drop("seq"), sequence, exclude_recent, asked=fresh)
-        _store(best, found_path, batch_id)
+        numbers = materialise(
+            batch.groupBy("stream_id", "frame_id", "seq").agg(F.count(F.lit(1)).alias("n")).drop("n"), "numbers")
+        bags = materialise(
+            lookup_join(to_bags(batch), numbers, ["frame_id"]).withColumn("time_us", F.lit(None).cast("long")),
+            "batch-bags")
+        index = postings.open_index(batch.sparkSession, index_path)
+        index.append(batch_id, postings.to_blocks(bags))
+        queries = bags.select(
+            "stream_id", F.col("frame_id").alias("query_id"), (F.col("seq") - exclude_recent).alias("until"),
+            "word_index", "weight")
+        best = postings.best_past(index.read(), queries).withColumnRenamed("query_id", "frame_id")
+        _store(
+            numbers.join(best, ["stream_id", "frame_id"], "left").select(
+                "stream_id", "frame_id", "seq", "best_seq", F.coalesce("score", F.lit(0.0)).alias("score")),
+            found_path, batch_id)
+        for table in (numbers, bags):
+            release(table)
 
     return features.writeStream.foreachBatch(handle)

@@ -241,3 +241,42 @@ def test_seeding_keeps_distances_and_measures_only_new_seeds(spark, monkeypatch)
 def test_a_bound_on_iterations_is_reported(spark, bytes_):
     assert kmedoids.fit(frame(spark, bytes_), 4, "euclidean").converged
     assert not kmedoids.fit(frame(spark, bytes_), 4, "euclidean", max_iter=1).converged
+
+
+@pytest.mark.parametrize("metric", ["hamming", "l1", "l2sq", "euclidean", "manhattan"])
+def test_tables_beyond_the_bound_give_the_same(spark, bytes_, monkeypatch, metric):
+    """Nothing is broadcast: medoids and prices meet the rows of their node in salted groups."""
+    from glyphgrove.operators import dense_update, grouped
+
+    own = metrics.from_numpy(metric, lambda rows, v: np.abs(rows - v).sum(axis=1)) if metric == "manhattan" else metric
+    df = frame(spark, bytes_)
+    want = kmedoids.fit(df, 4, own, max_iter=3)
+    for module in (assignment, dense_update, kmedoids):
+        monkeypatch.setattr(module, "BROADCAST_BYTES", 0)
+    monkeypatch.setattr(grouped, "GROUP_ROWS", 7)
+
+    def never(*_):
+        raise AssertionError("rows became elements")
+
+    if metric != "manhattan":
+        monkeypatch.setattr(kmedoids, "best_candidates", never)
+    got = kmedoids.fit(df, 4, own, max_iter=3)
+    assert got.medoids().orderBy("pos").collect() == want.medoids().orderBy("pos").collect()
+    assert got.costs == want.costs
+    columns = ["id", "pos", "dist"]
+    assert sorted(got.assignment().select(columns).collect()) == sorted(want.assignment().select(columns).collect())
+
+
+def test_several_nodes_beyond_the_bound(spark, bytes_, monkeypatch):
+    from glyphgrove.operators import dense_update, grouped
+    from glyphgrove.operators.medoid_cost import measure
+
+    points = frame(spark, bytes_).select((F.col("id") % 3).cast("string").alias("node_id"), "id", "vector")
+    shape = measure(points)
+    packs = kmedoids.farthest_first(points, 3, "euclidean", nodes=3, shape=shape)
+    metric = metrics.resolve("euclidean")
+    for stay, every in ((False, True), (True, False)):
+        want = dense_update.dense_update(points, packs, metric, shape, stay, every)
+        monkeypatch.setattr(grouped, "GROUP_ROWS", 5)
+        got = grouped.update_grouped(points, packs, metric, shape, stay, every)
+        assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))

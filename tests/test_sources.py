@@ -46,8 +46,9 @@ def test_population_helpers(spark):
     listed = spark.createDataFrame([(2,), (2,)], "id bigint")
     assert [r.id for r in population.gather(df, listed).collect()] == [2]
     spread = spark.range(200).selectExpr("id", "array(id % 2 * 100 + id % 7, id % 5) vector")
-    model, placed = population.kmeans_baseline(spread, k=2, max_iter=5, attempts=3)
-    assert placed.count() == 200
+    centres, placed = population.kmeans_baseline(spread, k=2, max_iter=5, tol=0.0, attempts=3)
+    assert placed.count() == 200 and centres.count() == 2
+    assert all(c.count() == 0 for c in population.kmeans_baseline(spread.limit(0)))
     assert sorted(r["count"] for r in placed.groupBy("cluster").count().collect()) == [100, 100]
 
 

@@ -187,3 +187,35 @@ def test_brute_force_blocks(framed):
         assert (r.hamming, r.prev_pos, r.compared) == (dist, pos, len(there))
         assert r.equal == sum((here == v).all() for v in there.values())
         assert r.l2 == pytest.approx(np.linalg.norm(here - there[pos]))
+
+
+@pytest.mark.parametrize("metric, options", [
+    ("hamming", {}), ("euclidean", {"max_depth": 2, "return_policy": "best", "max_iter": 2}),
+    ("l1", {"candidates": "members+medoid", "cost": "medoid"}), ("far", {}),
+])
+def test_subtrees_in_tasks_equal_the_jobs(spark, metric, options):
+    if metric == "far":
+        metric = metrics.from_numpy("far", lambda rows, vector: np.abs(rows.astype(float) - vector).max(axis=1))
+    values = np.unique(np.random.default_rng(8).integers(0, 5, (40, 6)), axis=0)
+    df = spark.createDataFrame([(i * 3, v.tolist()) for i, v in enumerate(values)], "id bigint, vector array<int>")
+    # nothing in tasks, and nodes of some 12 rows, everything below the root
+    built = [tree.build_tree(df, 4, metric, local_bytes=b, **options) for b in (0, 12 * 8 * 6, None)]
+    nodes = [sorted(map(str, t.nodes.collect())) for t in built]
+    members = [sorted(map(str, t.members.collect())) for t in built]
+    assert nodes[0] == nodes[1] == nodes[2] and members[0] == members[1] == members[2]
+    assert len({t.depth for t in built}) == 1
+
+
+def test_pair_blocks_equal_the_table_of_values(monkeypatch):
+    from glyphgrove.operators import subtree
+    from glyphgrove.operators.medoid_cost import Shape
+
+    rows = np.random.default_rng(2).integers(0, 4, (60, 5))
+    shape = Shape(60, 5, 0, 3, True)
+    for name in ("hamming", "l1", "l2sq", "euclidean"):
+        metric = metrics.resolve(name)
+        found = subtree.fit_local(rows, 4, metric, shape)
+        monkeypatch.setattr(subtree, "TABLE_CELLS", 0)
+        monkeypatch.setattr(subtree, "PAIR_ROWS", 7)
+        assert (subtree.fit_local(rows, 4, metric, shape) == found).all()
+        monkeypatch.undo()
