@@ -22,7 +22,7 @@ from glyphgrove.llm.mixing import number_rows
 #: 50 bands of 7 bins: a pair of similarity 0.8 shares no bucket with probability (1 - 0.8^7)^50 = 8e-6,
 #: a pair of similarity 0.1 shares one with 5e-6.
 BANDS, ROWS = 50, 7
-#: New stars in each bucket that still holds several components after the first confirmation.
+#: Rounds of new stars, one for each bucket that still holds several components; the exact join takes the rest.
 DRAWS = 4
 #: Shingles are ranked by counts in so many cells of their hash, 8 MB in all, packed by so many; a shingle's
 #: members are joined in blocks of about so many.
@@ -245,9 +245,10 @@ def near_duplicates(
 
     Rows with the same set become one node, so groups of copies of any size cost one node. Nodes that
     share a band are candidates; a bucket gives stars, not pairs: all members with its least node and
-    all members with a member drawn by hash. A node's most frequent edge is confirmed first. Where a bucket
-    then still holds several components, edges of its stars and of ``draws`` new stars that lead from one
-    component to another are confirmed. What then still shares a bucket with another component is joined
+    all members with a member drawn by hash. A node's most frequent edge is confirmed first. Then come rounds in
+    which each bucket that still holds several components gives one new star, each node's most frequent edge into another
+    component is confirmed, and linked components become one; they end after ``draws`` rounds or when fewer
+    than half of the edges are links. What then still shares a bucket with another component is joined
     exactly: by the rarest shingles of its set, of which a linked set must hold one, and by how many shingles
     either set has left after it. Sets are confirmed whole, so no false link is made. A link goes unseen only
     if its ends share no bucket and no chain of links joins them otherwise.
@@ -256,6 +257,26 @@ def near_duplicates(
         "doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
 
 
+def _crossing(placed: DataFrame, percent: int, turn: int) -> tuple[DataFrame, DataFrame]:
+    """Entries of the buckets that hold several components, and one candidate edge at most for each of their nodes.
+
+    Each bucket gives the star around a member drawn by hash; a node's edge is the one most of its buckets give
+    that leads into another component: (u, v, a, b) with the components a, b. Buckets are added up before they are
+    joined back, so a bucket of any size is spread over tasks.
+    """
+    member = F.struct("node", "n", "root")
+    ticket = F.struct(F.xxhash64("node", "band", F.lit(turn)).alias("h"), member.alias("m"))
+    several = placed.groupBy("band").agg(
+        F.min("root").alias("_a"), F.max("root").alias("_b"), F.min(ticket).alias("_t")
+    ).where("_a <> _b").select("band", F.col("_t.m").alias("center"))
+    mixed = materialise(placed.join(several, "band"), "mixed")
+    ends = (F.least("root", "center.root").alias("a"), F.greatest("root", "center.root").alias("b"))
+    pairs = _pairs(mixed.where(F.col("root") != F.col("center.root")), percent, "node", *ends)
+    often = pairs.groupBy("node", "u", "v", "a", "b").agg(F.count(F.lit(1)).alias("times"))
+    best = often.groupBy("node").agg(F.max(F.struct("times", "u", "v", "a", "b")).alias("e"))
+    return mixed.drop("center"), best.select("e.u", "e.v", "e.a", "e.b").distinct()
+
+
 def _judged(
     docs: DataFrame, id_column: str, text: str, shingle: int, percent: int, bands: int = BANDS, rows: int = ROWS,
     draws: int = DRAWS, number: Column | None = None,
@@ -287,39 +308,31 @@ def _judged(
     first = materialise(best.select("b.u", "b.v").distinct(), "edges")
     roots = components(materialise(_confirm(first, sets, percent), "links"))
 
-    # buckets that hold several components: the stars so far and new ones around other members, but only
-    # the edges that lead from one component to another
+    # rounds of new stars in buckets that hold several components; from here on a component is one node: its root
     placed = stars.select("band", "node", "n").join(roots, "node", "left").withColumn(
         "root", F.coalesce("root", "node"))
-    member = F.struct("node", "n", "root")
-    mixed = materialise(placed.select(
-        "band", "node", "n", "root", F.min("root").over(bucket).alias("_a"), F.max("root").over(bucket).alias("_b"),
-        F.min(member).over(bucket).alias("least"),
-        *[_drawn(bucket, k, member).alias(f"draw{k}") for k in range(draws + 1)],
-    ).where("_a <> _b").drop("_a", "_b"), "mixed")
-    centers = F.array("least", *[f"draw{k}" for k in range(draws + 1)])
-    apart = F.filter(F.array_distinct(centers), lambda c: c["root"] != F.col("root"))
-    # the others come to the component of a bucket's first draw, most often its largest; what this leaves out
-    # is left to the exact join below
-    crossing = mixed.where(F.col("root") != F.col("draw0.root")).select(
-        "node", "n", "root", F.explode(apart).alias("center"))
-    ends = (F.least("root", "center.root").alias("a"), F.greatest("root", "center.root").alias("b"))
-    more = _pairs(crossing, percent, *ends).distinct().join(first, ["u", "v"], "left_anti")
-    # from here on a component is one node: its root
-    merged = materialise(_merged(materialise(_confirm(more, sets, percent), "links"), "_merged"), "roots")
+    labelled = nodes.select("node", "doc_id").join(roots, "node", "left").select(
+        "node", F.coalesce("root", "node").alias("root"), "doc_id")
+    for turn in range(1, draws + 1):
+        placed, crossing = _crossing(placed, percent, turn)
+        crossing = materialise(crossing, "edges")
+        links = materialise(_confirm(crossing, sets, percent), "links")
+        tried, found = crossing.count(), links.count()
+        if found:
+            merged = materialise(_merged(links, "_merged"), "roots")
+            new = F.coalesce("_merged", "root").alias("root")
+            placed = placed.join(merged, "root", "left").select("band", "node", "n", new)
+            labelled = labelled.join(merged, "root", "left").select("node", new, "doc_id")
+        if 2 * found < tried or not found:
+            break
 
     # the exact rest: all members of buckets that hold several components even now
-    now = mixed.select("band", "node", "root").join(merged, "root", "left").select(
-        "band", "node", F.coalesce("_merged", "root").alias("root"))
+    now = placed.select("band", "node", "root")
     bands_left = now.groupBy("band").agg(F.min("root").alias("_a"), F.max("root").alias("_b")).where("_a <> _b")
     left = now.join(bands_left.select("band"), "band", "left_semi").select("node", "root").distinct()
     rest = materialise(left.join(sets, "node"), "rest")
     last = _merged(materialise(_confirm(_unlinked(rest, percent), sets, percent), "links"), "_last")
 
-    labelled = nodes.select("node", "doc_id").join(roots, "node", "left").select(
-        "node", F.coalesce("root", "node").alias("root"), "doc_id")
-    labelled = labelled.join(merged, "root", "left").select(
-        "node", F.coalesce("_merged", "root").alias("root"), "doc_id")
     labelled = labelled.join(last, "root", "left").select(
         "node", F.coalesce("_last", "root").alias("root"), "doc_id")
     least = labelled.groupBy("root").agg(F.min("doc_id").alias("component_id"))

@@ -9,11 +9,14 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql import Window as W
 
-from glyphgrove.llm.common import materialise, running_position, schema_of, slices, spread
+from glyphgrove.llm.common import materialise, schema_of, slices
+from glyphgrove.runtime import lookup_join
 
 CAPACITY, END = 1024, 2
 #: Choices the search may try beyond a first descent, and fillings it weighs per bin.
@@ -69,20 +72,22 @@ def pieces(
     end: int = END, vocabulary: str = "byte_bpe_50k.json", ranks: str | None = "byte_bpe_50k.tiktoken",
     keep_ids: bool = False,
 ) -> DataFrame:
-    """Cut each document's ids (``end`` appended) into (doc_id, piece, start, length, ids_crc32[, ids]).
+    """Cut each document's ids (``end`` appended) into (doc_id, piece, start, length, ids_crc32, part, rank[, ids]).
 
     Only a document longer than ``capacity`` is cut: into pieces of ``capacity``, the first of which takes
-    what is left over. A null or empty text has the one id ``end``.
+    what is left over. A null or empty text has the one id ``end``. ``rank`` numbers the pieces of each length
+    within the task ``part`` that cut them; both are fixed once the pieces are written.
     """
     columns = [
         ("doc_id", T.LongType()), ("piece", T.IntegerType()), ("start", T.LongType()),
-        ("length", T.LongType()), ("ids_crc32", T.LongType()),
+        ("length", T.LongType()), ("ids_crc32", T.LongType()), ("part", T.IntegerType()), ("rank", T.LongType()),
     ]
     if keep_ids:
         columns.append(("ids", T.ArrayType(T.IntegerType())))
     schema = schema_of(*columns)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        task, met = TaskContext.get().partitionId(), [0] * (capacity + 1)
         for batch in batches:
             for at, part in slices(batch.column("_text")):
                 rows: list[tuple] = []
@@ -94,11 +99,12 @@ def pieces(
                     for k, stop in enumerate(range(cut, len(ids) + 1, capacity)):
                         start = max(0, stop - capacity) if k else 0
                         run = ids[start:stop]
-                        rows.append((name, k, start, len(run), zlib.crc32(run.astype("<u4").tobytes())))
+                        rows.append((name, k, start, len(run), zlib.crc32(run.astype("<u4").tobytes()), task, met[len(run)]))
+                        met[len(run)] += 1
                         if keep_ids:
                             runs.append(run)
                 made = [pa.array([r[i] for r in rows], kind) for i, kind in
-                        enumerate([pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()])]
+                        enumerate([pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64()])]
                 if keep_ids:
                     offsets = np.concatenate([[0], np.cumsum([len(r) for r in runs])]).astype(np.int32)
                     flat = np.concatenate([np.zeros(0, np.uint32), *runs]).astype(np.int32)
@@ -291,16 +297,20 @@ def _segments(patterns: list[Pattern], first: int) -> tuple[np.ndarray, ...]:
 
 
 def place(cut: DataFrame, capacity: int = CAPACITY, nodes: int = NODES) -> DataFrame:
-    """Add sequence_id and offset to a written table of pieces.
+    """Add sequence_id and offset to a written table of pieces, in place of part and rank.
 
     The search sees only how many pieces there are of each length, at most ``capacity`` numbers whatever
     the input; equal lengths are interchangeable, so a piece's number among those of its length says which
-    sequence it joins. Full pieces are sequences of their own.
+    sequence it joins: its rank in its part, behind those of the parts before. The table of these bases has a row
+    per length and part at most; within the broadcast bound the pieces are not shuffled. Full pieces are sequences of their own.
     """
-    spark = cut.sparkSession
-    order = [F.coalesce(F.col(c), F.lit(-1)) for c in ("doc_id", "piece", "start", "ids_crc32")]
-    ranked = running_position(cut, ["length"], order, F.lit(1).cast("long"), "_rank", spread(spark))
-    histogram = {r["length"]: r["count"] for r in cut.groupBy("length").count().collect()}
+    before = W.partitionBy("length").orderBy("part").rowsBetween(W.unboundedPreceding, -1)
+    bases = materialise(cut.groupBy("length", "part").agg(F.count(F.lit(1)).alias("_n")).withColumn(
+        "_base", F.coalesce(F.sum("_n").over(before), F.lit(0))), "bases")
+    ranked = lookup_join(
+        cut, bases.select("length", "part", "_base"), ["length", "part"], table_bytes=64 * bases.count())
+    ranked = ranked.withColumn("_rank", F.col("_base") + F.col("rank")).drop("_base", "part", "rank")
+    histogram = {r["length"]: r["n"] for r in bases.groupBy("length").agg(F.sum("_n").alias("n")).collect()}
     full = histogram.pop(capacity, 0)
     lengths, starts, each, first, offsets = _segments(bin_completion(histogram, capacity, nodes), full)
     shift = 1 << 48
@@ -333,8 +343,8 @@ def pack(docs: DataFrame, id_column: str = "doc_id", text: str = "text", capacit
     """Return (doc_id, piece, start, length, ids_crc32[, ids], sequence_id, offset), one row per piece.
 
     Null and empty texts are the single id ``end``. Repeated rows and null ids are packed like any others;
-    equal rows are interchangeable. Extra columns are ignored; no rows give no rows. Texts are encoded once
-    and not shuffled; the narrow pieces are numbered per length in salted groups.
+    equal rows are interchangeable. Extra columns are ignored; no rows give no rows. Texts are encoded once;
+    neither they nor their ids are shuffled.
     """
     cut = materialise(
         pieces(docs, id_column, text, capacity, end, vocabulary, ranks, keep_ids), "pieces")
