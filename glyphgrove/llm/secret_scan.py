@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from glyphgrove.llm.common import schema_of
+from glyphgrove.llm.common import materialise, schema_of
 from glyphgrove.runtime import scratch_path
 
 #: A candidate is a run of so many characters of keys and encodings.
@@ -35,9 +35,9 @@ KEY_WORD = ("password", "passwd", "pwd", "secret", "token", "apikey", "api_key",
 
 #: A value of any signs assigned to a key word, from so many characters on, is a candidate as well.
 SHORTEST_ASSIGNED = 6
-ASSIGNED = re.compile(
-    r"(?:%s)[A-Za-z0-9_\-]*[\"']?\s*[:=]\s*(?:\"([^\"\n]{%d,})\"|'([^'\n]{%d,})'|[\"']?([^\s\"']\S{%d,}))"
-    % ("|".join(KEY_WORD), *[SHORTEST_ASSIGNED] * 2, SHORTEST_ASSIGNED - 1), re.IGNORECASE)
+VALUE = re.compile(
+    r"\s*(?:\"([^\"\n]{%d,})\"|'([^'\n]{%d,})'|[\"']?([^\s\"']\S{%d,}))" % (*[SHORTEST_ASSIGNED] * 2, SHORTEST_ASSIGNED - 1))
+SIGN = re.compile("[:=]")
 
 FEATURES = (
     "length", "digits", "upper", "lower", "signs", "changes", "longest_run", "entropy", "hex",
@@ -52,16 +52,18 @@ class Corpus:
 
     words: frozenset[str]
     transitions: np.ndarray
+    heads: frozenset[str]
 
     def transition(self, value: str) -> float:
-        codes = [_code(c) for c in value]
-        return float(np.mean([self.transitions[a, b] for a, b in zip(codes, codes[1:], strict=False)] or [0.0]))
+        codes = _codes(value)
+        return float(self.transitions[codes[:-1], codes[1:]].mean()) if len(codes) > 1 else 0.0
 
     def covered(self, value: str) -> float:
         """Share of the characters that the longest dictionary words, from left to right, cover."""
         low, at, hit = value.lower(), 0, 0
         while at < len(low):
-            for size in range(min(12, len(low) - at), 2, -1):
+            # most places start no word: three letters tell
+            for size in range(min(12, len(low) - at), 2, -1) if low[at : at + 3] in self.heads else ():
                 if low[at : at + size] in self.words:
                     hit += size
                     at += size
@@ -71,24 +73,33 @@ class Corpus:
         return hit / max(len(low), 1)
 
 
+#: Letter words that may be in the dictionary: whole runs of a to z.
+WORD = re.compile(r"(?<![a-z])[a-z]{3,12}(?![a-z])")
+
 #: Letters without case 0-25, digits 26, everything else 27.
 _CODES = np.full(128, 27)
 _CODES[48:58] = 26
 _CODES[65:91] = _CODES[97:123] = np.arange(26)
 
 
-def _code(c: str) -> int:
-    return int(_CODES[ord(c)]) if ord(c) < 128 else 27
+#: Digits 0, capitals 1, small letters 2, everything else 3.
+_KINDS = np.full(128, 3)
+_KINDS[48:58], _KINDS[65:91], _KINDS[97:123] = 0, 1, 2
+
 
+def _points(text: str) -> np.ndarray:
+    """Code points, those beyond ASCII as 127."""
+    return np.minimum(np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32), 127)
 
-def _kind(c: str) -> int:
-    return 0 if c.isdigit() else 1 if "A" <= c <= "Z" else 2 if "a" <= c <= "z" else 3
+
+def _codes(text: str) -> np.ndarray:
+    return _CODES[_points(text)]
 
 
 def _pairs(text: str) -> np.ndarray:
     """How often each code follows each within the runs without white space of a text, as 784 numbers."""
-    points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
-    codes = _CODES[np.minimum(points, 127)]
+    points = _points(text)
+    codes = _CODES[points]
     solid = (points > 32) & (points != 127)
     both = solid[1:] & solid[:-1]
     return np.bincount((codes[:-1] * 28 + codes[1:])[both], minlength=784)
@@ -102,44 +113,56 @@ def corpus(docs: DataFrame, text: str = "text", lang: str = "lang", docs_least:
     ``share`` bounds. Without the column ``lang`` all documents are of one language.
     """
     tongue = F.coalesce(F.col(lang).cast("string"), F.lit("")) if lang in docs.columns else F.lit("")
-    body = F.coalesce(F.col(text), F.lit(""))
-    own = F.filter(F.array_distinct(F.split(F.lower(body), "[^a-z]+")), lambda w: F.length(w).between(3, 12))
-    counts = docs.select(tongue.alias("lang"), F.explode(own).alias("word")).groupBy("lang", "word").count()
-    totals = docs.groupBy(tongue.alias("lang")).agg(F.count(F.lit(1)).alias("total"))
-    rows = counts.join(totals, "lang").where(
-        (F.col("count") >= docs_least) & (F.col("count") >= share * F.col("total"))).select("word").distinct().collect()
+    schema = schema_of(("lang", T.StringType()), ("word", T.StringType()), ("pair", T.LongType()), ("times", T.LongType()))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """One scan of the texts: documents a word of a language is in, documents of a language, and pairs of characters."""
         total = np.zeros(784, np.int64)
         for batch in batches:
-            for t in batch.column("_text").to_pylist():
+            held: dict[str, Counter] = {}
+            for own, t in zip(batch.column("_lang").to_pylist(), batch.column("_text").to_pylist(), strict=True):
                 total += _pairs(t)
+                # "" counts the documents
+                held.setdefault(own, Counter()).update({"", *WORD.findall(t.lower())})
+            for own, words in held.items():
+                n = len(words)
+                yield pa.RecordBatch.from_arrays([
+                    pa.array([own] * n, pa.string()), pa.array(list(words), pa.string()), pa.nulls(n, pa.int64()),
+                    pa.array(list(words.values()), pa.int64())], names=schema.names)
         met = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(met, pa.int64()), pa.array(total[met], pa.int64())], names=["pair", "times"])
-
-    schema = schema_of(("pair", T.LongType()), ("times", T.LongType()))
+        yield pa.RecordBatch.from_arrays([
+            pa.nulls(len(met), pa.string()), pa.nulls(len(met), pa.string()), pa.array(met, pa.int64()),
+            pa.array(total[met], pa.int64())], names=schema.names)
+
+    scanned = docs.select(tongue.alias("_lang"), F.coalesce(F.col(text), F.lit("")).alias("_text")).mapInArrow(work, schema)
+    counts = materialise(scanned.groupBy("lang", "word", "pair").agg(F.sum("times").alias("count")), "words")
+    totals = counts.where("word = ''").select("lang", F.col("count").alias("total"))
+    rows = counts.where("word <> ''").join(totals, "lang").where(
+        (F.col("count") >= docs_least) & (F.col("count") >= share * F.col("total"))).select("word").distinct().collect()
     table = np.ones(784)
-    for r in docs.select(body.alias("_text")).mapInArrow(work, schema).groupBy("pair").agg(F.sum("times").alias("times")).collect():
-        table[r["pair"]] += r["times"]
+    for r in counts.where("pair is not null").select("pair", "count").collect():
+        table[r["pair"]] += r["count"]
     table = table.reshape(28, 28)
-    return Corpus(frozenset(r["word"] for r in rows), np.log(table / table.sum(axis=1, keepdims=True)))
+    words = frozenset(r["word"] for r in rows)
+    return Corpus(words, np.log(table / table.sum(axis=1, keepdims=True)), frozenset(w[:3] for w in words))
 
 
-def label(value: str, before: str) -> int | None:
-    """1 or 0 for a candidate whose nature its form settles, else None.
+def label(value: str, before: str) -> tuple[int, bool] | None:
+    """(1 or 0, whether the word before it decided) for a candidate whose nature is settled, else None.
 
     Known key formats and values assigned to a key word are secrets; plain words, numbers, dotted or
-    hyphened words and UUIDs are not.
+    hyphened words and UUIDs are not. A row whose label comes from the word before it is learned from without that
+    word, so that the forest has to tell it by its other features.
     """
     assigned = re.search(r"([A-Za-z_\-]+)[\"']?\s*[:=]\s*[\"']?$", before)
     if re.fullmatch(r"AKIA[0-9A-Z]{16}", value) or re.match(r"(ghp|gho|xox[bp]|sk_live)_?", value):
-        return 1
+        return 1, False
     if assigned and any(k in assigned[1].lower() for k in KEY_WORD) and re.search(r"\d", value):
-        return 1
+        return 1, True
     if re.fullmatch(r"[A-Za-z]+([-_/][A-Za-z]+)*", value) or re.fullmatch(r"[\d\-]+", value):
-        return 0
+        return 0, False
     if re.fullmatch(r"[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}", value):
-        return 0
+        return 0, False
     return None
 
 
@@ -150,14 +173,10 @@ def _word(text: str, last: bool) -> str:
 
 def _shape(value: str, enclosing: str, path: str, known: Corpus) -> list[float]:
     n = len(value)
-    kinds = [_kind(c) for c in value]
-    runs, longest = 1, 1
-    streak = 1
-    for a, b in zip(kinds, kinds[1:], strict=False):
-        streak = streak + 1 if a == b else 1
-        runs += a != b
-        longest = max(longest, streak)
-    share = [kinds.count(k) / n for k in range(4)]
+    kinds = _KINDS[_points(value)]
+    edges = np.concatenate([[0], np.flatnonzero(np.diff(kinds)) + 1, [n]])
+    runs, longest = len(edges) - 1, int(np.diff(edges).max())
+    share = (np.bincount(kinds, minlength=4) / n).tolist()
     counts = Counter(value).values()
     entropy = -sum(c / n * math.log2(c / n) for c in counts)
     low = path.lower()
@@ -169,10 +188,33 @@ def _shape(value: str, enclosing: str, path: str, known: Corpus) -> list[float]:
     ]
 
 
+def _name_before(text: str, low: int, high: int) -> str:
+    """The name in lower case that ends before ``high``, a quote and white space apart; none if there is no name."""
+    i = high
+    while i > low and text[i - 1].isspace():
+        i -= 1
+    if i > low and text[i - 1] in "\"'":
+        i -= 1
+    stop = i
+    while i > low and (text[i - 1] in "_-" or text[i - 1].isascii() and text[i - 1].isalnum()):
+        i -= 1
+    return text[i:stop].lower()
+
+
 def _spans(text: str) -> list[tuple[int, int]]:
     """Spans of the candidates in order; of overlapping ones the whole value assigned to a key word counts."""
-    assigned, at = [], 0
-    while m := ASSIGNED.search(text, at):
+    assigned, at, before = [], 0, 0
+    low = text.lower()
+    for sign in SIGN.finditer(text) if any(k in low for k in KEY_WORD) else ():
+        i = sign.start()
+        # the name before the sign, back to the sign before at most: every character is looked at once
+        name = _name_before(text, before, i)
+        before = i + 1
+        if i < at or not any(k in name for k in KEY_WORD):
+            continue
+        m = VALUE.match(text, i + 1)
+        if not m:
+            continue
         k = next(i for i in (1, 2, 3) if m[i] is not None)
         a, b = m.span(k)
         if k == 3:
@@ -260,7 +302,7 @@ def labelled_findings(
                 for _, _, value, left, right, shape in _found(t or "", p or "", known):
                     mark = label(value, left)
                     if mark is not None:
-                        rows.append((value, _word(left, True), right, shape, mark))
+                        rows.append((value, "" if mark[1] else _word(left, True), right, shape, mark[0]))
             columns = list(zip(*rows, strict=True)) or [()] * 5
             yield pa.RecordBatch.from_arrays(
                 [pa.array(c, k) for c, k in zip(columns, [
@@ -281,7 +323,8 @@ def _odds(words: list[str], marks: np.ndarray) -> dict[str, float]:
     """Smoothed log-odds of a word standing next to a secret rather than to another candidate."""
     good, bad = Counter(), Counter()
     for w, m in zip(words, marks, strict=True):
-        (good if m else bad)[w] += 1
+        if w:
+            (good if m else bad)[w] += 1
     a, b = sum(good.values()) + 1, sum(bad.values()) + 1
     return {w: math.log((good[w] + 0.5) / a / ((bad[w] + 0.5) / b)) for w in {*good, *bad} if good[w] + bad[w] > 1}
 
@@ -386,7 +429,8 @@ def redact(docs: DataFrame, model: Forest, text: str = "text", path: str = "sour
            n_chars: str | None = "n_chars", mark: str = "[SECRET]", accept: float = ACCEPT) -> DataFrame:
     """``docs`` with each accepted secret replaced by ``mark``; no row is dropped, null texts stay null.
 
-    ``n_chars`` is set to the new length in changed rows, where the column exists.
+    ``n_chars`` is set to the new length in changed rows, where the column exists; without the column ``path`` all paths
+    are empty. Repeated rows and null ids are treated like others, other columns stay as they are, no rows give no rows.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
     schema = docs.schema
@@ -395,7 +439,8 @@ def redact(docs: DataFrame, model: Forest, text: str = "text", path: str = "sour
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             asked = pa.RecordBatch.from_arrays(
-                [pa.array(range(batch.num_rows)), batch.column(text), batch.column(path).cast(pa.string())],
+                [pa.array(range(batch.num_rows)), batch.column(text),
+                 batch.column(path).cast(pa.string()) if path in batch.schema.names else pa.nulls(batch.num_rows, pa.string())],
                 names=["_id", "_text", "_path"])
             texts = batch.column(text).to_pylist()
             sizes = batch.column(length).to_pylist() if length else []

@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 import pytest
 
 from glyphgrove.llm import secret_scan
@@ -79,3 +80,61 @@ def test_corpus_counts_all_texts_and_languages(spark):
     known = secret_scan.corpus(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
     assert {"common", "selten"} <= known.words
     assert known.transitions[26, 27] > known.transitions[26, 26] and known.transitions[27, 26] > known.transitions[27, 27]
+
+
+def test_hostile_texts_take_linear_time():
+    import time
+
+    known = secret_scan.Corpus(frozenset({"token", "words"}), np.zeros((28, 28)), frozenset({"tok", "wor"}))
+    for text in ("token" * 200_000, "token= " * 140_000, "token='" * 140_000, 'token="x ' * 110_000, "a:" * 500_000,
+                 "token" + " " * 1_000_000 + "=", "=" * 1_000_000):
+        start = time.time()
+        assert len(text) > 900_000 and sum(1 for _ in secret_scan._spans(text)) < 200_000
+        assert time.time() - start < 4, text[:20]
+    start = time.time()
+    assert len(list(secret_scan._found("token" * 200_000, "", known))) == 1
+    assert time.time() - start < 4
+
+
+def test_precision_and_recall_on_planted_findings_of_several_kinds(spark):
+    """Secrets of four kinds and look-alikes of four kinds, in texts the model has not seen."""
+    rng = random.Random(9)
+    pick = lambda signs, n: "".join(rng.choice(signs) for _ in range(n))
+    hexes, mixed = "0123456789abcdef", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    plain = ["understanding", "internationally", "the", "system", "of", "responsibilities", "characteristics", "words"]
+    secret = {
+        "hex": lambda: f'token = "{pick(hexes, 40)}"', "key": lambda: "AKIA" + pick("ABCDEFGH0123456789", 16),
+        "mixed": lambda: f"password={pick(mixed, 24)}", "github": lambda: "ghp_" + pick(mixed, 36)}
+    harmless = {
+        "uuid": lambda: "-".join(pick(hexes, n) for n in (8, 4, 4, 4, 12)), "number": lambda: pick("0123456789", 20),
+        "words": lambda: "-".join(rng.choice(plain) for _ in range(4)), "path": lambda: "/".join(rng.choice(plain) for _ in range(4))}
+
+    def texts(n, first):
+        rows, kinds = [], {}
+        for i in range(first, first + n):
+            kind = rng.choice([*secret, *harmless])
+            words = [rng.choice(plain) for _ in range(30)]
+            words.insert(15, (secret | harmless)[kind]())
+            rows.append((i, " ".join(words), "src/a"))
+            kinds[i] = kind
+        return rows, kinds
+
+    schema = "doc_id long, text string, source string"
+    trained, _ = texts(500, 0)
+    model = secret_scan.train(spark.createDataFrame(trained, schema))
+    rows, kinds = texts(400, 1000)
+    found = {r["doc_id"] for r in secret_scan.findings(spark.createDataFrame(rows, schema), model).collect()}
+    caught = sum(i in found for i, k in kinds.items() if k in secret) / sum(k in secret for k in kinds.values())
+    wrong = sum(kinds[i] in harmless for i in found) / len(found)
+    assert caught >= 0.95 and wrong <= 0.03, (caught, wrong)
+    prose = [(5000 + k, " ".join(rng.choice(plain) for _ in range(300)), "src/a") for k in range(50)]
+    assert secret_scan.findings(spark.createDataFrame(prose, schema), model).count() == 0
+
+
+def test_redaction_without_a_path(spark, model):
+    rows, _ = make(3, 20)
+    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
+    with_path = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    a = {r["doc_id"]: r["text"] for r in secret_scan.redact(docs, model).collect()}
+    b = {r["doc_id"]: r["text"] for r in secret_scan.redact(with_path, model).collect()}
+    assert a == b
