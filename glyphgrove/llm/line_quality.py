@@ -5,14 +5,16 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from glyphgrove.runtime import materialise
+
 WORD = "[^\\x20\\x09-\\x0D]+"
 WHITE = " \t\n\x0b\f\r"
 SYMBOLS = "#*$%&|<>"
 #: Words a document needs, and the share of its words (percent) that repeated windows may make up.
 MIN_WORDS, MAX_REPEATED = 50, 50
-#: A line is frequent on a host if more of its distinct texts hold it than this number and this percent of
-#: them; a document is depleted if frequent lines leave it fewer than this percent of its words.
-LINE_DOCS, LINE_PERCENT, LEFT_PERCENT = 20, 2, 50
+#: A line is frequent on a host if more of its distinct texts hold it than this number, however many texts it
+#: has; a document is depleted if frequent lines leave it fewer than this percent of its words.
+LINE_DOCS, LEFT_PERCENT = 20, 50
 
 
 def _keyed(docs: DataFrame, text: str, host: str, *more: Column) -> DataFrame:
@@ -59,13 +61,14 @@ def base_counts(rows: DataFrame) -> DataFrame:
 
 def frequent_lines(
     docs: DataFrame, text: str = "text", host: str = "source",
-    line_docs: int = LINE_DOCS, line_percent: int = LINE_PERCENT,
+    line_docs: int = LINE_DOCS,
 ) -> DataFrame:
     """(_host, _hash, _chars, removed_words, removed): the frequent lines of each text that has some.
 
     ``removed`` holds the hashes of its normalised lines that are frequent on its host, ``removed_words``
-    the words of all their occurrences in the text. Copies of a text count once. A line met in a third of all
-    texts is added up inside tasks first, then its one count is joined to the lines.
+    the words of all their occurrences in the text. Copies of a text count once. The texts are split into lines
+    once and the table of lines is written. A line met in a third of all texts is added up inside tasks first, then its
+    one count is joined to the lines.
     """
     rows = _keyed(docs, text, host)
     line = F.explode(F.filter(F.split("_text", "\n", -1), lambda x: x.rlike("[^\\x20\\x09-\\x0D]")))
@@ -73,12 +76,9 @@ def frequent_lines(
         "_host", "_hash", "_chars", F.xxhash64(_normal(F.col("_line"))).alias("_key"),
         F.regexp_count("_line", F.lit(WORD)).alias("_n"))
     # copies of a text come together here; only how many words one of them holds is kept
-    held = lines.groupBy("_host", "_key", "_hash", "_chars").agg(
-        F.sum("_n").alias("_all"), F.count(F.lit(1)).alias("_times"))
+    held = materialise(lines.groupBy("_host", "_key", "_hash", "_chars").agg(F.sum("_n").alias("_all")), "lines")
     texts = rows.groupBy("_host", "_hash", "_chars").agg(F.count(F.lit(1)).alias("_copies"))
-    totals = texts.groupBy("_host").agg(F.count(F.lit(1)).alias("_texts"))
     common = held.groupBy("_host", "_key").agg(F.count(F.lit(1)).alias("_docs")).where(F.col("_docs") > line_docs)
-    common = common.join(totals, "_host").where(100 * F.col("_docs") > line_percent * F.col("_texts"))
     found = held.join(common.select("_host", "_key"), ["_host", "_key"])
     per_text = found.groupBy("_host", "_hash", "_chars").agg(
         F.sum("_all").alias("_all"), F.sort_array(F.collect_list("_key")).alias("removed"))
@@ -88,20 +88,19 @@ def frequent_lines(
 
 def judge(
     docs: DataFrame, id_column: str = "doc_id", text: str = "text", host: str = "source",
-    line_docs: int = LINE_DOCS, line_percent: int = LINE_PERCENT, left_percent: int = LEFT_PERCENT,
+    line_docs: int = LINE_DOCS, left_percent: int = LEFT_PERCENT,
 ) -> DataFrame:
     """Return (doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, left_words, kept).
 
     ``base_failed``: fewer than ``MIN_WORDS`` words, or more than ``MAX_REPEATED`` percent of them in 3-word
     windows met twice. Otherwise a document is kept if its words without the frequent lines are at least
-    ``MIN_WORDS`` and ``left_percent`` percent of all. A line is frequent if more than ``line_docs`` and more
-    than ``line_percent`` percent of the host's distinct texts hold it. Null and empty texts have no words
-    and fail. Null hosts form one host. Repeated rows and null ids are judged by their text like others. Extra
+    ``MIN_WORDS`` and ``left_percent`` percent of all. A line is frequent if more than ``line_docs`` of the host's
+    distinct texts hold it, so texts without it change nothing. Null and empty texts have no words and fail. Null hosts form one host. Repeated rows and null ids are judged by their text like others. Extra
     columns are ignored; no rows give no rows.
     """
     counts = base_counts(_keyed(docs, text, host, F.col(id_column).cast("long").alias("doc_id")))
     counts = counts.drop("_text")
-    lines = frequent_lines(docs, text, host, line_docs, line_percent).drop("removed")
+    lines = frequent_lines(docs, text, host, line_docs).drop("removed")
     joined = counts.join(lines, ["_host", "_hash", "_chars"], "left")
     left = F.col("n_words") - F.coalesce("removed_words", F.lit(0))
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEATED * F.col("n_words"))
@@ -113,10 +112,10 @@ def judge(
 
 def without_frequent_lines(
     docs: DataFrame, text: str = "text", host: str = "source",
-    line_docs: int = LINE_DOCS, line_percent: int = LINE_PERCENT,
+    line_docs: int = LINE_DOCS,
 ) -> DataFrame:
     """``docs`` with the frequent lines taken out of ``text``; null texts stay null, no row goes."""
-    found = frequent_lines(docs, text, host, line_docs, line_percent).select(
+    found = frequent_lines(docs, text, host, line_docs).select(
         F.struct("_host", "_hash", "_chars").alias("_place"), "removed")
     body = F.coalesce(F.col(text), F.lit(""))
     place = F.concat(F.when(F.col(host).isNull(), "0").otherwise("1"), F.coalesce(F.col(host).cast("string"), F.lit("")))
@@ -142,10 +141,8 @@ lines AS (
   SELECT host, t, trim(regexp_replace(regexp_replace(lower(x), '[0-9]', '0', 'g'), '[\\x20\\x09-\\x0D]+', ' ', 'g')) AS k,
          len(regexp_extract_all(x, '[^\\x20\\x09-\\x0D]+')) AS n
   FROM (SELECT host, t, unnest(lw) AS x FROM texts)),
-totals AS (SELECT host, count(*) AS texts FROM texts GROUP BY host),
 common AS (
-  SELECT host, k FROM (SELECT host, k, count(DISTINCT t) AS docs FROM lines GROUP BY host, k) JOIN totals USING (host)
-  WHERE docs > {LINE_DOCS} AND 100 * docs > {LINE_PERCENT} * texts),
+  SELECT host, k FROM (SELECT host, k, count(DISTINCT t) AS docs FROM lines GROUP BY host, k) WHERE docs > {LINE_DOCS}),
 removed AS (SELECT host, t, sum(n) AS gone FROM lines JOIN common USING (host, k) GROUP BY host, t),
 windows AS (
   SELECT host, t, i, ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2] AS win

@@ -46,7 +46,7 @@ def rows_with_a_common_line():
 
 def test_frequent_lines_deplete_documents(spark):
     docs = spark.createDataFrame(rows_with_a_common_line(), "doc_id long, text string, source string")
-    found = {r["doc_id"]: r for r in line_quality.judge(docs, line_docs=20, line_percent=2).collect()}
+    found = {r["doc_id"]: r for r in line_quality.judge(docs, line_docs=20).collect()}
     assert all(not found[k]["kept"] for k in range(5))
     assert all(found[k]["kept"] and found[k]["left_words"] == 200 for k in range(5, 40))
     # a host with few texts and a text copied many times lose nothing
@@ -63,3 +63,13 @@ def test_odd_rows(odd, nothing):
     cleaned = line_quality.without_frequent_lines(odd)
     assert cleaned.columns == odd.columns and cleaned.count() == len(ODD)
     assert line_quality.judge(nothing).count() == 0
+
+
+def test_clean_texts_change_no_other_row(spark):
+    rows = rows_with_a_common_line()
+    schema = "doc_id long, text string, source string"
+    more = [(10_000 + k, " ".join(f"z{k}y{j}".translate(LETTERS) for j in range(80)), "a") for k in range(2500)]
+    before = {r["doc_id"]: r for r in line_quality.judge(spark.createDataFrame(rows, schema)).collect()}
+    after = {r["doc_id"]: r for r in line_quality.judge(spark.createDataFrame(rows + more, schema)).collect()}
+    assert all(after[k] == r for k, r in before.items()) and not before[0]["kept"]
+    assert all(after[r[0]]["kept"] for r in more)
