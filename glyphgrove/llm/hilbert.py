@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from glyphgrove.llm.common import binary_search, materialise
+from glyphgrove.operators.ordered import finish, order_rows, running
+from glyphgrove.runtime import lookup_join
 
 #: Bits per dimension and shards.
 BITS, SHARDS = 6, 40
@@ -48,24 +50,41 @@ def curve_index(cells: np.ndarray, bits: int) -> np.ndarray:
     return out
 
 
-def quantised(df: DataFrame, dims: list[str], bits: int = BITS) -> list[Column]:
-    """A number below 2^bits for each of ``dims``: numbers by quantiles, other values by hash.
+def _category_cells(df: DataFrame, column: str, cells: int) -> DataFrame:
+    """(column, _cell): cells 1 to ``cells`` - 1 for the values of a column that is no number, in the order of the values.
 
-    Numbers keep their order, equal values share a cell, null is cell 0. The quantiles, at most 2^bits - 1
-    numbers a column, are all that reaches the driver.
+    A value's cell follows from how many rows hold lesser values, so cells are even in rows and a common value
+    leaves cells empty behind it. Values are counted and added up in Spark, however many there are.
+    """
+    counted = materialise(df.where(F.col(column).isNotNull()).groupBy(column).agg(F.count(F.lit(1)).alias("_n")), "values")
+    total = counted.agg(F.sum("_n")).first()[0] or 1
+    summed = finish(running(order_rows(counted, [], [column]), {"_upto": F.col("_n")}))
+    before = F.col("_upto") - F.col("_n")
+    return summed.select(column, (1 + F.floor((cells - 1) * before / total)).cast("int").alias("_cell"))
+
+
+def quantised(df: DataFrame, dims: list[str], bits: int = BITS) -> tuple[DataFrame, list[Column]]:
+    """``df`` and a number below 2^bits for each of ``dims``: numbers by quantiles, other values by their order.
+
+    All keep their order, equal values share a cell, null is cell 0. The quantiles, at most 2^bits - 1
+    numbers a column, are all that reaches the driver; the cells of other values are joined, sent only within the
+    broadcast bound.
     """
     cells = 1 << bits
     numbers = [c for c in dims if isinstance(df.schema[c].dataType, T.NumericType)]
     shares = [i / cells for i in range(1, cells)]
     found = df.agg(*[F.percentile_approx(c, shares, 10_000).alias(c) for c in numbers]).first() if numbers else {}
     out = []
-    for c in dims:
+    for k, c in enumerate(dims):
         if c in numbers:
             cell = binary_search(F.col(c), sorted(set(found[c] or [])))
         else:
-            cell = F.pmod(F.xxhash64(c), F.lit(cells))
+            table = materialise(_category_cells(df, c, cells).withColumnRenamed("_cell", f"_cell{k}"), "cells")
+            size = table.agg(F.sum(F.octet_length(F.col(c).cast("string")) + 64)).first()[0] or 0
+            df = lookup_join(df, table, [c], "left", table_bytes=2 * size, hot=True)
+            cell = F.col(f"_cell{k}")
         out.append(F.when(F.col(c).isNull(), 0).otherwise(cell).cast("int"))
-    return out
+    return df, out
 
 
 def _curve(bits: int):
@@ -103,7 +122,7 @@ def shard(rows: DataFrame, dims: list[str], group: list[str], tie: list[str], sh
     least = [F.min(F.struct(*dims)).alias("_least")]
     # the group's row in the middle of nowhere is its least metadata: one small row per group
     groups = rows.groupBy(*group).agg(*least).select(*group, *[F.col(f"_least.{d}").alias(f"_m_{d}") for d in dims])
-    cells = quantised(groups, [f"_m_{d}" for d in dims], bits)
+    groups, cells = quantised(groups, [f"_m_{d}" for d in dims], bits)
     placed = groups.select(*group, _curve(bits)(F.array(*cells)).alias("curve"))
     ranked = ordered_rank(rows.join(placed, group), ["curve", *group, *tie], "_rank")
     total = ranked.count()

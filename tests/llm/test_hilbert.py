@@ -57,3 +57,24 @@ def test_manifest_and_files(documents, tmp_path, spark):
     assert sum("fr" in r["values_lang"] for r in rows) < 8
     hilbert.write_shards(found, str(tmp_path / "out"))
     assert spark.read.parquet(str(tmp_path / "out")).count() == documents.count()
+
+
+def test_cells_keep_the_order_of_values(spark):
+    rows = [(k, s, n) for k, (s, n) in enumerate([("b", 1), ("a", 2), (None, 3), ("d", None), ("c", 9)] * 20 + [("a", 5)] * 60)]
+    df = spark.createDataFrame(rows, "id long, name string, n long")
+    found, cells = hilbert.quantised(df, ["name", "n"], 4)
+    got = {(r["name"], r["n"]): (r["x"], r["y"]) for r in found.select("name", "n", cells[0].alias("x"), cells[1].alias("y")).collect()}
+    names = {k[0]: v[0] for k, v in got.items()}
+    assert names[None] == 0 < names["a"] < names["b"] < names["c"] < names["d"] < 16
+    assert all(v[1] == 0 for k, v in got.items() if k[1] is None)
+    numbers = sorted((k[1], v[1]) for k, v in got.items() if k[1] is not None)
+    assert [c for _, c in numbers] == sorted(c for _, c in numbers)
+
+
+def test_least_and_greatest_values_prune_shards(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    rows = hilbert.manifest(hilbert.shard_documents(docs), ["lang", "source", "size"]).collect()
+    for column, share in (("lang", 0.6), ("source", 0.6)):
+        values = [r[column] for r in docs.select(column).distinct().collect() if r[column] is not None]
+        read = sum(r[f"least_{column}"] <= v <= r[f"most_{column}"] for r in rows for v in values)
+        assert read <= share * len(rows) * len(values), (column, read / len(rows) / len(values))
