@@ -1,4 +1,4 @@
-"""Mixing sources to target weights: blocks, multinomial shard counts, permuted slots, join by index."""
+"""Mixing sources to target weights: blocks, multinomial counts per shard, permuted slots, join by index."""
 
 from __future__ import annotations
 
@@ -14,7 +14,7 @@ from pyspark.sql import types as T
 
 from glyphgrove.llm.common import free_name, materialise, running_position, schema_of, spread
 from glyphgrove.llm.common import mix as scramble
-from glyphgrove.operators.ordered import number, order_rows
+from glyphgrove.operators.ordered import finish, number, order_rows, running
 from glyphgrove.runtime import lookup_join
 
 WORD = "[^\\x20\\x09-\\x0D]+"
@@ -22,6 +22,9 @@ WORD = "[^\\x20\\x09-\\x0D]+"
 #: that the sources take in turn, and the seed of all draws.
 BLOCK, SHARD_SLOTS, PASSES, SHARE, WEIGHTS, SEED = 256, 4096, 2, 1.5, (3.0, 1.0, 2.0), 17
 
+#: Slots that one row of the plan stands for before they are spread.
+CHUNK = 1 << 16
+
 _ROUNDS = scramble(np.arange(1, 5, dtype=np.uint64))
 
 
@@ -78,15 +81,13 @@ def targets(rows: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float
         "source", "source_size", F.least(top.cast("double"), F.col("weight") * F.lit(level)).alias("target"))
 
 
-def _draw(sources: DataFrame, block: int, shards: int, seed: int) -> DataFrame:
-    """(key, nb, full, shard, first, count, cut, ...): how many slots each shard takes of each source.
+def _fill(sources: DataFrame, block: int, seed: int) -> DataFrame:
+    """(key, blocks, size, slots, last_words): how many slots the mix has for each source.
 
-    The number of slots of a source is fixed by its target, so the counts per shard are drawn as multinomial
-    counts given that total. Slots run through whole passes of the source and then through the part of one
-    more pass whose words make up the target; its last block is cut to fit.
+    Slots run through whole passes of the source and then through the part of one more pass whose words make
+    up the target; its last block is cut to fit.
     """
-    schema = schema_of(*[(c, T.LongType()) for c in
-                         ("key", "blocks", "size", "shard", "first", "count", "slots", "last_words")])
+    schema = schema_of(*[(c, T.LongType()) for c in ("key", "blocks", "size", "slots", "last_words")])
 
     def work(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
@@ -112,14 +113,8 @@ def _draw(sources: DataFrame, block: int, shards: int, seed: int) -> DataFrame:
                         more = q + 1 + -(-beyond // block)
                         last = beyond - (more - q - 2) * block
                     slots += more
-                rng = np.random.default_rng([seed, key & 0xFFFFFFFF, (key >> 32) & 0xFFFFFFFF])
-                counts = rng.multinomial(slots, np.full(shards, 1.0 / shards))
-                first = np.cumsum(counts) - counts
-                there = np.flatnonzero(counts)
                 yield pd.DataFrame({
-                    "key": key, "blocks": blocks, "size": size, "shard": there, "first": first[there],
-                    "count": counts[there], "slots": slots, "last_words": last,
-                })
+                    "key": [key], "blocks": [blocks], "size": [size], "slots": [slots], "last_words": [last]})
 
     return sources.mapInPandas(work, schema)
 
@@ -141,38 +136,45 @@ def _position(blocks: int, turn: np.ndarray) -> int:
 
 
 def slots(sources: DataFrame, block: int = BLOCK, shard_slots: int = SHARD_SLOTS, seed: int = SEED) -> DataFrame:
-    """(key, block, pass, shard, slot, words): every slot of the mix and the block it shows.
+    """(key, block, pass, shard, place, slot, words): every slot of the mix, where it goes and the block it shows.
 
-    ``sources`` holds (key, size, target). ``words`` is how many words of the block are taken.
+    ``sources`` holds (key, size, target). ``words`` is how many words of the block are taken, ``slot`` the slot's
+    number within its source. All slots of all sources, laid one after another, are dealt to the places of the
+    mix by one more permutation: shards of ``shard_slots`` places each, the last may be shorter. So the counts of the
+    sources in a shard are drawn without replacement from the totals that the targets fix: a multinomial draw per
+    shard, conditional on these. Each slot is computed by itself, in chunks, however many a source has.
     """
-    amount = sources.agg(F.sum("target")).first()[0] or 0
-    shards = max(1, round(amount / block / shard_slots))
-    counts = _draw(sources.select("key", "size", "target"), block, shards, seed)
-    each = counts.withColumn("slot", F.explode(F.expr("sequence(first, first + count - 1)")))
-    schema = schema_of(*[(c, T.LongType()) for c in ("key", "block", "pass", "shard", "slot", "words")])
+    filled = materialise(_fill(sources.select("key", "size", "target"), block, seed), "slots")
+    laid = finish(running(order_rows(filled, [], ["key"]), {"_upto": F.col("slots")}))
+    total = filled.agg(F.sum("slots")).first()[0] or 0
+    each = laid.select(
+        "key", "blocks", "size", "slots", "last_words", (F.col("_upto") - F.col("slots")).alias("offset"),
+        F.explode(F.expr(f"sequence(0L, (slots - 1) div {CHUNK})")).alias("chunk"))
+    schema = schema_of(*[(c, T.LongType()) for c in ("key", "block", "pass", "shard", "place", "slot", "words")])
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            key, blocks, size, slot, count, last = (
-                np.asarray(batch.column(c), np.int64)
-                for c in ("key", "blocks", "size", "slot", "slots", "last_words"))
-            turn = slot // np.maximum(blocks, 1)
-            at = permute(slot - turn * blocks, blocks, key.view(np.uint64) + (turn + seed).astype(np.uint64))
-            words = np.minimum(block, size - at * block)
-            words = np.where((slot == count - 1) & (last > 0), np.minimum(last, words), words)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(key), pa.array(at), pa.array(turn), batch.column("shard"), pa.array(slot),
-                 pa.array(words)], names=schema.names)
-
-    return each.select("key", "blocks", "size", "shard", "slot", "slots", "last_words").repartition(
-        "key", "shard").mapInArrow(work, schema)
+            for r in batch.to_pylist():
+                slot = np.arange(r["chunk"] * CHUNK, min(r["slots"], (r["chunk"] + 1) * CHUNK))
+                key = np.array([r["key"]], np.int64).view(np.uint64)
+                turn = slot // r["blocks"]
+                at = permute(slot - turn * r["blocks"], np.full(len(slot), r["blocks"]), key + (turn + seed).astype(np.uint64))
+                words = np.minimum(block, r["size"] - at * block)
+                if r["last_words"]:
+                    words = np.where(slot == r["slots"] - 1, np.minimum(r["last_words"], words), words)
+                dealt = permute(slot + r["offset"], np.full(len(slot), total), np.full(len(slot), seed, np.uint64))
+                yield pa.RecordBatch.from_arrays([
+                    pa.array(np.full(len(slot), r["key"])), pa.array(at), pa.array(turn), pa.array(dealt // shard_slots),
+                    pa.array(dealt % shard_slots), pa.array(slot), pa.array(words)], names=schema.names)
+
+    return each.repartition("key", "chunk").mapInArrow(work, schema)
 
 
 def plan(rows: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, passes: int = PASSES,
          block: int = BLOCK, shard_slots: int = SHARD_SLOTS, seed: int = SEED) -> tuple[DataFrame, DataFrame]:
     """The mix of ``rows`` (_row, doc_id, tie, source, size): (sources, taken).
 
-    ``taken`` has a row for each stretch of a document in the mix: (_row, pass, shard, slot, first, words),
+    ``taken`` has a row for each stretch of a document in the mix: (_row, pass, shard, place, slot, first, words),
     ``first`` being the document's word it starts with. A source's documents lie one after another in
     a fixed order and are cut into blocks of ``block`` words; blocks and slots meet by index.
     """
@@ -198,7 +200,7 @@ def plan(rows: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = S
     # Spark takes the slots to be as few as the sources they are drawn for, so say that both sides are large
     taken = cut.join(shown.hint("merge"), ["key", "block"]).withColumn(
         "words", F.least("_to", "words") - F.col("_from")).where("words > 0")
-    return sources, taken.select("_row", "pass", "shard", "slot", "first", "words")
+    return sources, taken.select("_row", "pass", "shard", "place", "slot", "first", "words")
 
 
 def amounts(docs: DataFrame, id_column: str = "doc_id", text: str = "text", source: str = "source",

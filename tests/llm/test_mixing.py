@@ -95,3 +95,28 @@ def test_slots_of_every_shard_are_numbered_without_gaps(documents):
         assert abs(sum(x["words"] for x in own) - r["target"]) <= 0.5 + 1e-6
         assert len({(x["pass"], x["block"]) for x in own}) == len(own)
     assert len({r["shard"] for r in rows}) > 1
+
+
+def test_shards_have_their_fixed_size_and_mix_all_sources(spark):
+    sizes = {1: 64_000, 2: 128_000, 3: 32_000}
+    keyed = spark.createDataFrame([(k, n, float(n)) for k, n in sizes.items()], "key long, size long, target double")
+    rows = mixing.slots(keyed, block=64, shard_slots=500).collect()
+    shards = defaultdict(list)
+    for r in rows:
+        shards[r["shard"]].append(r)
+    assert sorted(shards) == list(range(7))
+    assert all(len(shards[k]) == 500 for k in range(7))
+    assert all(sorted(x["place"] for x in v) == list(range(500)) for v in shards.values())
+    # counts of a source in a shard: drawn without replacement, so near 500 times its share
+    for key, n in sizes.items():
+        p = n / sum(sizes.values())
+        counts = [sum(x["key"] == key for x in v) for v in shards.values()]
+        assert len(set(counts)) > 1 and all(abs(c - 500 * p) < 5 * (500 * p * (1 - p)) ** 0.5 for c in counts)
+        assert sum(counts) == n // 64
+
+
+def test_chunks_change_nothing(spark, monkeypatch):
+    keyed = spark.createDataFrame([(5, 9_999, 12_345.0), (9, 700, 60.0)], "key long, size long, target double")
+    whole = sorted(map(tuple, mixing.slots(keyed, block=16, shard_slots=100).collect()))
+    monkeypatch.setattr(mixing, "CHUNK", 7)
+    assert sorted(map(tuple, mixing.slots(keyed, block=16, shard_slots=100).collect())) == whole
