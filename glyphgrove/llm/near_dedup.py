@@ -24,9 +24,13 @@ from glyphgrove.llm.mixing import number_rows
 BANDS, ROWS = 50, 7
 #: Rounds of new stars, one for each bucket that still holds several components; the exact join takes the rest.
 DRAWS = 4
+#: Edges of one node that a round confirms at most, those most of its buckets give.
+EDGES = 8
 #: Shingles are ranked by counts in so many cells of their hash, 8 MB in all, packed by so many; a shingle's
 #: members are joined in blocks of about so many.
 CELLS, CELL_BLOCK, BLOCK = 1 << 20, 1 << 14, 4096
+#: Columns of 64 bits that tell for each of so many cells whether an odd number of a set's shingles falls into it.
+PARITIES = 8
 
 
 def _list_array(values: np.ndarray, sizes: np.ndarray) -> pa.Array:
@@ -138,6 +142,15 @@ def _cells(shingles: np.ndarray) -> np.ndarray:
     return (shingles >> np.uint64(64 - CELLS.bit_length() + 1)).astype(np.int64)
 
 
+def _parities(shingles: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """For each set PARITIES numbers of 64 bits: which cells hold an odd number of its shingles."""
+    cells = 64 * PARITIES
+    sets = np.repeat(np.arange(len(ends)), np.diff(ends, prepend=0))
+    cell = ((shingles >> np.uint64(17)) % np.uint64(cells)).astype(np.int64)
+    odd = np.bincount(sets * cells + cell, minlength=len(ends) * cells) & 1
+    return np.packbits(odd.astype(np.uint8).reshape(len(ends), cells), axis=1).view(np.int64)
+
+
 def _frequencies(rest: DataFrame) -> np.ndarray:
     """How often the shingles of each cell are met in the sets of ``rest``: bounds each shingle's count."""
     part = schema_of(("block", T.IntegerType()), ("cell", T.ArrayType(T.LongType())), ("times", T.ArrayType(T.LongType())))
@@ -168,13 +181,15 @@ def _frequencies(rest: DataFrame) -> np.ndarray:
 
 
 def _prefixes(rest: DataFrame, percent: int) -> DataFrame:
-    """(token, at, n, node, root): the rarest shingles of each set that a linked set must share one of.
+    """(token, at, n, node, root, p0..p7): the rarest shingles of each set that a linked set must share one of.
 
     In one order of all shingles, the first one that two linked sets share stands among the first
-    n - ceil(n * percent / 100) + 1 of both. A shingle met once is shared by nobody and left out.
+    n - ceil(n * percent / 100) + 1 of both. A shingle met once is shared by nobody and left out. The parities
+    p0..p7 of two sets differ in no more cells than the sets differ in shingles.
     """
     schema = schema_of(("token", T.LongType()), ("at", T.LongType()), ("n", T.LongType()),
-                       ("node", T.BinaryType()), ("root", T.BinaryType()))
+                       ("node", T.BinaryType()), ("root", T.BinaryType()),
+                       *[(f"p{k}", T.LongType()) for k in range(PARITIES)])
     shared = rest.sparkSession.sparkContext.broadcast(_frequencies(rest))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -193,9 +208,11 @@ def _prefixes(rest: DataFrame, percent: int) -> DataFrame:
                 start = end
             if tokens:
                 row = pa.array(np.concatenate(rows))
+                odd = _parities(shingles, ends)[np.concatenate(rows)]
                 yield pa.RecordBatch.from_arrays([
                     pa.array(np.concatenate(tokens).view(np.int64)), pa.array(np.concatenate(places)),
                     pa.array(np.concatenate(sizes)), batch.column("node").take(row), batch.column("root").take(row),
+                    *[pa.array(np.ascontiguousarray(odd[:, k])) for k in range(PARITIES)],
                 ], names=schema.names)
 
     return rest.select("node", "root", "set").mapInArrow(work, schema)
@@ -212,11 +229,15 @@ def _unlinked(rest: DataFrame, percent: int) -> DataFrame:
     held = held.where("_a <> _b").select("token", F.ceil(F.col("times") / BLOCK).cast("int").alias("blocks"))
     rows = prefix.join(held, "token").withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     every = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    x = rows.select("token", F.col("own").alias("p"), every.alias("q"), *[F.col(c).alias(f"x_{c}") for c in ("at", "n", "node", "root")])
-    y = rows.select("token", every.alias("p"), F.col("own").alias("q"), *[F.col(c).alias(f"y_{c}") for c in ("at", "n", "node", "root")])
+    carried = ("at", "n", "node", "root", *[f"p{k}" for k in range(PARITIES)])
+    x = rows.select("token", F.col("own").alias("p"), every.alias("q"), *[F.col(c).alias(f"x_{c}") for c in carried])
+    y = rows.select("token", every.alias("p"), F.col("own").alias("q"), *[F.col(c).alias(f"y_{c}") for c in carried])
     # after the first shared shingle no more can be shared than either set has left
     left = F.least(F.col("x_n") - F.col("x_at"), F.col("y_n") - F.col("y_at"))
     enough = (100 + percent) * left >= percent * (F.col("x_n") + F.col("y_n"))
+    # the sets differ in as many shingles as their parities at least: an exact bound of the similarity
+    differ = sum((F.bit_count(F.col(f"x_p{k}").bitwiseXOR(F.col(f"y_p{k}"))) for k in range(PARITIES)), F.lit(0))
+    enough = enough & ((100 + percent) * differ <= (100 - percent) * (F.col("x_n") + F.col("y_n")))
     apart = (F.col("x_node") > F.col("y_node")) & (F.col("x_root") != F.col("y_root"))
     return x.join(y, ["token", "p", "q"]).where(apart & enough).select(
         F.col("x_node").alias("u"), F.col("y_node").alias("v"),
@@ -246,9 +267,9 @@ def near_duplicates(
     Rows with the same set become one node, so groups of copies of any size cost one node. Nodes that
     share a band are candidates; a bucket gives stars, not pairs: all members with its least node and
     all members with a member drawn by hash. A node's most frequent edge is confirmed first. Then come rounds in
-    which each bucket that still holds several components gives one new star, each node's most frequent edge into another
-    component is confirmed, and linked components become one; they end after ``draws`` rounds or when fewer
-    than half of the edges are links. What then still shares a bucket with another component is joined
+    which each bucket that still holds several components gives one new star, each node's most frequent edges into other
+    components are confirmed, and linked components become one; they end after ``draws`` rounds or when fewer
+    than one edge in twenty is a link. What then still shares a bucket with another component is joined
     exactly: by the rarest shingles of its set, of which a linked set must hold one, and by how many shingles
     either set has left after it. Sets are confirmed whole, so no false link is made. A link goes unseen only
     if its ends share no bucket and no chain of links joins them otherwise.
@@ -258,11 +279,12 @@ def near_duplicates(
 
 
 def _crossing(placed: DataFrame, percent: int, turn: int) -> tuple[DataFrame, DataFrame]:
-    """Entries of the buckets that hold several components, and one candidate edge at most for each of their nodes.
+    """Entries of the buckets that hold several components, and up to EDGES candidate edges for each of their nodes.
 
-    Each bucket gives the star around a member drawn by hash; a node's edge is the one most of its buckets give
-    that leads into another component: (u, v, a, b) with the components a, b. Buckets are added up before they are
-    joined back, so a bucket of any size is spread over tasks.
+    Each bucket gives the star around a member drawn by hash; a node's edges are those that most of its buckets give
+    and that lead into other components: (u, v, a, b) with the components a, b. So a round has no more edges than EDGES
+    a node, however large the buckets. Buckets are added up before they are joined back, so that one of any size
+    is spread over tasks.
     """
     member = F.struct("node", "n", "root")
     ticket = F.struct(F.xxhash64("node", "band", F.lit(turn)).alias("h"), member.alias("m"))
@@ -273,7 +295,9 @@ def _crossing(placed: DataFrame, percent: int, turn: int) -> tuple[DataFrame, Da
     ends = (F.least("root", "center.root").alias("a"), F.greatest("root", "center.root").alias("b"))
     pairs = _pairs(mixed.where(F.col("root") != F.col("center.root")), percent, "node", *ends)
     often = pairs.groupBy("node", "u", "v", "a", "b").agg(F.count(F.lit(1)).alias("times"))
-    best = often.groupBy("node").agg(F.max(F.struct("times", "u", "v", "a", "b")).alias("e"))
+    # a node is in as many buckets as there are bands
+    listed = F.sort_array(F.collect_list(F.struct("times", "u", "v", "a", "b")), asc=False)
+    best = often.groupBy("node").agg(F.slice(listed, 1, EDGES).alias("e")).select(F.explode("e").alias("e"))
     return mixed.drop("center"), best.select("e.u", "e.v", "e.a", "e.b").distinct()
 
 
@@ -323,7 +347,7 @@ def _judged(
             new = F.coalesce("_merged", "root").alias("root")
             placed = placed.join(merged, "root", "left").select("band", "node", "n", new)
             labelled = labelled.join(merged, "root", "left").select("node", new, "doc_id")
-        if 2 * found < tried or not found:
+        if 20 * found < tried or not found:
             break
 
     # the exact rest: all members of buckets that hold several components even now

@@ -80,3 +80,22 @@ def test_deduplicate_goes_by_row_not_by_id(spark):
     kept = near_dedup.deduplicate(spark.createDataFrame(rows, "doc_id long, text string"), shingle=1)
     assert sorted((r["doc_id"] or 0, r["text"]) for r in kept.collect()) == sorted([
         (0, third), (5, second + " more"), (5, "own words only here"), (6, first), (6, "words of another text"), (0, "")])
+
+
+def test_parities_never_differ_in_more_cells_than_the_sets_in_shingles():
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    sets = []
+    for n in (0, 1, 5, 130, 130, 700, 5000):
+        base = np.unique(rng.integers(0, 1 << 63, n, dtype=np.uint64))
+        for part in (0, 0.02, 0.2):
+            gone = rng.random(len(base)) < part
+            sets.append(np.unique(np.concatenate([base[~gone], rng.integers(0, 1 << 63, int(gone.sum()), dtype=np.uint64)])))
+    ends = np.cumsum([len(s) for s in sets])
+    odd = near_dedup._parities(np.concatenate(sets), ends)
+    assert odd.shape == (len(sets), near_dedup.PARITIES)
+    for a, x in zip(sets, odd, strict=True):
+        for b, y in zip(sets, odd, strict=True):
+            cells = int(np.unpackbits((x ^ y).view(np.uint8)).sum())
+            assert cells <= len(set(a.tolist()) ^ set(b.tolist()))
