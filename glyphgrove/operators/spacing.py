@@ -11,11 +11,12 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from glyphgrove.operators.ordered import CHUNK, MAX_GROUP_ROWS, order_rows, scan
-from glyphgrove.runtime import lookup_join
+from glyphgrove.runtime import lookup_join, materialise
 
 
 def _anchors(at: np.ndarray, last: int | None, gap: int) -> np.ndarray:
@@ -42,6 +43,39 @@ def _exits(at: np.ndarray, gap: int) -> tuple[np.ndarray, np.ndarray]:
     return at[:entries], at[jump[:entries]]
 
 
+def _hops(exits: DataFrame, keys: list[str], gap: int, opening: int) -> DataFrame:
+    """``(keys, chunk, _entry)``: the last pick before each chunk, for tables of exits too long for one task.
+
+    That happens where very many rows lie within one gap. All keys hop together: each round finds, per key, the
+    first entry beyond the last pick, whose exit is the last pick of its chunk. So there are as many rounds as a key
+    has chunks with picks, each an aggregate, and the only tables per key have a row for each chunk.
+    """
+    last = exits.select(*keys).distinct().withColumn("last", F.lit(opening).cast("bigint"))
+    hops: list[DataFrame] = []
+    first = True
+    while True:
+        beyond = F.lit(True) if first and opening < 0 else F.col("entry") > F.col("last") + gap
+        ahead = lookup_join(exits, last, keys, hot=True) if keys else exits.join(F.broadcast(last))
+        hop = materialise(
+            ahead.filter(beyond).groupBy(*keys).agg(F.min(F.struct(CHUNK, "entry", "exit")).alias("h"))
+            .filter("h is not null").select(*keys, F.col(f"h.{CHUNK}").alias(CHUNK), F.col("h.exit").alias("exit")),
+            "hops",
+        )
+        if hop.isEmpty():
+            break
+        hops.append(hop)
+        last, first = hop.select(*keys, F.col("exit").alias("last")), False
+    chunks = exits.select(*keys, CHUNK).distinct()
+    # the round that finds nothing adds no rows
+    left = hop
+    for one in hops:
+        left = left.unionByName(one)
+    known = chunks.join(left, [*keys, CHUNK], "left")
+    before = W.partitionBy(*keys).orderBy(CHUNK).rowsBetween(W.unboundedPreceding, -1)
+    return known.select(
+        *keys, CHUNK, F.coalesce(F.last("exit", ignorenulls=True).over(before), F.lit(opening).cast("bigint")).alias("_entry"))
+
+
 def spaced_picks(
     df: DataFrame,
     keys: list[str],
@@ -100,10 +134,14 @@ def spaced_picks(
 
     # rows up to the start can never be picked; without them every chunk lies behind its entry
     slim = ordered.rows.select(*ordered.scope, position).filter(F.col(position) > opening)
-    exits = slim.groupBy(*ordered.scope).applyInPandas(leave, exits_schema)
-    entries = exits.groupBy(*keys).applyInPandas(
-        chain, T.StructType([*key_fields, chunk, T.StructField("_entry", T.LongType())])
-    )
+    exits = materialise(slim.groupBy(*ordered.scope).applyInPandas(leave, exits_schema), "exits")
+    longest = exits.groupBy(*keys).count().agg(F.max("count")).first()[0] if keys else exits.count()
+    if (longest or 0) > max_group_rows:
+        entries = _hops(exits, keys, gap, opening)
+    else:
+        entries = exits.groupBy(*keys).applyInPandas(
+            chain, T.StructType([*key_fields, chunk, T.StructField("_entry", T.LongType())])
+        )
     entered = lookup_join(ordered.rows, entries, ordered.scope, "left").withColumn(
         "_entry", F.coalesce("_entry", F.lit(opening).cast("bigint"))
     )

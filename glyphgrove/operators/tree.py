@@ -199,12 +199,16 @@ def quantise(
     )
     rows = features.withColumn("word_id", F.lit(ROOT))
     kept = [F.col(c) for c in features.columns]
+    # nodes by depth, a number per level: few nodes are repeated more often, so that no level has fewer keys than tasks
+    nodes = dict(packs.groupBy(F.size(F.split("word_id", "-"))).count().collect())
+    tasks = 2 * int(features.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     for level in range(depth + 1):
         if level == 0:
             # all rows ask for the root's one pack of entries: one row, so it goes to them
             met = rows.join(F.broadcast(packs.filter(F.col("word_id") == ROOT)), ["word_id"], "left")
         else:
-            met = lookup_join(rows, packs, ["word_id"], "left", table_bytes=table_bytes, hot=True)
+            salts = max(2, -(-tasks // nodes.get(level, tasks)))
+            met = lookup_join(rows, packs, ["word_id"], "left", table_bytes=table_bytes, hot=True, salts=salts)
         rows = met.select(*kept, step.alias("word_id"))
     return rows
 
