@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 WORD = "[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+"
 #: Words of a notice that the limit of rarity must leave in the index, and the share of their weight a match needs.
-ANCHORS, ENOUGH = 6, 0.6
+ANCHORS, ENOUGH = 3, 0.6
 
 # Phrases whose every place counts, with their labels.
 PHRASES = {
