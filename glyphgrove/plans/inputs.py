@@ -102,9 +102,16 @@ def forget() -> None:
     _trained.clear()
 
 
+def _stamp(spark: SparkSession, sf_dir: str) -> tuple[int, int]:
+    """When the descriptors were last written, and their size: a table that has changed is trained on anew."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{sf_dir}/embeddings.parquet")
+    system = path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+    return system.getFileStatus(path).getModificationTime(), system.getContentSummary(path).getLength()
+
+
 def _once(spark: SparkSession, sf_dir: str, label: str, build):
-    """Training results are kept per session: queries that use a model do not train it again."""
-    key = (spark.sparkContext.applicationId, sf_dir, label)
+    """Training results are kept per session and state of the table: queries that use a model do not train it again."""
+    key = (spark.sparkContext.applicationId, sf_dir, _stamp(spark, sf_dir), label)
     if key not in _trained:
         _trained[key] = build()
     return _trained[key]
