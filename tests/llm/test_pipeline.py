@@ -35,3 +35,23 @@ def test_run_gives_packed_pieces(spark):
 def test_catalogue():
     assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 14))
     assert set(ORACLES) <= set(QUERIES)
+
+
+def test_a_stage_deletes_the_scratch_tables_of_the_one_before(spark, documents):
+    own = lambda: list(corpus_pipeline._left[spark.sparkContext.applicationId])
+
+    def there(path):
+        where = spark._jvm.org.apache.hadoop.fs.Path(path)
+        return where.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).exists(where)
+
+    small = documents.limit(40)
+    first = corpus_pipeline.near_duplicates(spark, small, SF)
+    left = own()
+    assert left and all(map(there, left))
+    # its result was not written: the next stage still reads some of these tables, which stay
+    corpus_pipeline.mix(spark, first, SF).count()
+    kept = [p for p in left if there(p)]
+    assert kept and set(kept) <= set(own())
+    written = spark.createDataFrame(small.toArrow(), documents.schema)
+    corpus_pipeline.mix(spark, written, SF)
+    assert not any(map(there, left))
