@@ -20,7 +20,7 @@ LEAST_WORDS, LEAST_PERIODS = 6, 4
 SMALL_OCTAVE = 4
 #: Words of a tile's core. Up to the octave FIRST all periods share tiles; from there each octave has its own,
 #: of STRETCH of its shortest periods at least.
-CORE, FIRST, STRETCH = 1 << 12, 9, 16
+CORE, FIRST, STRETCH = 1 << 14, 11, 16
 #: Texts of at most so many characters have no more than CORE words: they are solved where they are read.
 LONG_CHARS = 2 * CORE
 #: Words of short texts that are solved at once.
@@ -364,7 +364,7 @@ def find_runs(docs: DataFrame, text: str = "text", long_chars: int = LONG_CHARS)
     that are already called n_words, runs or collapsed are replaced, all others stay; no rows give no rows.
 
     Texts of up to ``long_chars`` characters are solved where they are read. Longer ones are cut into overlapping
-    tiles: one set for all periods up to 511 words, and one per octave beyond, with cores of 4,096 words or 16 of the
+    tiles: one set for all periods up to 2,047 words, and one per octave beyond, with cores of 16,384 words or 16 of the
     octave's shortest periods. Tiles are shuffled and solved independently, the pieces they find are shuffled by
     text and period and stitched, and only the runs go back to the text. The tile of the longest octave is at most as
     long as its text.
