@@ -35,6 +35,8 @@ def count_nonzero(v: Column) -> Column:
 def one_hot(index: Column, weight: Column, size: int | Column) -> Column:
     """Dense vector with ``weight`` at ``index`` and zero elsewhere."""
     last = (F.lit(size) if isinstance(size, int) else size) - 1
+    # the length hangs on the row: of a constant one, the whole sequence would become a part of the plan
+    last = last + F.coalesce(index * 0, F.lit(0))
     return F.transform(
         F.sequence(F.lit(0), last.cast("int")),
         lambda j: F.when(j == index, weight.cast("double")).otherwise(0.0),

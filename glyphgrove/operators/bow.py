@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from glyphgrove.runtime import lookup_join
+from glyphgrove.runtime import lookup_join, shuffled
 
 #: Frames in one block of a postings list.
 POSTINGS_BLOCK = 4096
@@ -38,7 +38,7 @@ def bag_of_words(
         dictionary = dictionary.withColumn("weight", F.lit(1.0))
     else:
         # both sides have one row per word; joined first, the counts are shuffled once
-        dictionary = dictionary.join(weights.select("word_id", "weight"), "word_id", "left")
+        dictionary = shuffled(dictionary).join(weights.select("word_id", "weight"), "word_id", "left")
     indexed = lookup_join(counted, dictionary, ["word_id"], hot=True)
     raw = F.col("n") * F.coalesce("weight", F.lit(1.0))
     # at most one row per distinct word in a frame by now, so the window is bounded

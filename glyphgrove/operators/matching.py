@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from glyphgrove.functions.metrics import Metric, hamming, l2, percent_equal, resolve
 from glyphgrove.functions.paths import ancestor, prefixes
-from glyphgrove.runtime import lookup_join
+from glyphgrove.runtime import lookup_join, shuffled
 
 #: Previous features packed in one block of the brute-force comparison.
 BLOCK_ROWS = 256
@@ -101,7 +101,7 @@ def candidate_matches(
         quantised.select("frame_id", "pos", "word_id"), frame_pairs, ["frame_id"], hot=True
     )
     current = current.withColumn("ancestor_id", ancestor(F.col("word_id"), distance))
-    return current.join(earlier, ["prev_frame_id", "ancestor_id"]).select(
+    return shuffled(current).join(earlier, ["prev_frame_id", "ancestor_id"]).select(
         "frame_id", "pos", "prev_frame_id", "prev_pos"
     )
 
@@ -123,7 +123,7 @@ def neighbour_map(quantised: DataFrame, words: DataFrame, distance: int = 1) ->
         F.col("word_id").alias("neighbour_id"),
     )
     return (
-        claims.join(below, "ancestor_id")
+        shuffled(claims).join(below, "ancestor_id")
         .groupBy("frame_id", "neighbour_id")
         .agg(F.max("claim").alias("claim"))
         .select("frame_id", "neighbour_id", F.col("claim.word_id").alias("word_id"))

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from glyphgrove.operators.similarity import SLACK
-from glyphgrove.runtime import materialise
+from glyphgrove.runtime import materialise, shuffled
 from glyphgrove.sources.segments import FANOUT, SegmentLog
 
 #: Consecutive frames in a block.
@@ -80,7 +80,7 @@ def block_bounds(index: DataFrame, queries: DataFrame) -> DataFrame:
     found. Only the largest weights are read, not the entries.
     """
     known = index.groupBy(*_KEY).agg(F.max("most").alias("most"))
-    met = queries.join(known, ["stream_id", "word_index"]).filter(
+    met = shuffled(queries).join(known, ["stream_id", "word_index"]).filter(
         F.col("block") * BLOCK_FRAMES <= F.col("until"))
     return met.groupBy("stream_id", "query_id", "block", "until").agg(
         F.sum(F.least("weight", "most")).alias("bound"))
@@ -94,8 +94,9 @@ def block_scores(index: DataFrame, queries: DataFrame, wanted: DataFrame) -> Dat
     named = wanted.select("block").distinct().limit(NAMED_BLOCKS + 1).collect()
     if len(named) <= NAMED_BLOCKS:
         index = index.filter(F.col("block").isin([r["block"] for r in named]))
-    asked = wanted.select("stream_id", "query_id", "block").join(queries, ["stream_id", "query_id"])
-    met = asked.join(index.select(*_KEY, "entries"), _KEY)
+    asked = wanted.select("stream_id", "query_id", "block")
+    asked = shuffled(asked).join(queries, ["stream_id", "query_id"])
+    met = shuffled(asked).join(index.select(*_KEY, "entries"), _KEY)
     rows = met.select(
         "stream_id", "query_id", "until", F.col("weight").alias("own"), F.inline("entries")
     ).filter(F.col("seq") <= F.col("until"))
@@ -141,6 +142,6 @@ def best_past(index: DataFrame, queries: DataFrame) -> DataFrame:
 def blocks_left(bounds: DataFrame, first: DataFrame, opened: DataFrame) -> DataFrame:
     """The blocks that may still hold a frame as good as the one found in the ``first`` block."""
     keys = ["stream_id", "query_id"]
-    open_ = bounds.join(first, [*keys, "block"], "left_anti").join(opened, keys, "left")
+    open_ = shuffled(shuffled(bounds).join(first, [*keys, "block"], "left_anti")).join(opened, keys, "left")
     return open_.filter(
         F.col("_b").isNull() | (F.col("bound") >= F.col("_b.score") - SLACK)).select(*keys, "block")

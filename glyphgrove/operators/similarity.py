@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from glyphgrove.runtime import lookup_join, materialise
+from glyphgrove.runtime import lookup_join, materialise, shuffled
 
 #: Slack for sums of weights in floating point; candidates are scored exactly afterwards.
 SLACK = 1e-9
@@ -84,7 +84,7 @@ def candidates(
     frequency = database.groupBy("word_index").agg(
         F.count(F.lit(1)).alias("frames"), cells.alias("parts")
     )
-    frequency = frequency.join(asked, "word_index")
+    frequency = shuffled(frequency).join(asked, "word_index")
     if isinstance(thresholds, DataFrame):
         queries = lookup_join(queries, thresholds, ["frame_id"])
         query_bar, query_band = F.col("threshold"), _band(F.col("threshold"))
@@ -118,7 +118,7 @@ def candidates(
         F.explode(F.sequence(F.lit(0), F.col("query_parts") - 1)).alias("query_part"),
         *carry,
     )
-    met = left.join(right, ["word_index", "band", "part", "query_part"])
+    met = shuffled(left).join(right, ["word_index", "band", "part", "query_part"])
     if admissible is not None:
         met = met.filter(admissible)
     return met.select("query_id", "frame_id").distinct()

@@ -19,7 +19,7 @@ from glyphgrove.operators.kmedoids import as_node, farthest_first, fit_nodes
 from glyphgrove.operators.medoid_cost import Shape, measure
 from glyphgrove.operators.ordered import dense_ids
 from glyphgrove.operators.subtree import grow_nodes, local_rows
-from glyphgrove.runtime import lookup_join, materialise, pin, vector_bytes
+from glyphgrove.runtime import lookup_join, materialise, pin, shuffled, vector_bytes
 
 
 @dataclass
@@ -149,7 +149,7 @@ def words(tree: Tree, **options) -> DataFrame:
         F.concat_ws("-", "node_id", F.col("pos").cast("string")).alias("word_id"),
         F.col("node_id").alias("leaf_id"),
     )
-    bare = tree.nodes.filter("is_leaf").join(
+    bare = shuffled(tree.nodes.filter("is_leaf")).join(
         tree.members.select("node_id").distinct(), "node_id", "left_anti"
     )
     of_leaves = bare.select(F.col("node_id").alias("word_id"), F.col("node_id").alias("leaf_id"))
@@ -226,7 +226,7 @@ def neighbourhood(words_: DataFrame, distance: int = 1) -> DataFrame:
     """
     keyed = words_.select("word_id", ancestor(F.col("word_id"), distance).alias("ancestor_id"))
     below = words_below(words_).withColumnRenamed("word_id", "neighbour_id")
-    return keyed.join(below, "ancestor_id").select("word_id", "neighbour_id")
+    return shuffled(keyed).join(below, "ancestor_id").select("word_id", "neighbour_id")
 
 
 def word_ranges(words_: DataFrame, distance: int = 1) -> DataFrame:
@@ -238,4 +238,4 @@ def word_ranges(words_: DataFrame, distance: int = 1) -> DataFrame:
     below = words_.select(F.explode(prefixes(F.col("word_id"))).alias("ancestor_id"), "word_index")
     spans = below.groupBy("ancestor_id").agg(
         F.min("word_index").alias("low"), (F.max("word_index") + 1).alias("high"))
-    return listed.join(spans, "ancestor_id").select("word_id", "word_index", "low", "high")
+    return shuffled(listed).join(spans, "ancestor_id").select("word_id", "word_index", "low", "high")

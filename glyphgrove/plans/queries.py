@@ -648,7 +648,7 @@ def _processed(spark, sf_dir) -> str:
     table_bytes = 4 * levels.count() * vector_bytes(grown.shape.dimension)
     weights = bow.word_weights(inputs.tree_words(spark, sf_dir))
     dictionary = materialise(
-        tree.word_ranges(vocabulary).join(weights, "word_id", "left").withColumn(
+        lookup_join(tree.word_ranges(vocabulary), weights, ["word_id"], "left").withColumn(
             "weight", F.coalesce("weight", F.lit(1.0))),
         "dictionary")
     rows = lookup_join(
@@ -658,7 +658,7 @@ def _processed(spark, sf_dir) -> str:
 
     def consume(stream: DataFrame, checkpoint: str) -> None:
         quantised = tree.quantise(stream, levels, grown.depth, table_bytes=table_bytes)
-        words = quantised.join(dictionary, "word_id").select(
+        words = lookup_join(quantised, dictionary, ["word_id"]).select(
             "stream_id", "time_us", "frame_id", F.col("pos").cast("long"), "word_index", "low", "high", "weight")
         writer = stream_process.process_stream(words, folder, inputs.GAP, inputs.MIN_POINTS, POOL)
         stream_frames.run_available(writer, checkpoint)
