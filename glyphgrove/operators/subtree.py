@@ -8,6 +8,7 @@ there. Seeds, assignment, update and the end of the iteration are those of the d
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import replace
 
 import numpy as np
 import pyarrow as pa
@@ -132,6 +133,8 @@ def grow_nodes(
     Every node must be within ``local_rows``. Its rows make one group of a grouped map.
     """
     vector = points.schema["vector"].dataType
+    # the column builders stay behind: one that has been used holds a handle of the driver
+    metric = replace(metric, point=None, cost=None)
     schema = T.StructType([
         T.StructField("kind", T.StringType()), T.StructField("node_id", T.StringType()),
         T.StructField("parent_id", T.StringType()), T.StructField("pos", T.IntegerType()),
