@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
-from glyphgrove.llm.common import free_name, materialise, schema_of
+from glyphgrove.llm.common import free_name, materialise, schema_of, slices
 
 #: A run spans so many words and so many of its periods at least.
 LEAST_WORDS, LEAST_PERIODS = 6, 4
@@ -209,6 +209,13 @@ def _rows(found: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
     return sorted((a, b - a, q) for a, b, q in found if b - a >= max(LEAST_WORDS, LEAST_PERIODS * q))
 
 
+def parts_of(batches: Iterator[pa.RecordBatch], text: str | int) -> Iterator[pa.RecordBatch]:
+    """The same rows, some 2 MB of text at once: words as objects take ten times that."""
+    for batch in batches:
+        for at, part in slices(batch.column(text)):
+            yield batch.slice(at, len(part))
+
+
 def _answers(batch: pa.RecordBatch, text: str, words: list[list[bytes]], runs: list[list[tuple]], schema: T.StructType):
     listed = pa.array([[dict(zip(("start", "length", "period"), r, strict=True)) for r in own] for own in runs],
                       pa.list_(pa.struct([(n, pa.int64()) for n in ("start", "length", "period")])))
@@ -221,7 +228,7 @@ def _solve_short(text: str, schema: T.StructType):
     """Solve whole texts where they are read, many at once, a word of its own between any two."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in parts_of(batches, text):
             words = [_split(v) for v in batch.column(text).to_pylist()]
             runs: list[list[tuple]] = [[] for _ in words]
             group, size = [], 0
@@ -279,7 +286,7 @@ _FRAGMENT = schema_of(("key", T.StringType()), ("period", T.LongType()), ("start
 
 def _explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Cut each text into the tiles of all octaves, a tile a row."""
-    for batch in batches:
+    for batch in parts_of(batches, 1):
         for key, value in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
             codes = _coded(_split(value))
             for low, high, core, a, b in tile_plan(len(codes)):
@@ -312,7 +319,8 @@ def _solve_tiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     kinds = (pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.bool_(), pa.bool_())
     for batch in batches:
         out = []
-        for r in batch.to_pylist():
+        for i in range(batch.num_rows):
+            r = {c: v[0].as_py() for c, v in zip(batch.schema.names, batch.slice(i, 1).columns, strict=True)}
             words = np.frombuffer(r["words"], np.int32)
             out += [(r["key"], *f) for f in tile_fragments(words, r["n"], r["low"], r["high"], r["core"], r["start"])]
         columns = list(zip(*out, strict=True)) or [()] * len(kinds)
@@ -345,7 +353,7 @@ def stitch(fragments: DataFrame) -> DataFrame:
 
 def _solve_long(text: str, listed: str, schema: T.StructType):
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in parts_of(batches, text):
             words = [_split(v) for v in batch.column(text).to_pylist()]
             runs = [[(r["start"], r["length"], r["period"]) for r in own or ()] for own in batch.column(listed).to_pylist()]
             yield _answers(batch, text, words, runs, schema)

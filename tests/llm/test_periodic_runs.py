@@ -164,3 +164,23 @@ def test_odd_rows(spark, odd, nothing):
         else:
             assert r["runs"] == [] and r["collapsed"] == b" ".join(words).decode()
     assert P.find_runs(nothing).count() == 0
+
+
+def test_batches_are_solved_in_parts():
+    """A batch of many texts goes through a few megabytes at a time; the rows are the same."""
+    import pyarrow as pa
+    from pyspark.sql import types as T
+
+    texts = [None, "", *(f"a{k} b c " * 4_000 for k in range(200))]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts)), pa.int64()), pa.array(texts)], names=["id", "text"])
+    schema = T.StructType([
+        T.StructField("id", T.LongType()), T.StructField("text", T.StringType()), T.StructField("n_words", T.LongType()),
+        T.StructField("runs", P.RUNS), T.StructField("collapsed", T.StringType())])
+    parts = list(P._solve_short("text", schema)(iter([batch])))
+    assert len(parts) > 2
+    got = [r for p in parts for r in p.to_pylist()]
+    assert [r["id"] for r in got] == list(range(len(texts)))
+    assert got[0]["n_words"] == got[1]["n_words"] == 0
+    for r in got[2:]:
+        assert r["n_words"] == 12_000 and r["collapsed"].endswith("b c")
+        assert r["runs"] == [{"start": 0, "length": 12_000, "period": 3}]
