@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from glyphgrove.operators.ordered import number, order_rows
-from glyphgrove.runtime import lookup_join, materialise
+from glyphgrove.runtime import lookup_join, materialise, shuffled
 
 #: Largest distance, in pixels, between a mapped point and its partner.
 THRESHOLD = 5.0
@@ -125,7 +125,7 @@ def consensus_models(
                 yield pd.DataFrame({
                     key: name, "_trial": np.repeat(np.arange(trials), 4), "_i": picks.ravel()})
 
-    drawn = sizes.mapInPandas(draw, f"{key} {kind}, _trial int, _i bigint").join(rows, [key, "_i"])
+    drawn = shuffled(sizes.mapInPandas(draw, f"{key} {kind}, _trial int, _i bigint")).join(rows, [key, "_i"])
     four = drawn.groupBy(key, "_trial").agg(
         F.sort_array(F.collect_list(F.struct("_i", "src_x", "src_y", "dst_x", "dst_y"))).alias("_four"))
 
@@ -143,7 +143,7 @@ def consensus_models(
     columns = ", ".join(f"{c} double" for c in MODEL)
     models = materialise(four.mapInPandas(fit, f"{key} {kind}, _trial int, {columns}"), "models")
     blocks = sizes.select(key, F.explode(F.expr(f"sequence(0L, (_n - 1) div {BLOCK})")).alias("_block"))
-    tried = models.join(blocks, key)
+    tried = shuffled(models).join(blocks, key)
     placed = rows.withColumn("_block", F.expr(f"_i div {BLOCK}"))
 
     def tally(part: pd.DataFrame, own: pd.DataFrame) -> pd.DataFrame:
@@ -158,7 +158,7 @@ def consensus_models(
     best = counted.groupBy(key, "_trial").agg(F.sum("_inliers").alias("_inliers")).groupBy(key).agg(
         F.max(F.struct("_inliers", (-F.col("_trial")).alias("_neg"))).alias("_b"))
     best = best.select(key, (-F.col("_b._neg")).alias("_trial"))
-    return models.join(best, [key, "_trial"]).drop("_trial")
+    return shuffled(models).join(best, [key, "_trial"]).drop("_trial")
 
 
 def consensus_filter(
