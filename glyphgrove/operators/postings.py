@@ -108,11 +108,11 @@ def frames_above(index: DataFrame, queries: DataFrame, bars: DataFrame) -> DataF
     """All frames that score above their query's ``threshold`` in ``bars (stream_id, query_id, threshold)``."""
     keys = ["stream_id", "query_id"]
     wanted = materialise(
-        block_bounds(index, queries).join(bars, keys).filter(F.col("bound") > F.col("threshold") - SLACK)
+        shuffled(block_bounds(index, queries)).join(bars, keys).filter(F.col("bound") > F.col("threshold") - SLACK)
         .select(*keys, "block"),
         "blocks",
     )
-    found = block_scores(index, queries, wanted).join(bars, keys)
+    found = shuffled(block_scores(index, queries, wanted)).join(bars, keys)
     return found.filter(F.col("score") > F.col("threshold")).drop("threshold")
 
 

@@ -17,7 +17,7 @@ from glyphgrove.operators.medoid_cost import best_candidates, candidate_costs
 from glyphgrove.operators.ordered import dense_ids
 from glyphgrove.plans import inputs
 from glyphgrove.plans.inputs import K
-from glyphgrove.runtime import lookup_join, materialise, scratch_path, vector_bytes
+from glyphgrove.runtime import lookup_join, materialise, scratch_path, shuffled, vector_bytes
 from glyphgrove.sources import clusters as cluster_files
 from glyphgrove.sources import model as model_files
 from glyphgrove.sources import vocabulary as vocabulary_files
@@ -411,7 +411,7 @@ def retrieve_blocks(spark, sf_dir):
     best = postings.best_past(index.read(), asked).withColumnRenamed("query_id", "frame_id")
     listed = inputs.frames(spark, sf_dir).select("frame_id", "seq")
     score = F.coalesce("score", F.lit(0.0))
-    return listed.join(best, "frame_id", "left").select(
+    return shuffled(listed).join(best, "frame_id", "left").select(
         "frame_id", "seq", "best_seq", _r(score).alias("score"), vectors.floor_cents(_r(score, 9)).alias("shown"))
 
 
@@ -681,7 +681,7 @@ def stream_process_frame(spark, sf_dir):
         "stream_id", F.col("query_id").alias("frame_id"), F.col("frame_id").alias("best_frame"), "island_id",
         "island_score", "score", "total", "uncovered", "closed")
     frames_ = spark.read.parquet(f"{folder}/frames")
-    return frames_.join(matches, keys, "left").join(closed, keys, "left").select(
+    return shuffled(shuffled(frames_).join(matches, keys, "left")).join(closed, keys, "left").select(
         "frame_id", "seq", F.col("is_key").cast("int").alias("is_key"), _r("expected").alias("expected"),
         F.coalesce("n_matches", F.lit(0)).alias("n_matches"), "matches", "best_frame", "island_id",
         _r("island_score").alias("island_score"), _r("score").alias("score"), "total", "uncovered",

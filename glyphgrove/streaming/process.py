@@ -18,7 +18,7 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from glyphgrove.operators import loop_closure, postings
 from glyphgrove.operators.frames import KEYFRAME_GAP, KEYFRAME_POINTS, POOL_MICROS
-from glyphgrove.runtime import materialise, release
+from glyphgrove.runtime import materialise, release, shuffled
 from glyphgrove.sources.segments import SegmentLog
 from glyphgrove.streaming.frames import _store, pick_key_frames
 
@@ -165,7 +165,7 @@ def closures(
     queries = asked.select(*keys, (F.col("seq") - 1).alias("until"), "word_index", "weight")
     expected = asked.groupBy(*keys).agg(F.first("expected").alias("expected"))
     bars = expected.select(*keys, (F.col("expected") * min_normalised).alias("threshold"))
-    hits = postings.frames_above(index, queries, bars).join(expected, keys)
+    hits = shuffled(postings.frames_above(index, queries, bars)).join(expected, keys)
     scored = hits.select(*keys, "frame_id", "time_us", (F.col("score") / F.col("expected")).alias("score"))
     rows = loop_closure.best_islands(materialise(scored, "scored"), pool, keys=keys)
     chosen = materialise(loop_closure.best_frames(rows, keys=keys), "chosen")
@@ -174,7 +174,7 @@ def closures(
     if len(named) <= NAMED_FRAMES:
         found = found.filter(F.col("frame_id").isin([r["frame_id"] for r in named]))
     words = asked.groupBy(*keys).agg(F.collect_list("word_index").alias("words"))
-    both = chosen.join(words, keys).join(found, ["stream_id", "frame_id"])
+    both = shuffled(shuffled(chosen).join(words, keys)).join(found, ["stream_id", "frame_id"])
     lost = F.filter("words", lambda w: ~F.exists("near", lambda r: (r["low"] <= w) & (w < r["high"])))
     return both.select(
         *chosen.columns, F.size("words").alias("total"), F.size(lost).alias("uncovered"),

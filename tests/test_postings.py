@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from glyphgrove.operators import postings
+from glyphgrove.runtime import materialise
 from glyphgrove.sources.segments import SegmentLog
 
 BAGS = "stream_id long, frame_id long, seq long, time_us long, word_index long, weight double"
@@ -102,6 +103,14 @@ def test_frames_above_equal_brute_force(spark, tmp_path, monkeypatch):
     assert got == want
 
 
+def test_bars_are_not_sent_to_all(spark):
+    bags = spark.createDataFrame(bag_rows(4, frames=60), BAGS)
+    asked = queries(bags, 1)
+    bars = materialise(asked.select("stream_id", "query_id").distinct().withColumn("threshold", F.lit(0.61)), "bars")
+    met = postings.frames_above(postings.to_blocks(bags), asked, bars)
+    assert "Broadcast" not in met._jdf.queryExecution().executedPlan().toString()
+
+
 def test_index_is_the_same_after_any_batches_and_replays(spark, tmp_path):
     rows = bag_rows(4, frames=300)
     whole = {tuple(r) for r in postings.to_blocks(spark.createDataFrame(rows, BAGS)).select("stream_id", "block", "word_index", "frames", "most").collect()}

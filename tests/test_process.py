@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from glyphgrove.operators import frames, loop_closure, matching
+from glyphgrove.operators import frames, loop_closure, matching, postings
 from glyphgrove.operators.tree import neighbourhood, word_ranges
 from glyphgrove.streaming import frames as streams
 from glyphgrove.streaming import process
@@ -92,3 +92,15 @@ def test_stream_equals_the_batch_operators(spark, vocabulary, tmp_path):
     closed = spark.read.parquet(f"{folder}/closures")
     assert sorted(map(tuple, closed.select(*facts).collect())) == sorted(map(tuple, batch.select(*facts).collect()))
     assert not closed.isEmpty() and closed.filter("query_id div 1000 <> frame_id div 1000").isEmpty()
+
+
+def test_closures_send_no_table_to_all(spark):
+    fresh = spark.createDataFrame(
+        [(5, 100 + n, n, 10 * n, 0.9, w, 0.5, w, w + 1) for n in range(1, 9) for w in (n % 3, 7)],
+        "stream_id long, frame_id long, seq long, time_us long, expected double, word_index long, weight double, low long, high long")
+    near = F.sort_array(F.collect_set(F.struct("low", "high"))).alias("near")
+    table = fresh.groupBy("stream_id", "seq", "frame_id", "time_us").agg(
+        F.sort_array(F.collect_list("word_index")).alias("words"), near)
+    found = process.closures(postings.to_blocks(fresh), table, fresh, POOL)
+    assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
+    assert {(r["query_id"], r["frame_id"]) for r in found.filter("closed").collect()} >= {(104, 101), (105, 102)}
