@@ -19,7 +19,10 @@ from glyphgrove.operators.kmedoids import as_node, farthest_first, fit_nodes
 from glyphgrove.operators.medoid_cost import Shape, measure
 from glyphgrove.operators.ordered import dense_ids
 from glyphgrove.operators.subtree import grow_nodes, local_rows
-from glyphgrove.runtime import lookup_join, materialise, pin, shuffled, vector_bytes
+from glyphgrove.runtime import lookup_join, materialise, pin, release, shuffled, vector_bytes
+
+#: Lookup joins of a descent in one plan.
+PLAN_LEVELS = 4
 
 
 @dataclass
@@ -177,7 +180,8 @@ def quantise(
     """Add ``word_id`` by greedy descent: the nearest entry at each node, lowest ``pos`` on ties.
 
     ``table_bytes`` is a proven bound of ``levels``. Within the broadcast bound the descent is one
-    function over Arrow batches; otherwise there is one lookup join per level, all in one plan.
+    function over Arrow batches; otherwise there is one lookup join per level with the nodes of that depth. Rows that
+    are no stream are written after every ``PLAN_LEVELS`` of them.
     Rows whose node has no entries keep it as their word.
     """
     metric = resolve(metric)
@@ -199,17 +203,32 @@ def quantise(
     )
     rows = features.withColumn("word_id", F.lit(ROOT))
     kept = [F.col(c) for c in features.columns]
+    # written once: each level reads the nodes of its own depth only
+    packs = materialise(packs.withColumn("_depth", F.size(F.split("word_id", "-"))), "packs")
+    below = packs.filter(F.col("word_id") != ROOT)
     # nodes by depth, a number per level: few nodes are repeated more often, so that no level has fewer keys than tasks
-    nodes = dict(packs.groupBy(F.size(F.split("word_id", "-"))).count().collect())
+    nodes = dict(below.groupBy("_depth").count().collect())
     tasks = 2 * int(features.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    written = None
     for level in range(depth + 1):
         if level == 0:
             # all rows ask for the root's one pack of entries: one row, so it goes to them
-            met = rows.join(F.broadcast(packs.filter(F.col("word_id") == ROOT)), ["word_id"], "left")
+            own = packs.filter(F.col("word_id") == ROOT).drop("_depth")
+            met = rows.join(F.broadcast(own), ["word_id"], "left")
+        elif level not in nodes:
+            # no row has a node to go on from
+            break
         else:
-            salts = max(2, -(-tasks // nodes.get(level, tasks)))
-            met = lookup_join(rows, packs, ["word_id"], "left", table_bytes=table_bytes, hot=True, salts=salts)
+            salts = max(2, -(-tasks // nodes[level]))
+            own = below.filter(F.col("_depth") == level).drop("_depth")
+            met = lookup_join(rows, own, ["word_id"], "left", table_bytes=table_bytes, hot=True, salts=salts)
         rows = met.select(*kept, step.alias("word_id"))
+        if level and level % PLAN_LEVELS == 0 and not features.isStreaming:
+            # the driver plans and tracks only so many joins at once, however deep the tree
+            earlier, written = written, materialise(rows, "descent")
+            rows = written
+            if earlier is not None:
+                release(earlier)
     return rows
 
 

@@ -219,3 +219,16 @@ def test_pair_blocks_equal_the_table_of_values(monkeypatch):
         monkeypatch.setattr(subtree, "PAIR_ROWS", 7)
         assert (subtree.fit_local(rows, 4, metric, shape) == found).all()
         monkeypatch.undo()
+
+
+def test_descent_by_joins_keeps_plans_short(spark):
+    deep = 9
+    entries = [("root", 0, [0]), ("root", 1, [9])]
+    entries += [("-".join("0" * n), p, [v]) for n in range(1, deep) for p, v in ((0, 0), (1, 9))]
+    levels = spark.createDataFrame(entries, "node_id string, pos int, vector array<int>")
+    rows = spark.createDataFrame([(1, [0]), (2, [9]), (3, None)], "id bigint, vector array<int>")
+    found = tree.quantise(rows, levels, deep)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join ") <= tree.PLAN_LEVELS
+    words = {r.id: r.word_id for r in found.collect()}
+    assert words[1] == "-".join("0" * deep) and words[2] == "1"
