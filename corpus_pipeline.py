@@ -13,18 +13,24 @@ from glyphgrove.runtime import collecting, delete_scratch, release
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
+#: Bytes of rows that a stage sends to a Python worker at once. Whole texts are long: the rows Spark sends by default
+#: come to tens of MB, which the executor and its worker hold several times over.
+BATCH_BYTES = 8 << 20
+
 #: Scratch tables of the last stage of each session. They go when the next stage begins, whose input is written by then.
 _left: dict[str, list[str]] = {}
 
 
 def _stage(work: Stage) -> Stage:
-    """A stage that owns the scratch tables it writes.
+    """A stage that owns the scratch tables it writes, and bounds what Python workers are sent at once.
 
     Tables that the plan of its input still reads are left alone: then the input was not written in between.
     """
 
     @functools.wraps(work)
     def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        # stays set: the rows of the stage are worked out when they are written
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
         own = _left.setdefault(spark.sparkContext.applicationId, [])
         used = docs.inputFiles() if own else []
         gone = [path for path in own if not any(path.split(":")[-1] in f for f in used)]

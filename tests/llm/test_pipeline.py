@@ -55,3 +55,16 @@ def test_a_stage_deletes_the_scratch_tables_of_the_one_before(spark, documents):
     written = spark.createDataFrame(small.toArrow(), documents.schema)
     corpus_pipeline.mix(spark, written, SF)
     assert not any(map(there, left))
+
+
+def test_a_stage_sends_workers_few_bytes_at_once(spark):
+    texts = spark.range(4000, numPartitions=1).selectExpr("id doc_id", "repeat('lorem ipsum ', 1000) text")
+    corpus_pipeline.mix(spark, spark.read.parquet(f"{SF}/documents.parquet"), SF)
+
+    def count(batches):
+        import pyarrow as pa
+        for batch in batches:
+            yield pa.RecordBatch.from_pydict({"n": [batch.nbytes]})
+
+    most = max(r["n"] for r in texts.mapInArrow(count, "n long").collect())
+    assert most < 2 * corpus_pipeline.BATCH_BYTES
