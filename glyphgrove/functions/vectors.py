@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -28,12 +29,23 @@ def from_key(key: Column) -> Column:
     return F.transform(F.split(key, r"\."), lambda x: x.cast("int"))
 
 
-def count_nonzero(v: Column) -> Column:
+def count_nonzero(v: Column | np.ndarray) -> Column | np.ndarray:
+    """Elements that are not zero; of a numpy block, those of each of its rows."""
+    if isinstance(v, np.ndarray):
+        # comparison and count of flags are vectorised; counting numbers, or along an axis, takes up to twice as long
+        return np.array([np.count_nonzero(row) for row in v != 0], np.int32)
     return F.size(F.filter(v, lambda x: x != 0))
 
 
-def one_hot(index: Column, weight: Column, size: int | Column) -> Column:
-    """Dense vector with ``weight`` at ``index`` and zero elsewhere."""
+def one_hot(
+    index: Column | np.ndarray, weight: Column | np.ndarray, size: int | Column
+) -> Column | np.ndarray:
+    """Dense vector with ``weight`` at ``index`` and zero elsewhere; of numpy arrays, a block with one vector a row."""
+    if isinstance(index, np.ndarray):
+        hot = np.zeros((len(index), size))
+        inside = np.flatnonzero((index >= 0) & (index < size))
+        hot[inside, index[inside]] = weight[inside]
+        return hot
     last = (F.lit(size) if isinstance(size, int) else size) - 1
     # the length hangs on the row: of a constant one, the whole sequence would become a part of the plan
     last = last + F.coalesce(index * 0, F.lit(0))

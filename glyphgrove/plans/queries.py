@@ -342,15 +342,8 @@ def word_onehot(spark, sf_dir):
     weights = bow.word_weights(rows)
     indexed = lookup_join(rows, vocabulary, ["word_id"], hot=True)
     weighted = lookup_join(indexed, weights, ["word_id"], "left", hot=True)
-    hot = vectors.one_hot(F.col("word_index"), F.coalesce("weight", F.lit(1.0)), vocabulary.count())
-    dense = weighted.select("frame_id", "pos", "word_index", hot.alias("hot"))
-    return dense.select(
-        "frame_id",
-        "pos",
-        "word_index",
-        vectors.count_nonzero(F.col("hot")).alias("nonzero"),
-        _r(F.element_at("hot", (F.col("word_index") + 1).cast("int"))).alias("weight"),
-    )
+    hot = bow.one_hot_words(weighted, vocabulary.count())
+    return hot.select("frame_id", "pos", "word_index", "nonzero", _r("weight").alias("weight"))
 
 
 @query
